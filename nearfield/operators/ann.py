@@ -92,28 +92,36 @@ def knn_ivf_bq(base: DataFrame, queries: DataFrame, k: int, centroids: np.ndarra
     return rerank(fetched, base, queries, k, metric_name)
 
 
-def sweep_nprobe(base: DataFrame, queries: DataFrame, k: int, centroids: np.ndarray, grid: list[int], metric_name: str = "l2") -> DataFrame:
-    """Hits for every ``nprobe`` in the grid from one search: ``nprobe, qid, rank, id, score``.
+def search_parts(base: DataFrame, asked: DataFrame, n_parts: int, k: int, part: str, metric_name: str = "l2") -> DataFrame:
+    """The k nearest rows of every (query, part): ``qid, part, id, score``.
 
-    The search keeps k rows per (query, probed list); each setting re-cuts those.
+    ``asked`` names the parts each query meets in column ``part`` (0 .. n_parts - 1) and
+    the value of the ``key`` column shared with ``base``.
     """
-    listed = assign_lists(base, centroids) if "list_id" not in base.columns else base
-    widest = max(grid)
-    probes = probe_lists(queries, centroids, widest)
-    unit = probes.select(
-        (F.col("qid") * F.lit(widest) + F.col("probe_rank")).alias("qid"), "emb", "list_id"
-    )
-    per_list = nearest(listed, unit, k, metric_name, key="list_id").select(
-        F.floor(F.col("qid") / F.lit(widest)).cast("bigint").alias("qid"),
-        F.pmod("qid", F.lit(widest)).cast("int").alias("probe_rank"),
+    unit = asked.select((F.col("qid") * F.lit(n_parts) + F.col(part)).alias("qid"), "emb", "key")
+    return nearest(base, unit, k, metric_name, key="key").select(
+        F.floor(F.col("qid") / F.lit(n_parts)).cast("bigint").alias("qid"),
+        F.pmod("qid", F.lit(n_parts)).cast("int").alias("part"),
         "id",
         "score",
     )
-    settings = F.filter(F.array(*[F.lit(p) for p in sorted(grid)]), lambda p: p > F.col("probe_rank"))
-    cuts = per_list.withColumn("nprobe", F.explode(settings))
-    return top_k(cuts.withColumn("unit", F.struct("nprobe", "qid")), k, group="unit", ascending=metric_name not in ("ip", "dp")).select(
-        "nprobe", "qid", "rank", "id", "score"
+
+
+def recut(per_part: DataFrame, grid: list[int], k: int, setting: str, ascending: bool = True) -> DataFrame:
+    """Top k over the parts below each setting of the grid: ``setting, qid, rank, id, score``."""
+    settings = F.filter(F.array(*[F.lit(p) for p in sorted(grid)]), lambda p: p > F.col("part"))
+    cuts = per_part.withColumn(setting, F.explode(settings)).withColumn("unit", F.struct(setting, "qid"))
+    return top_k(cuts, k, group="unit", ascending=ascending).select(setting, "qid", "rank", "id", "score")
+
+
+def sweep_nprobe(base: DataFrame, queries: DataFrame, k: int, centroids: np.ndarray, grid: list[int], metric_name: str = "l2") -> DataFrame:
+    """Hits for every ``nprobe`` in the grid from one search: ``nprobe, qid, rank, id, score``."""
+    listed = base if "list_id" in base.columns else assign_lists(base, centroids)
+    asked = probe_lists(queries, centroids, max(grid)).withColumn("key", F.col("list_id"))
+    found = search_parts(
+        listed.withColumn("key", F.col("list_id")), asked, max(grid), k, "probe_rank", metric_name
     )
+    return recut(found, grid, k, "nprobe", metric_name not in ("ip", "dp"))
 
 
 def scan_cost(base_lists: DataFrame, probes: DataFrame, grid: list[int]) -> DataFrame:

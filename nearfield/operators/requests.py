@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from nearfield.operators.quantiles import grouped_percentiles
+
 # Latencies are capped at 60 s and recorded in microseconds; one request is
 # tried at most six times; elapsed time has a floor of 1 ms.
 LATENCY_CAP_S = 60.0
@@ -20,10 +22,8 @@ def _seconds(ts: Column) -> Column:
 
 def latency_stats(log: DataFrame, by: list[str]) -> DataFrame:
     """Exact mean, p95 and p99 (linear interpolation) of ``latency_s``, rounded to 4 decimals."""
-    grouped = log.groupBy(*by).agg(
-        F.count("latency_s").alias("n"),
-        F.avg("latency_s").alias("avg"),
-        F.percentile("latency_s", F.array(F.lit(0.95), F.lit(0.99))).alias("p"),
+    grouped = grouped_percentiles(
+        log, by, "latency_s", [0.95, 0.99], [F.count("latency_s").alias("n"), F.avg("latency_s").alias("avg")]
     )
     return grouped.select(
         *by,
@@ -64,9 +64,9 @@ def sketch_stats(sketches: DataFrame, by: list[str], k: int = 800) -> DataFrame:
 
 def worker_stats(log: DataFrame, by: list[str], worker: str = "worker") -> DataFrame:
     """Count, mean, p95 and p99 per worker of successful requests."""
-    ok = F.col("latency_s")
-    grouped = log.where("ok").groupBy(*by, worker).agg(
-        F.count(ok).alias("n"), F.avg(ok).alias("avg"), F.percentile(ok, F.array(F.lit(0.95), F.lit(0.99))).alias("p")
+    keys = [*by, worker]
+    grouped = grouped_percentiles(
+        log.where("ok"), keys, "latency_s", [0.95, 0.99], [F.count("latency_s").alias("n"), F.avg("latency_s").alias("avg")]
     )
     return grouped.select(*by, worker, "n", "avg", F.col("p")[0].alias("p95"), F.col("p")[1].alias("p99"))
 
@@ -88,13 +88,18 @@ def qps_by_concurrency(log: DataFrame, by: list[str]) -> DataFrame:
     The mean, p95 and p99 are those of the successful requests.
     """
     start = _seconds(F.col("ts"))
-    taken = F.when(F.col("ok"), F.col("latency_s"))
-    grouped = log.groupBy(*by).agg(
-        F.count_if("ok").alias("ok_count"),
-        F.count_if(~F.col("ok")).alias("failed_count"),
-        (F.max(start + F.col("latency_s")) - F.min(start)).alias("wall_s"),
-        F.avg(taken).alias("latency_avg"),
-        F.percentile(taken, F.array(F.lit(0.95), F.lit(0.99))).alias("p"),
+    taken = log.withColumn("taken", F.when(F.col("ok"), F.col("latency_s")))
+    grouped = grouped_percentiles(
+        taken,
+        by,
+        "taken",
+        [0.95, 0.99],
+        [
+            F.count_if("ok").alias("ok_count"),
+            F.count_if(~F.col("ok")).alias("failed_count"),
+            (F.max(start + F.col("latency_s")) - F.min(start)).alias("wall_s"),
+            F.avg("taken").alias("latency_avg"),
+        ],
     )
     return grouped.select(
         *by,
@@ -160,23 +165,27 @@ def cold_warm(log: DataFrame, by: list[str], phase: str = "pass") -> DataFrame:
 
     Statistics are rounded to 4 decimals before the ratio, and a zero denominator gives 0.
     """
+    each = grouped_percentiles(
+        log,
+        [*by, phase],
+        "latency_s",
+        [0.99, 0.95],
+        [F.min_by("latency_s", "seq").alias("first_query"), F.avg("latency_s").alias("avg")],
+    ).select(*by, phase, "first_query", F.col("p")[0].alias("p99"), F.col("p")[1].alias("p95"), "avg")
     names = ["first_query", "p99", "p95", "avg"]
-    out = []
-    for which in ("cold", "warm"):
-        mine = F.col(phase) == which
-        value = F.when(mine, F.col("latency_s"))
-        out += [
-            F.round(F.min_by(value, F.when(mine, F.col("seq"))), 4).alias(f"{which}_first_query"),
-            F.round(F.percentile(value, F.lit(0.99)), 4).alias(f"{which}_p99"),
-            F.round(F.percentile(value, F.lit(0.95)), 4).alias(f"{which}_p95"),
-            F.round(F.avg(value), 4).alias(f"{which}_avg"),
+    stats = each.groupBy(*by).agg(
+        *[
+            F.round(F.max(F.when(F.col(phase) == which, F.col(name))), 4).alias(f"{which}_{name}")
+            for which in ("cold", "warm")
+            for name in names
         ]
-    stats = log.groupBy(*by).agg(*out)
-    ratios = [
-        F.when(F.col(f"warm_{n}") != 0, F.round(F.col(f"cold_{n}") / F.col(f"warm_{n}"), 4)).otherwise(F.lit(0.0)).alias(f"{n}_ratio")
-        for n in names
-    ]
-    return stats.select("*", *ratios)
+    )
+
+    def ratio(name: str) -> Column:
+        below = F.col(f"warm_{name}")
+        return F.when(below != 0, F.round(F.col(f"cold_{name}") / below, 4)).otherwise(F.lit(0.0)).alias(f"{name}_ratio")
+
+    return stats.select("*", *[ratio(name) for name in names])
 
 
 def insert_throughput(log: DataFrame, by: str = "run") -> DataFrame:
