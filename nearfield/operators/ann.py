@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from nearfield.functions.vector import binary_quantize, metric
 from nearfield.operators.kernels import ProductKernel
 from nearfield.operators.nearest import nearest, top_k
-from nearfield.operators.quantize import ProductCodec, ScalarCodec, nearest_index
-from nearfield.sizing import broadcast_if_small
+from nearfield.operators.quantize import ProductCodec, ScalarCodec, nearest_index, nearest_indexes
+from nearfield.sizing import broadcast_bounded
 
 
 def assign_lists(base: DataFrame, centroids: np.ndarray) -> DataFrame:
@@ -25,12 +25,8 @@ def assign_lists(base: DataFrame, centroids: np.ndarray) -> DataFrame:
 
 def probe_lists(queries: DataFrame, centroids: np.ndarray, nprobe: int) -> DataFrame:
     """One row per query and probed list: ``qid, emb, list_id, probe_rank``."""
-    spark = queries.sparkSession
-    points = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(centroids)], "id BIGINT, emb ARRAY<DOUBLE>")
-    probes = nearest(points, queries.select("qid", "emb"), min(nprobe, len(centroids)), "l2").select(
-        "qid", F.col("id").cast("int").alias("list_id"), F.col("rank").alias("probe_rank")
-    )
-    return queries.join(probes, "qid")
+    lists = F.posexplode(nearest_indexes(F.col("emb"), centroids, nprobe)).alias("probe_rank", "list_id")
+    return queries.select("qid", "emb", lists)
 
 
 def knn_ivf_flat(base: DataFrame, queries: DataFrame, k: int, centroids: np.ndarray, nprobe: int, metric_name: str = "l2") -> DataFrame:
@@ -66,22 +62,26 @@ def _bits(df: DataFrame) -> DataFrame:
     return df.withColumn("emb", binary_quantize(F.col("emb")))
 
 
-def rerank(candidates: DataFrame, base: DataFrame, queries: DataFrame, k: int, metric_name: str = "cos") -> DataFrame:
+def rerank(candidates: DataFrame, base: DataFrame, queries: DataFrame, k: int, fetch: int, metric_name: str = "cos") -> DataFrame:
     """Measure fetched candidates exactly and keep k.
 
-    The full vectors are joined to at most ``queries x fetch`` candidate rows.
+    The full vectors meet at most ``queries x fetch`` candidate rows; that bound decides
+    whether the candidates are broadcast to the base table.
     """
     measure, ascending = metric(metric_name)
-    wanted = candidates.select("qid", "id").join(broadcast_if_small(queries.select("qid", F.col("emb").alias("q_emb"))), "qid")
-    rows = base.select("id", F.col("emb").alias("b_emb")).join(broadcast_if_small(wanted), "id")
+    asked = queries.select("qid", F.col("emb").alias("q_emb")).dropDuplicates(["qid"])
+    n, size = asked.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("q_emb")), F.lit(0))).first()
+    wanted = broadcast_bounded(candidates.select("qid", "id"), n * fetch)
+    rows = base.select("id", F.col("emb").alias("b_emb")).join(wanted, "id")
+    rows = rows.join(broadcast_bounded(asked, n, 64 + 8 * (size // max(n, 1))), "qid")
     scored = rows.select("qid", "id", (F.round(measure("q_emb", "b_emb"), 9) + F.lit(0.0)).alias("score"))
     return top_k(scored.where(F.col("score").isNotNull()), k, ascending=ascending).select("qid", "rank", "id", "score")
 
 
 def knn_rerank(base: DataFrame, queries: DataFrame, k: int, oversample: int, metric_name: str = "cos", fetch_limit: int | None = None) -> DataFrame:
     """Fetch ``k * oversample`` (or ``fetch_limit``) rows by sign bits, re-rank by the true metric."""
-    fetch = fetch_limit or k * oversample
-    return rerank(knn_binary(base, queries, max(fetch, k)), base, queries, k, metric_name)
+    fetch = max(fetch_limit or k * oversample, k)
+    return rerank(knn_binary(base, queries, fetch), base, queries, k, fetch, metric_name)
 
 
 def knn_ivf_bq(base: DataFrame, queries: DataFrame, k: int, centroids: np.ndarray, nprobe: int, refine_k: int, metric_name: str = "l2") -> DataFrame:
@@ -89,7 +89,7 @@ def knn_ivf_bq(base: DataFrame, queries: DataFrame, k: int, centroids: np.ndarra
     listed = base if "list_id" in base.columns else assign_lists(base, centroids)
     probes = probe_lists(queries, centroids, nprobe)
     fetched = nearest(_bits(listed), _bits(probes), k * refine_k, "hamming", key="list_id")
-    return rerank(fetched, base, queries, k, metric_name)
+    return rerank(fetched, base, queries, k, k * refine_k, metric_name)
 
 
 def search_parts(base: DataFrame, asked: DataFrame, n_parts: int, k: int, part: str, metric_name: str = "l2") -> DataFrame:

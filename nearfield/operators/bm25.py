@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from nearfield.functions.text import Analyzer
 from nearfield.operators.nearest import top_k
-from nearfield.sizing import broadcast_if_small
+from nearfield.sizing import broadcast_bounded, settle
 
 _WHOLE = ""  # no token is empty, so this term stands for the document itself
 
@@ -51,9 +51,8 @@ def term_stats(docs: DataFrame, vocabulary: DataFrame | None = None) -> DataFram
     """``term, df, total_dl``, with the whole corpus under the empty term. One pass."""
     terms = docs.select("dl", F.explode(F.array_append(F.array_distinct("tokens"), F.lit(_WHOLE))).alias("term"))
     if vocabulary is not None:
-        spark = docs.sparkSession
-        wanted = vocabulary.select("term").distinct().unionByName(spark.range(1).select(F.lit(_WHOLE).alias("term")))
-        terms = terms.join(broadcast_if_small(wanted), "term", "left_semi")
+        known = vocabulary.withColumn("known", F.lit(True))
+        terms = terms.join(known, "term", "left").where(F.col("known") | (F.col("term") == _WHOLE)).drop("known")
     return terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("dl").alias("total_dl"))
 
 
@@ -88,27 +87,27 @@ def query_terms(queries: DataFrame, analyzer: Analyzer | None = None) -> DataFra
     )
 
 
-def _weights(asked: DataFrame, stats: DataFrame, n: int) -> DataFrame:
-    return asked.join(stats, "term").select(
-        "term", "qid", (F.col("qtf") * idf(F.col("df"), F.lit(n))).alias("weight")
-    )
+def _weights(asked: DataFrame, stats: DataFrame, n_asked: int, n: int) -> DataFrame:
+    """``term, qid, weight``: at most one row per query and term."""
+    rows = asked.join(broadcast_bounded(stats, n_asked, 64), "term")
+    return rows.select("term", "qid", (F.col("qtf") * idf(F.col("df"), F.lit(n))).alias("weight"))
 
 
 def bm25_topk(corpus: DataFrame, queries: DataFrame, k: int, analyzer: Analyzer | None = None, params: Bm25 | None = None) -> DataFrame:
     """The k best documents of every query: ``qid, rank, doc_id, score``.
 
-    Only occurrences of query terms leave the scan. They are moved once, by document, so
-    that term counts, query sums and each task's share of the top k need no further
-    exchange; the last shuffle carries k rows per query and task.
+    One pass over the corpus counts the query terms, a second one scores. Only occurrences
+    of query terms leave the second scan. They are moved once, by document, so that term
+    counts, query sums and each task's share of the top k need no further exchange; the
+    last shuffle carries k rows per query and task.
     """
     params = params or Bm25()
     docs = analyzed(corpus, analyzer)
-    asked = query_terms(queries, analyzer)
-    vocabulary = broadcast_if_small(asked.select("term").distinct())
-    stats = term_stats(docs, asked)
+    asked, n_asked = _asked(queries, analyzer)
+    vocabulary = broadcast_bounded(asked.select("term").distinct(), n_asked, 64)
+    stats = settle(term_stats(docs, vocabulary), n_asked + 1)
     n, measured = corpus_size(stats)
-    avgdl = params.avgdl or measured
-    weights = broadcast_if_small(_weights(asked, stats, n))
+    weights = broadcast_bounded(_weights(asked, stats, n_asked, n), n_asked, 64)
     tf = (
         docs.select("doc_id", "dl", F.explode("tokens").alias("term"))
         .join(vocabulary, "term", "left_semi")
@@ -116,14 +115,24 @@ def bm25_topk(corpus: DataFrame, queries: DataFrame, k: int, analyzer: Analyzer
         .groupBy("doc_id", "dl", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
-    return _rank(tf, weights, k, params, avgdl)
+    return _rank(tf, weights, k, params, params.avgdl or measured)
+
+
+def _asked(queries: DataFrame, analyzer: Analyzer | None) -> tuple[DataFrame, int]:
+    """Query terms, computed once, and their number."""
+    asked = query_terms(queries, analyzer)
+    n = asked.count()
+    return settle(asked, n), n
 
 
 def bm25_from_postings(stored: DataFrame, stats: DataFrame, queries: DataFrame, k: int, analyzer: Analyzer | None = None, params: Bm25 | None = None) -> DataFrame:
     """As ``bm25_topk``, over stored postings and their term statistics."""
     params = params or Bm25()
+    asked, n_asked = _asked(queries, analyzer)
     n, measured = corpus_size(stats)
-    weights = broadcast_if_small(_weights(query_terms(queries, analyzer), stats, n))
+    wanted = asked.select("term").distinct()
+    known = settle(stats.join(broadcast_bounded(wanted, n_asked, 64), "term", "left_semi"), n_asked)
+    weights = broadcast_bounded(_weights(asked, known, n_asked, n), n_asked, 64)
     return _rank(stored, weights, k, params, params.avgdl or measured)
 
 
@@ -133,9 +142,9 @@ def _rank(tf: DataFrame, weights: DataFrame, k: int, params: Bm25, avgdl: float)
     return top_k(scored, k, tie="doc_id", ascending=False).select("qid", "rank", "doc_id", "score")
 
 
-def with_text(hits: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Add document texts to hits; only the hit rows meet the corpus."""
-    wanted = broadcast_if_small(hits)
+def with_text(hits: DataFrame, corpus: DataFrame, max_hits: int) -> DataFrame:
+    """Add document texts to hits (at most ``max_hits`` rows); only those meet the corpus."""
+    wanted = broadcast_bounded(hits, max_hits, 64)
     return corpus.select("doc_id", "text").join(wanted, "doc_id").select("qid", "rank", "doc_id", "score", "text")
 
 

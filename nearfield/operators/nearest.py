@@ -23,12 +23,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from nearfield.operators.kernels import BitKernel, DenseKernel, RunningTopK, scan_block
-from nearfield.sizing import broadcast_if_small
+from nearfield.sizing import broadcast_bounded, broadcast_if_small
 
 QUERY_BYTES = 256 * 1024 * 1024
 SLAB_ROWS = 1_000_000
 BLOCK_BYTES = 4 * 1024 * 1024
 BLOCK_ROWS = 4096
+ISIN_KEYS = 500
 _PARTIAL = pa.schema([("qid", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
 _PARTIAL_DDL = "qid BIGINT, id BIGINT, score DOUBLE"
 _FLUSH_ROWS = 1_000_000
@@ -81,8 +82,8 @@ def nearest(
     base_cols = [F.col("id").cast("bigint").alias("id"), F.col("emb")]
     query_cols = [F.col("qid").cast("bigint").alias("qid"), F.col("emb")]
     if key:
-        base_cols.append(F.col(key).cast("string").alias("key"))
-        query_cols.append(F.col(key).cast("string").alias("key"))
+        base_cols.append(F.col(key).alias("key"))
+        query_cols.append(F.col(key).alias("key"))
     base = base.where(F.col("emb").isNotNull() & F.col("id").isNotNull()).select(*base_cols)
     queries = queries.where(F.col("emb").isNotNull() & F.col("qid").isNotNull()).select(*query_cols)
     size = queries.agg(F.coalesce(F.sum(F.size("emb") * 8 + 64), F.lit(0)).alias("n")).first()["n"]
@@ -99,7 +100,7 @@ def _scan_broadcast(base: DataFrame, queries: DataFrame, k: int, make: Callable,
         return base.sparkSession.createDataFrame([], _PARTIAL_DDL)
     qids, first, place = np.unique(table["qid"].to_numpy(), return_index=True, return_inverse=True)
     vectors = matrix(table["emb"])[first]
-    groups: dict[str | None, np.ndarray] = {None: np.arange(len(qids))}
+    groups: dict = {None: np.arange(len(qids))}
     if keyed:
         keys = table["key"].combine_chunks().dictionary_encode()
         codes = keys.indices.to_numpy(zero_copy_only=False)
@@ -128,14 +129,22 @@ def _scan_broadcast(base: DataFrame, queries: DataFrame, k: int, make: Callable,
             )
 
     if keyed:
-        wanted = base.sparkSession.createDataFrame([(name,) for name in groups if name is not None], "key STRING")
-        base = base.join(broadcast_if_small(wanted), "key", "left_semi").select("id", "emb", "key")
+        base = _only_keys(base, queries, [name for name in groups if name is not None])
     return base.mapInArrow(scan, _PARTIAL_DDL)
 
 
+def _only_keys(base: DataFrame, queries: DataFrame, keys: list) -> DataFrame:
+    """Leave out base rows nobody asks for, by a filter that reaches the scan or a semi join."""
+    if len(keys) <= ISIN_KEYS:
+        return base.where(F.col("key").isin(keys))
+    wanted = broadcast_bounded(queries.select("key").distinct(), len(keys), 64)
+    return base.join(wanted, "key", "left_semi").select("id", "emb", "key")
+
+
 def _scan_blocks(base: DataFrame, queries: DataFrame, k: int, make: Callable, keyed: bool) -> DataFrame:
     if not keyed:
         base, queries = base.withColumn("key", F.lit("")), queries.withColumn("key", F.lit(""))
+    base, queries = (df.withColumn("key", F.col("key").cast("string")) for df in (base, queries))
     # Keys above SLAB_ROWS rows are at most rows / SLAB_ROWS many.
     hot = (
         base.groupBy("key")

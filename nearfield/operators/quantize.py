@@ -12,7 +12,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.operators.kernels import nearest_row
+from nearfield.operators.kernels import nearest_points
 from nearfield.operators.nearest import matrix
 
 # Number of steps of each scalar code.
@@ -142,12 +142,24 @@ def nearest_index(v: Column, points: np.ndarray) -> Column:
     @F.arrow_udf("int")
     def index(vectors: pa.Array) -> pa.Array:
         rows = _filled(vectors, points.shape[1])
-        found = nearest_row(points, rows) if len(rows) else np.empty(0)
+        found = nearest_points(points, rows)[:, 0] if len(rows) else np.empty(0)
         return pa.array(found.astype(np.int32), mask=vectors.is_null().to_numpy(zero_copy_only=False))
 
     return index(v)
 
 
+def nearest_indexes(v: Column, points: np.ndarray, k: int) -> Column:
+    """Indexes of the k nearest of a bounded set of points for each vector, nearest first."""
+
+    @F.arrow_udf("array<int>")
+    def indexes(vectors: pa.Array) -> pa.Array:
+        rows = _filled(vectors, points.shape[1])
+        found = nearest_points(points, rows, k) if len(rows) else np.empty((0, k))
+        return _lists(vectors, found.astype(np.int32))
+
+    return indexes(v)
+
+
 @dataclass(frozen=True)
 class ProductCodec:
     """Product codes: ``codebooks`` has shape (parts, codes, dims per part)."""
@@ -181,7 +193,7 @@ class ProductCodec:
             out = np.empty((len(rows), parts), dtype=np.int16)
             for part in range(parts):
                 if len(rows):
-                    out[:, part] = nearest_row(books[part], rows[:, part * width : (part + 1) * width])
+                    out[:, part] = nearest_points(books[part], rows[:, part * width : (part + 1) * width])[:, 0]
             return _lists(vectors, out)
 
         return codes(v)

@@ -17,7 +17,7 @@ ELAPSED_FLOOR_S = 0.001
 
 
 def _seconds(ts: Column) -> Column:
-    return F.unix_micros(ts) / F.lit(float(MICROS))
+    return F.unix_micros(ts.cast("timestamp")) / F.lit(float(MICROS))
 
 
 def latency_stats(log: DataFrame, by: list[str]) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from nearfield.session import work_dir
+
 MAX_BROADCAST_ROWS = 1_000_000
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 
@@ -33,6 +35,22 @@ def is_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int =
     return n <= max_rows and size <= max_bytes
 
 
+def broadcast_bounded(df: DataFrame, rows: int, row_bytes: int = 32) -> DataFrame:
+    """Hint a broadcast for a table with a known bound on its rows, without running it."""
+    fits = rows <= MAX_BROADCAST_ROWS and rows * row_bytes <= MAX_BROADCAST_BYTES
+    return F.broadcast(df) if fits else df
+
+
+def settle(df: DataFrame, rows: int, row_bytes: int = 64) -> DataFrame:
+    """Compute a table once: held by the plan if its bound is small, stored in the shared folder if not."""
+    spark = df.sparkSession
+    if rows <= MAX_BROADCAST_ROWS and rows * row_bytes <= MAX_BROADCAST_BYTES:
+        return spark.createDataFrame(df.toArrow(), schema=df.schema)
+    path = work_dir(spark, "settled")
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def broadcast_if_small(
     df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int = MAX_BROADCAST_BYTES
 ) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,7 +63,10 @@ def join_labels(vectors: DataFrame, labels: DataFrame, on: str = "id") -> DataFr
     return vectors.join(broadcast_if_small(labels), on, "left")
 
 
-def dense_row_ids(df: DataFrame, order: str, size: int | None = None, well_formed: Column | None = None, buckets: int = 256) -> DataFrame:
+BUCKET_ROWS, MAX_BUCKETS = 250_000, 4096
+
+
+def dense_row_ids(df: DataFrame, order: str, size: int | None = None, well_formed: Column | None = None, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """0-based consecutive ``row_id`` by a unique numeric ``order`` column; malformed rows use no id.
 
     Quantiles of the order column cut the table into even buckets, each bucket is counted,
@@ -69,33 +74,29 @@ def dense_row_ids(df: DataFrame, order: str, size: int | None = None, well_forme
     is moved once and no task sees the whole table. ``size`` keeps the first ids only.
     """
     rows = df if well_formed is None else df.where(well_formed)
-    cuts = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    edges = rows.agg(F.percentile_approx(order, cuts, F.lit(100_000)).alias("e")).first()["e"] or []
-    edges = sorted(set(edges))
-    # Number of edges at or below the value, by halving: log2(buckets) comparisons per row.
-    bucket = _step(F.col(order), edges, 0, len(edges))
-    marked = rows.withColumn("_bucket", bucket)
+    cuts = F.array(*[F.lit(i / MAX_BUCKETS) for i in range(1, MAX_BUCKETS)])
+    n, found = rows.agg(F.count(F.lit(1)), F.percentile_approx(order, cuts, F.lit(100_000))).first()
+    stride = max(1, MAX_BUCKETS // max(1, -(-n // bucket_rows)))
+    edges = np.array(sorted(set((found or [])[stride - 1 :: stride])))
+
+    @F.arrow_udf("int")
+    def bucket(values: pa.Array) -> pa.Array:
+        return pa.array(np.searchsorted(edges, values.to_numpy(zero_copy_only=False), side="right").astype(np.int32))
+
+    marked = rows.withColumn("_bucket", bucket(F.col(order)) if len(edges) else F.lit(0))
+    # At most MAX_BUCKETS counts.
     counts = {r["_bucket"]: r["n"] for r in marked.groupBy("_bucket").agg(F.count(F.lit(1)).alias("n")).collect()}
-    offsets, total = [], 0
-    for b in range(len(edges) + 1):
-        offsets.append(total)
-        total += counts.get(b, 0)
-    if size is not None:
-        last = max([b for b, start in enumerate(offsets) if start < size], default=-1)
-        marked = marked.where(F.col("_bucket") <= last)
+    starts, before = [], 0
+    for b in sorted(counts):
+        if size is None or before < size:
+            starts.append((b, before))
+        before += counts[b]
+    offsets = F.broadcast(df.sparkSession.createDataFrame(starts, "_bucket INT, _start BIGINT"))
     place = F.row_number().over(Window.partitionBy("_bucket").orderBy(order)) - 1
-    start = F.element_at(F.array(*[F.lit(o).cast("bigint") for o in offsets]), F.col("_bucket") + 1)
-    numbered = marked.withColumn("row_id", (start + place).cast("bigint")).drop("_bucket")
+    numbered = marked.withColumn("_place", place).join(offsets, "_bucket").select(*df.columns, (F.col("_start") + F.col("_place")).alias("row_id"))
     return numbered if size is None else numbered.where(F.col("row_id") < size)
 
 
-def _step(value: Column, edges: list, lo: int, hi: int) -> Column:
-    if lo >= hi:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    return F.when(value >= F.lit(edges[mid]), _step(value, edges, mid + 1, hi)).otherwise(_step(value, edges, lo, mid))
-
-
 def batch_ids(df: DataFrame, rows_per_batch: int = 100) -> DataFrame:
     """Fixed-size load batches over ``row_id``."""
     return df.withColumn("batch_id", F.floor(F.col("row_id") / F.lit(rows_per_batch)).cast("bigint"))

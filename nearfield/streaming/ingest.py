@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -53,3 +53,8 @@ def append_stream(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuer
 def read_appended(spark: SparkSession, out: str, schema: T.StructType) -> DataFrame:
     """Everything appended so far."""
     return spark.read.schema(schema).option("basePath", out).parquet(f"{out}/micro=*")
+
+
+def overrun_seconds(size: Column, rate: Column, actual_s: Column) -> Column:
+    """Actual insert time beyond the ideal ``ceil(size / rate)`` seconds."""
+    return actual_s - F.ceil(size / rate)

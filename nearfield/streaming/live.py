@@ -54,7 +54,7 @@ def request_windows(log: DataFrame, by: list[str], width: str = "30 seconds", sl
     grouped = rows.groupBy(frame.alias("w"), *by).agg(
         F.count(F.lit(1)).alias("requests"), F.count_if(~F.col("ok")).alias("failed"), stats.alias("stats")
     )
-    seconds = (F.unix_micros("w.end") - F.unix_micros("w.start")) / F.lit(1e6)
+    seconds = (F.unix_micros(F.col("w.end").cast("timestamp")) - F.unix_micros(F.col("w.start").cast("timestamp"))) / F.lit(1e6)
     ok = F.col("requests") - F.col("failed")
 
     def at(i: int, p: float):
