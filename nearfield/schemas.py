@@ -20,44 +20,55 @@ MANIFEST = (
     "analyzer STRUCT<tokenizer: STRING, filter: ARRAY<STRING>>"
 )
 
-METRICS = T.StructType.fromDDL(
-    "max_load_count DOUBLE, insert_duration DOUBLE, optimize_duration DOUBLE, load_duration DOUBLE, "
-    "qps DOUBLE, serial_latency_p99 DOUBLE, serial_latency_p95 DOUBLE, recall DOUBLE, ndcg DOUBLE, "
-    "conc_num_list ARRAY<BIGINT>, conc_qps_list ARRAY<DOUBLE>, conc_latency_p99_list ARRAY<DOUBLE>, "
-    "conc_latency_p95_list ARRAY<DOUBLE>, conc_latency_avg_list ARRAY<DOUBLE>, "
-    "payload_profile STRING, payload_estimated_bytes_per_query BIGINT, "
-    "inserted_count BIGINT, insert_rows_per_second DOUBLE, insert_completion_seconds DOUBLE, "
-    "searchable_after_insert_seconds DOUBLE, indexed_after_searchable_seconds DOUBLE, "
-    "additional_parameters MAP<STRING, STRING>, cold_latency STRING, "
-    "st_ideal_insert_duration BIGINT, st_search_stage_list ARRAY<BIGINT>, st_search_time_list ARRAY<DOUBLE>, "
-    "st_max_qps_list_list ARRAY<DOUBLE>, st_recall_list ARRAY<DOUBLE>, st_ndcg_list ARRAY<DOUBLE>, "
-    "st_serial_latency_p99_list ARRAY<DOUBLE>, st_serial_latency_p95_list ARRAY<DOUBLE>, "
-    "st_conc_failed_rate_list ARRAY<DOUBLE>, st_conc_num_list_list ARRAY<ARRAY<BIGINT>>, "
-    "st_conc_qps_list_list ARRAY<ARRAY<DOUBLE>>, st_conc_latency_p99_list_list ARRAY<ARRAY<DOUBLE>>, "
-    "st_conc_latency_p95_list_list ARRAY<ARRAY<DOUBLE>>, st_conc_latency_avg_list_list ARRAY<ARRAY<DOUBLE>>"
-)
+_LONG, _DOUBLE, _TEXT = T.LongType(), T.DoubleType(), T.StringType()
+_LONGS, _DOUBLES, _MAP = T.ArrayType(_LONG), T.ArrayType(_DOUBLE), T.MapType(_TEXT, _TEXT)
 
-TASK_CONFIG = T.StructType.fromDDL(
-    "db STRING, db_config MAP<STRING, STRING>, db_case_config MAP<STRING, STRING>, "
-    "case_config STRUCT<case_id: BIGINT, custom_case: MAP<STRING, STRING>, k: BIGINT>"
-)
 
-RESULT_RUN = T.StructType(
-    [
-        T.StructField("run_id", T.StringType()),
-        T.StructField("task_label", T.StringType()),
-        T.StructField("timestamp", T.DoubleType()),
-        T.StructField(
-            "results",
-            T.ArrayType(
-                T.StructType(
-                    [
-                        T.StructField("metrics", METRICS),
-                        T.StructField("task_config", TASK_CONFIG),
-                        T.StructField("label", T.StringType()),
-                    ]
-                )
-            ),
-        ),
-    ]
+def _struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
+
+
+METRICS = _struct(
+    max_load_count=_DOUBLE,
+    insert_duration=_DOUBLE,
+    optimize_duration=_DOUBLE,
+    load_duration=_DOUBLE,
+    qps=_DOUBLE,
+    serial_latency_p99=_DOUBLE,
+    serial_latency_p95=_DOUBLE,
+    recall=_DOUBLE,
+    ndcg=_DOUBLE,
+    conc_num_list=_LONGS,
+    conc_qps_list=_DOUBLES,
+    conc_latency_p99_list=_DOUBLES,
+    conc_latency_p95_list=_DOUBLES,
+    conc_latency_avg_list=_DOUBLES,
+    payload_profile=_TEXT,
+    payload_estimated_bytes_per_query=_LONG,
+    inserted_count=_LONG,
+    insert_rows_per_second=_DOUBLE,
+    insert_completion_seconds=_DOUBLE,
+    searchable_after_insert_seconds=_DOUBLE,
+    indexed_after_searchable_seconds=_DOUBLE,
+    additional_parameters=_MAP,
+    cold_latency=_TEXT,
+    st_ideal_insert_duration=_LONG,
+    st_search_stage_list=_LONGS,
+    st_search_time_list=_DOUBLES,
+    st_max_qps_list_list=_DOUBLES,
+    st_recall_list=_DOUBLES,
+    st_ndcg_list=_DOUBLES,
+    st_serial_latency_p99_list=_DOUBLES,
+    st_serial_latency_p95_list=_DOUBLES,
+    st_conc_failed_rate_list=_DOUBLES,
+    st_conc_num_list_list=T.ArrayType(_LONGS),
+    st_conc_qps_list_list=T.ArrayType(_DOUBLES),
+    st_conc_latency_p99_list_list=T.ArrayType(_DOUBLES),
+    st_conc_latency_p95_list_list=T.ArrayType(_DOUBLES),
+    st_conc_latency_avg_list_list=T.ArrayType(_DOUBLES),
 )
+
+CASE_CONFIG = _struct(case_id=_LONG, custom_case=_MAP, k=_LONG)
+TASK_CONFIG = _struct(db=_TEXT, db_config=_MAP, db_case_config=_MAP, case_config=CASE_CONFIG)
+CASE_RESULT = _struct(metrics=METRICS, task_config=TASK_CONFIG, label=_TEXT)
+RESULT_RUN = _struct(run_id=_TEXT, task_label=_TEXT, timestamp=_DOUBLE, results=T.ArrayType(CASE_RESULT))

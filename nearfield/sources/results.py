@@ -48,8 +48,8 @@ INT_FILTER_CASE = 400
 
 def parse_runs(texts: DataFrame, column: str = "json", file: str = "file") -> DataFrame:
     """Result documents held as JSON text, one per row."""
-    parsed = texts.select(F.col(file).alias("file"), F.from_json(column, RESULT_RUN).alias("r"))
-    return parsed.select("file", "r.*")
+    # The generator parses each text once, however many fields are read later.
+    return texts.select(F.col(file).alias("file"), F.inline(F.array(F.from_json(column, RESULT_RUN))))
 
 
 def read_runs(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
@@ -85,21 +85,21 @@ def case_rows(runs: DataFrame, trans_unit: bool = False) -> DataFrame:
 
 def map_legacy_cases(rows: DataFrame) -> DataFrame:
     """Older integer-filter case ids become the general case with its rate and dataset."""
-    legacy = rows.sparkSession.createDataFrame(LEGACY_CASES, "old_id BIGINT, old_rate DOUBLE, old_dataset STRING")
-    case = F.col("task_config.case_config")
-    joined = rows.join(F.broadcast(legacy), case["case_id"] == F.col("old_id"), "left")  # eight fixed rows
+    config, case = F.col("task_config"), F.col("task_config.case_config")
+    rates = F.create_map(*[F.lit(x) for number, rate, _ in LEGACY_CASES for x in (number, str(rate))])
+    names = F.create_map(*[F.lit(x) for number, _, dataset in LEGACY_CASES for x in (number, dataset)])
+    number = case["case_id"].cast("int")
     known = F.coalesce(case["custom_case"], F.create_map().cast("map<string,string>"))
     kept = F.map_filter(known, lambda key, _: ~key.isin("filter_rate", "dataset_with_size_type"))
-    added = F.create_map(
-        F.lit("filter_rate"), F.col("old_rate").cast("string"), F.lit("dataset_with_size_type"), F.col("old_dataset")
-    )
-    new_case = F.when(
-        F.col("old_id").isNotNull(),
-        case.withField("case_id", F.lit(INT_FILTER_CASE).cast("bigint")).withField("custom_case", F.map_concat(kept, added)),
-    ).otherwise(case)
-    return joined.withColumn("task_config", F.col("task_config").withField("case_config", new_case)).drop(
-        "old_id", "old_rate", "old_dataset"
+    added = F.create_map(F.lit("filter_rate"), F.element_at(rates, number), F.lit("dataset_with_size_type"), F.element_at(names, number))
+    old = number.isin([number for number, _, _ in LEGACY_CASES])
+    new_case = F.struct(
+        F.when(old, F.lit(INT_FILTER_CASE).cast("bigint")).otherwise(case["case_id"]).alias("case_id"),
+        F.when(old, F.map_concat(kept, added)).otherwise(case["custom_case"]).alias("custom_case"),
+        case["k"].alias("k"),
     )
+    changed = F.struct(config["db"].alias("db"), config["db_config"].alias("db_config"), config["db_case_config"].alias("db_case_config"), new_case.alias("case_config"))
+    return rows.withColumn("task_config", changed)
 
 
 def redact(config: Column) -> Column:
