@@ -214,32 +214,32 @@ def qps_recall_frontier(spark, sf):
 @query(
     "explode_concurrency",
     f"""WITH {RUNS}, x AS (SELECT *, unnest([1, 2, 3]) AS i FROM runs WHERE ord % 4 <> 3) SELECT ord, CAST(([1, 10, 80])[i] AS BIGINT) AS conc_num,
-    round(([o_totalprice / 1000, o_totalprice / 500, o_totalprice / 400])[i], 4) AS qps, round(coalesce(([o_totalprice / 1e6, o_totalprice / 5e5])[i], 0) * 1000, 4) AS latency_p99,
-    round(coalesce(([o_totalprice / 2e6])[i], 0) * 1000, 4) AS latency_p95, round(([o_totalprice / 4e6, o_totalprice / 3e6, o_totalprice / 2e6])[i] * 1000, 4) AS latency_avg FROM x""",
+    round(([o_totalprice / 1000, o_totalprice / 500, o_totalprice / 400])[i], 8) AS qps, round(coalesce(([o_totalprice / 1e6, o_totalprice / 5e5])[i], 0) * 1000, 8) AS latency_p99,
+    round(coalesce(([o_totalprice / 2e6])[i], 0) * 1000, 8) AS latency_p95, round(([o_totalprice / 4e6, o_totalprice / 3e6, o_totalprice / 2e6])[i] * 1000, 8) AS latency_avg FROM x""",
 )
 def explode_concurrency(spark, sf):
-    return rnd(G.explode_concurrency(with_lists(runs(spark, sf)), ["ord"]), "qps", "latency_p99", "latency_p95", "latency_avg", digits=4)
+    return rnd(G.explode_concurrency(with_lists(runs(spark, sf)), ["ord"]), "qps", "latency_p99", "latency_p95", "latency_avg", digits=8)
 
 
 @query(
     "explode_stages",
-    f"""WITH {RUNS}, {STAGES} SELECT ord, search_stage, round(search_time, 4) AS search_time, round(st_qps, 4) AS qps, round(st_recall, 4) AS recall, i <> 2 AS has_levels FROM stages""",
+    f"""WITH {RUNS}, {STAGES} SELECT ord, search_stage, round(search_time, 8) AS search_time, round(st_qps, 8) AS qps, round(st_recall, 8) AS recall, i <> 2 AS has_levels FROM stages""",
 )
 def explode_stages(spark, sf):
     rows = G.explode_stages(with_lists(runs(spark, sf)), ["ord"]).select("ord", "search_stage", "search_time", "qps", "recall", "has_levels")
-    return rnd(rows, "search_time", "qps", "recall", digits=4)
+    return rnd(rows, "search_time", "qps", "recall", digits=8)
 
 
 @query(
     "explode_stage_levels",
     f"""WITH {RUNS}, {STAGES}, lv AS (SELECT ord, o_totalprice AS p, search_stage, i, unnest(CASE i WHEN 1 THEN [1, 2] WHEN 2 THEN [0] WHEN 3 THEN [1] ELSE [1, 2] END) AS j FROM stages)
     SELECT ord, search_stage, CASE WHEN i <> 2 THEN CAST(([5, 10])[j] AS BIGINT) END AS conc_num,
-    round(CASE i WHEN 1 THEN ([p / 50, p / 40])[j] WHEN 3 THEN ([p / 30])[j] WHEN 4 THEN ([p / 20, p / 10])[j] END, 4) AS qps,
-    round(CASE i WHEN 1 THEN ([p / 1e6, p / 2e6])[j] WHEN 3 THEN ([p / 3e6])[j] WHEN 4 THEN ([p / 4e6, p / 5e6])[j] END * 1000, 4) AS latency_p99 FROM lv""",
+    round(CASE i WHEN 1 THEN ([p / 50, p / 40])[j] WHEN 3 THEN ([p / 30])[j] WHEN 4 THEN ([p / 20, p / 10])[j] END, 8) AS qps,
+    round(CASE i WHEN 1 THEN ([p / 1e6, p / 2e6])[j] WHEN 3 THEN ([p / 3e6])[j] WHEN 4 THEN ([p / 4e6, p / 5e6])[j] END * 1000, 8) AS latency_p99 FROM lv""",
 )
 def explode_stage_levels(spark, sf):
     rows = G.explode_stage_levels(with_lists(runs(spark, sf)), ["ord"]).select("ord", "search_stage", "conc_num", "qps", "latency_p99")
-    return rnd(rows, "qps", "latency_p99", digits=4)
+    return rnd(rows, "qps", "latency_p99", digits=8)
 
 
 @query("stage_split", f"WITH {RUNS}, {STAGES} SELECT ord, search_stage, search_stage <= 100 AS normal, ord % 2 <> 0 AND i >= 3 AS final_pair FROM stages")

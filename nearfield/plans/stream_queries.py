@@ -142,7 +142,7 @@ def request_windows_stream(spark, sf):
     given = table(spark, sf, "events")
     stream = spark.readStream.schema(given.schema).option("pathGlobFilter", "events*.parquet").parquet(sf)
     log = stream.select(
-        F.concat(F.lit("run_"), (F.col("user_id") % 4).cast("string")).alias("run"), "ts",
+        F.concat(F.lit("run_"), (F.col("user_id") % 4).cast("string")).alias("run"), F.col("ts").cast("timestamp").alias("ts"),
         (F.col("value") / F.lit(997.0)).alias("latency_s"), (F.col("event_type") != "error").alias("ok"),
     )
     closed = L.request_windows(log, ["run"], "6 hours", lateness="1 hour", exact=True)
