@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from nearfield.functions.vector import binary_quantize, metric
 from nearfield.operators.kernels import ProductKernel
-from nearfield.operators.nearest import nearest, top_k
+from nearfield.operators.nearest import nearest, pair_distance, top_k
 from nearfield.operators.quantize import ProductCodec, ScalarCodec, nearest_index, nearest_indexes
 from nearfield.sizing import broadcast_bounded
 
@@ -68,13 +68,19 @@ def rerank(candidates: DataFrame, base: DataFrame, queries: DataFrame, k: int, f
     The full vectors meet at most ``queries x fetch`` candidate rows; that bound decides
     whether the candidates are broadcast to the base table.
     """
-    measure, ascending = metric(metric_name)
+    expression, ascending = metric(metric_name)
     asked = queries.select("qid", F.col("emb").alias("q_emb")).dropDuplicates(["qid"])
     n, size = asked.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("q_emb")), F.lit(0))).first()
     wanted = broadcast_bounded(candidates.select("qid", "id"), n * fetch)
     rows = base.select("id", F.col("emb").alias("b_emb")).join(wanted, "id")
     rows = rows.join(broadcast_bounded(asked, n, 64 + 8 * (size // max(n, 1))), "qid")
-    scored = rows.select("qid", "id", (F.round(measure("q_emb", "b_emb"), 9) + F.lit(0.0)).alias("score"))
+    if metric_name in ("l2", "cos", "ip", "dp"):
+        distance = pair_distance(metric_name, F.col("q_emb"), F.col("b_emb"))
+        score = distance if ascending else -distance
+    else:
+        score = F.round(expression("q_emb", "b_emb"), 9)
+    known = rows.where(F.col("b_emb").isNotNull() & F.col("q_emb").isNotNull())
+    scored = known.select("qid", "id", (score + F.lit(0.0)).alias("score"))
     return top_k(scored.where(F.col("score").isNotNull()), k, ascending=ascending).select("qid", "rank", "id", "score")
 
 

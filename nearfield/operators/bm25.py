@@ -12,10 +12,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from nearfield.functions.text import Analyzer
+from nearfield.operators.bm25_scan import PARTIAL_DDL, STATS_DDL, WHOLE_NO, QueryTerms, count_terms, score_documents
 from nearfield.operators.nearest import top_k
 from nearfield.sizing import broadcast_bounded, settle
 
@@ -93,13 +96,43 @@ def _weights(asked: DataFrame, stats: DataFrame, n_asked: int, n: int) -> DataFr
     return rows.select("term", "qid", (F.col("qtf") * idf(F.col("df"), F.lit(n))).alias("weight"))
 
 
+SCAN_TERMS = 2_000_000
+
+
 def bm25_topk(corpus: DataFrame, queries: DataFrame, k: int, analyzer: Analyzer | None = None, params: Bm25 | None = None) -> DataFrame:
     """The k best documents of every query: ``qid, rank, doc_id, score``.
 
-    One pass over the corpus counts the query terms, a second one scores. Only occurrences
-    of query terms leave the second scan. They are moved once, by document, so that term
-    counts, query sums and each task's share of the top k need no further exchange; the
-    last shuffle carries k rows per query and task.
+    Query terms up to a measured bound are broadcast. Documents are tokenised where they
+    are read and scored inside Arrow batches, once to count the terms and once to rank, so
+    no text is shuffled: each task passes on one row per query term, then k rows per query.
+    Larger query sets, and text ids, are joined with the postings instead.
+    """
+    params = params or Bm25()
+    asked, n_asked = _asked(queries, analyzer)
+    if n_asked > SCAN_TERMS or not isinstance(corpus.schema["doc_id"].dataType, T.IntegralType):
+        return bm25_by_postings(corpus, queries, k, analyzer, params)
+    docs = analyzed(corpus, analyzer)
+    terms = QueryTerms.build(asked.select("qid", "term", "qtf").toArrow())
+    share = corpus.sparkSession.sparkContext.broadcast
+    counted = docs.select("dl", "tokens").mapInArrow(count_terms(share(terms)), STATS_DDL)
+    stats = counted.groupBy("term_no").agg(F.sum("df").alias("df"), F.sum("total_dl").alias("dl")).toArrow()
+    number, found = stats["term_no"].to_numpy(), stats["df"].to_numpy()
+    df = np.zeros(len(terms.vocabulary))
+    df[number[number >= 0]] = found[number >= 0]
+    n = int(found[number == WHOLE_NO].sum())
+    measured = float(stats["dl"].to_numpy()[number == WHOLE_NO].sum()) / max(n, 1) or 1.0
+    weighted = terms.weighted(np.log(1.0 + (n - df + 0.5) / (df + 0.5)))
+    score = score_documents(share(weighted), k, params.k1, params.b, params.avgdl or measured)
+    partial = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "dl", "tokens").mapInArrow(score, PARTIAL_DDL)
+    return top_k(partial, k, tie="doc_id", ascending=False).select("qid", "rank", "doc_id", "score")
+
+
+def bm25_by_postings(corpus: DataFrame, queries: DataFrame, k: int, analyzer: Analyzer | None = None, params: Bm25 | None = None) -> DataFrame:
+    """As ``bm25_topk``, by joins: for query sets of any size.
+
+    Only occurrences of query terms leave the second scan. They are moved once, by
+    document, so that term counts, query sums and each task's share of the top k need no
+    further exchange.
     """
     params = params or Bm25()
     docs = analyzed(corpus, analyzer)

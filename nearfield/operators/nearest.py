@@ -15,14 +15,16 @@ equi-join on (key, slab).
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from nearfield.operators.kernels import BitKernel, DenseKernel, RunningTopK, scan_block
+from nearfield.operators.kernels import DECIMALS, BitKernel, DenseKernel, RunningTopK, scan_block
 from nearfield.sizing import broadcast_bounded, broadcast_if_small
 
 QUERY_BYTES = 256 * 1024 * 1024
@@ -35,6 +37,18 @@ _PARTIAL_DDL = "qid BIGINT, id BIGINT, score DOUBLE"
 _FLUSH_ROWS = 1_000_000
 
 
+def pair_distance(metric: str, a: Column, b: Column) -> Column:
+    """Distance of two vectors in one row, as the searches measure it; null if undirected."""
+
+    @F.arrow_udf("double")
+    def measured(left: pa.Array, right: pa.Array) -> pa.Array:
+        kernel = DenseKernel(metric, matrix(left))
+        d = kernel.exact(np.arange(len(left)), kernel.prepare(matrix(right))) if len(left) else np.empty(0)
+        return pa.array(np.round(d, DECIMALS) + 0.0, mask=np.isnan(d))
+
+    return measured(a, b)
+
+
 def kernel_for(metric: str) -> Callable:
     """The block kernel of a metric name."""
     if metric in ("hamming", "jaccard"):
@@ -64,7 +78,7 @@ def top_k(scored: DataFrame, k: int, group: str = "qid", score: str = "score", t
 
 def nearest(
     base: DataFrame,
-    queries: DataFrame,
+    queries: DataFrame | QuerySet,
     k: int,
     metric: str = "l2",
     key: str | None = None,
@@ -79,36 +93,55 @@ def nearest(
     by id. Rows with a null or undirected (zero, for cosine) vector are never ranked.
     """
     make = kernel or kernel_for(metric)
-    base_cols = [F.col("id").cast("bigint").alias("id"), F.col("emb")]
-    query_cols = [F.col("qid").cast("bigint").alias("qid"), F.col("emb")]
-    if key:
-        base_cols.append(F.col(key).alias("key"))
-        query_cols.append(F.col(key).alias("key"))
-    base = base.where(F.col("emb").isNotNull() & F.col("id").isNotNull()).select(*base_cols)
-    queries = queries.where(F.col("emb").isNotNull() & F.col("qid").isNotNull()).select(*query_cols)
-    size = queries.agg(F.coalesce(F.sum(F.size("emb") * 8 + 64), F.lit(0)).alias("n")).first()["n"]
-    scan = _scan_broadcast if size <= query_bytes else _scan_blocks
-    partial = scan(base, queries, k, make, key is not None)
-    hits = top_k(partial, k)
+    asked = queries if isinstance(queries, QuerySet) else prepare_queries(queries, key, query_bytes)
+    rows = base.where(F.col("emb").isNotNull() & F.col("id").isNotNull()).select(
+        F.col("id").cast("bigint").alias("id"), "emb", *([F.col(key).alias("key")] if key else [])
+    )
+    scan = _scan_broadcast if asked.shared is not None else _scan_blocks
+    hits = top_k(scan(rows, asked, k, make, key is not None), k)
     score = -F.col("score") + F.lit(0.0) if metric in ("ip", "dp") else F.col("score")
     return hits.select("qid", F.col("rank").cast("int").alias("rank"), "id", score.alias("score"))
 
 
-def _scan_broadcast(base: DataFrame, queries: DataFrame, k: int, make: Callable, keyed: bool) -> DataFrame:
-    table = queries.toArrow()
-    if not table.num_rows:
-        return base.sparkSession.createDataFrame([], _PARTIAL_DDL)
+@dataclass(frozen=True)
+class QuerySet:
+    """A query table ready to be searched with, any number of times.
+
+    ``shared`` holds (query ids, vectors, queries per key) on the executors, or is None
+    for a table beyond the budget.
+    """
+
+    table: DataFrame
+    keys: list
+    shared: Broadcast | None
+
+
+def prepare_queries(queries: DataFrame, key: str | None = None, query_bytes: int = QUERY_BYTES) -> QuerySet:
+    """Measure a query table and broadcast it if it fits the budget."""
+    rows = queries.where(F.col("emb").isNotNull() & F.col("qid").isNotNull()).select(
+        F.col("qid").cast("bigint").alias("qid"), "emb", *([F.col(key).alias("key")] if key else [])
+    )
+    size = rows.agg(F.coalesce(F.sum(F.size("emb") * 8 + 64), F.lit(0)).alias("n")).first()["n"]
+    if size > query_bytes:
+        return QuerySet(rows, [], None)
+    table = rows.toArrow()
     qids, first, place = np.unique(table["qid"].to_numpy(), return_index=True, return_inverse=True)
-    vectors = matrix(table["emb"])[first]
     groups: dict = {None: np.arange(len(qids))}
-    if keyed:
+    if key:
         keys = table["key"].combine_chunks().dictionary_encode()
         codes = keys.indices.to_numpy(zero_copy_only=False)
         groups = {name: np.unique(place[codes == code]) for code, name in enumerate(keys.dictionary.to_pylist())}
-    shared = base.sparkSession.sparkContext.broadcast((qids, vectors, groups))
+    vectors = matrix(table["emb"])[first]
+    return QuerySet(rows, list(groups), queries.sparkSession.sparkContext.broadcast((qids, vectors, groups)))
+
+
+def _scan_broadcast(base: DataFrame, asked: QuerySet, k: int, make: Callable, keyed: bool) -> DataFrame:
+    shared = asked.shared
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, points, members = shared.value
+        if not len(names):
+            return
         state, distance = RunningTopK(len(names), k), make(points)
         for batch in batches:
             if not batch.num_rows:
@@ -129,7 +162,7 @@ def _scan_broadcast(base: DataFrame, queries: DataFrame, k: int, make: Callable,
             )
 
     if keyed:
-        base = _only_keys(base, queries, [name for name in groups if name is not None])
+        base = _only_keys(base, asked.table, [name for name in asked.keys if name is not None])
     return base.mapInArrow(scan, _PARTIAL_DDL)
 
 
@@ -141,7 +174,8 @@ def _only_keys(base: DataFrame, queries: DataFrame, keys: list) -> DataFrame:
     return base.join(wanted, "key", "left_semi").select("id", "emb", "key")
 
 
-def _scan_blocks(base: DataFrame, queries: DataFrame, k: int, make: Callable, keyed: bool) -> DataFrame:
+def _scan_blocks(base: DataFrame, asked_set: QuerySet, k: int, make: Callable, keyed: bool) -> DataFrame:
+    queries = asked_set.table
     if not keyed:
         base, queries = base.withColumn("key", F.lit("")), queries.withColumn("key", F.lit(""))
     base, queries = (df.withColumn("key", F.col("key").cast("string")) for df in (base, queries))

@@ -59,6 +59,12 @@ def bm25_topk(spark, sf):
     return shown(B.bm25_topk(corpus(spark, sf), text_queries(spark, sf), K))
 
 
+@query("bm25_by_postings", f"WITH {RANKED} SELECT qid, rank, doc_id, round(score, 6) AS score FROM h")
+def bm25_by_postings(spark, sf):
+    """The path for query sets of any size."""
+    return shown(B.bm25_by_postings(corpus(spark, sf), text_queries(spark, sf), K))
+
+
 @query("bm25_stored", f"WITH {RANKED} SELECT qid, rank, doc_id, round(score, 6) AS score FROM h")
 def bm25_stored(spark, sf):
     """The same ranking over stored postings."""

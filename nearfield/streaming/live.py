@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.operators.nearest import nearest, top_k
+from nearfield.operators.nearest import nearest, prepare_queries, top_k
 from nearfield.operators.requests import latency_micros
 from nearfield.schemas import HITS
 
@@ -19,7 +19,7 @@ class IncrementalTopK:
     """
 
     def __init__(self, spark: SparkSession, out: str, queries: DataFrame, k: int, metric: str = "cos"):
-        self.spark, self.out, self.queries, self.k, self.metric = spark, out, queries, k, metric
+        self.spark, self.out, self.queries, self.k, self.metric = spark, out, prepare_queries(queries), k, metric
         self.version = -1
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
