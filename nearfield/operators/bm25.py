@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from nearfield.functions.text import Analyzer
 from nearfield.operators.bm25_scan import PARTIAL_DDL, STATS_DDL, WHOLE_NO, QueryTerms, count_terms, score_documents
 from nearfield.operators.nearest import top_k
-from nearfield.sizing import broadcast_bounded, settle
+from nearfield.sizing import broadcast_bounded, settle, spread
 
 _WHOLE = ""  # no token is empty, so this term stands for the document itself
 
@@ -111,7 +111,7 @@ def bm25_topk(corpus: DataFrame, queries: DataFrame, k: int, analyzer: Analyzer
     asked, n_asked = _asked(queries, analyzer)
     if n_asked > SCAN_TERMS or not isinstance(corpus.schema["doc_id"].dataType, T.IntegralType):
         return bm25_by_postings(corpus, queries, k, analyzer, params)
-    docs = analyzed(corpus, analyzer)
+    docs = analyzed(spread(corpus.select("doc_id", "text"), "doc_id"), analyzer)
     terms = QueryTerms.build(asked.select("qid", "term", "qtf").toArrow())
     share = corpus.sparkSession.sparkContext.broadcast
     counted = docs.select("dl", "tokens").mapInArrow(count_terms(share(terms)), STATS_DDL)

@@ -41,6 +41,20 @@ def broadcast_bounded(df: DataFrame, rows: int, row_bytes: int = 32) -> DataFram
     return F.broadcast(df) if fits else df
 
 
+TASK_BYTES = 128 * 1024 * 1024
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give every core a share of an input that is read as fewer tasks than there are cores.
+
+    Decided from the optimiser's size estimate, so no job runs; larger inputs are left
+    where they are read.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores, key) if estimate < cores * TASK_BYTES else df
+
+
 def settle(df: DataFrame, rows: int, row_bytes: int = 64) -> DataFrame:
     """Compute a table once: held by the plan if its bound is small, stored in the shared folder if not."""
     spark = df.sparkSession
