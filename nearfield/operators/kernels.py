@@ -13,6 +13,7 @@ DECIMALS = 9
 _UNIT = 6.0e-8  # rounding unit of float32
 _BLOCK_CELLS = 1 << 24
 _PAIR_CELLS = 1 << 23
+CROWD = 4  # candidates per query and k above which a block is searched for equal rows
 
 
 class DenseKernel:
@@ -134,20 +135,46 @@ class RunningTopK:
         self.q, self.d, self.ids = q[keep], d[keep], ids[keep]
 
 
+def thin_copies(ids: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of equal rows keep the k lowest ids: no other copy can be among the k nearest."""
+    order = np.argsort(ids, kind="stable")
+    ids, rows = ids[order], np.ascontiguousarray(rows[order])
+    _, group = np.unique(rows.view(np.dtype((np.void, rows.shape[1] * rows.itemsize))).ravel(), return_inverse=True)
+    by_group = np.argsort(group, kind="stable")
+    ordered = group[by_group]
+    starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+    place = np.arange(len(ordered)) - np.repeat(starts, np.diff(np.r_[starts, len(ordered)]))
+    keep = by_group[place < k]
+    return ids[keep], rows[keep]
+
+
+def _candidates(kernel, state: RunningTopK, q: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs the screening cannot rule out."""
+    approx, error = kernel.screen(q, rows)
+    cut = kernel.limit(state.bound[q]) + error
+    if len(rows) > state.k:
+        kth = np.partition(np.nan_to_num(approx, nan=np.inf), state.k - 1, axis=1)[:, state.k - 1]
+        cut = np.minimum(cut, kth + 2.0 * error + 1e-8)
+    with np.errstate(invalid="ignore"):
+        return np.nonzero(~(approx > cut[:, None]))
+
+
 def scan_block(kernel, state: RunningTopK, q: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
     """Offer every row of a block to the queries ``q``."""
     rows = kernel.prepare(rows)
+    if rows.dtype == np.float64:
+        known = ~np.isnan(rows).any(axis=1)
+        if not known.all():
+            ids, rows = ids[known], rows[known]
+        q = q[~np.isnan(kernel.queries[q]).reshape(len(q), -1).any(axis=1)]
     step = max(64, _BLOCK_CELLS // max(1, len(q)))
     pair_step = max(1024, _PAIR_CELLS // max(1, rows.shape[1]))
     for start in range(0, len(rows), step):
         part, part_ids = rows[start : start + step], ids[start : start + step]
-        approx, error = kernel.screen(q, part)
-        cut = kernel.limit(state.bound[q]) + error
-        if part.shape[0] > state.k:
-            kth = np.partition(np.nan_to_num(approx, nan=np.inf), state.k - 1, axis=1)[:, state.k - 1]
-            cut = np.minimum(cut, kth + 2.0 * error + 1e-8)
-        with np.errstate(invalid="ignore"):
-            qi, ri = np.nonzero(~(approx > cut[:, None]))
+        qi, ri = _candidates(kernel, state, q, part)
+        if len(qi) > CROWD * state.k * max(1, len(q)):
+            part_ids, part = thin_copies(part_ids, part, state.k)
+            qi, ri = _candidates(kernel, state, q, part)
         for at in range(0, len(qi), pair_step):
             pq, pr = q[qi[at : at + pair_step]], ri[at : at + pair_step]
             d = np.round(kernel.exact(pq, part[pr]), DECIMALS) + 0.0

@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from nearfield.operators import nearest as N
+from nearfield.operators.kernels import BitKernel, DenseKernel, RunningTopK, scan_block, thin_copies
 from nearfield.operators.nearest import nearest
 
 
@@ -104,3 +105,31 @@ def test_filter_reaches_the_scan(spark, tmp_path):
     hits = nearest(spark.read.parquet(path).where("label = 3"), frame(spark, table(np.random.default_rng(8), 3, 4), "qid"), 2)
     plan = hits._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(label,3)" in plan and plan.count("Exchange") == 1
+
+
+@pytest.mark.parametrize("metric", ["l2", "cos", "ip"])
+def test_a_crowd_of_copies_in_one_block(metric):
+    rng = np.random.default_rng(12)
+    rows = rng.normal(size=(4000, 8))
+    rows[500:2500] = rows[500]
+    rows[100] = 0.0
+    ids = rng.permutation(4000)
+    queries = np.vstack([rows[500], rng.normal(size=(6, 8))])
+    state = RunningTopK(len(queries), 15)
+    for lo in range(0, 4000, 1500):
+        scan_block(DenseKernel(metric, queries), state, np.arange(len(queries)), ids[lo : lo + 1500], rows[lo : lo + 1500])
+    got = [(q, 0, i, d) for q, i, d in zip(state.q, state.ids, state.d)]
+    want = brute(dict(zip(ids, rows)), dict(enumerate(queries)), 15, metric)
+    assert [(g[0], g[2]) for g in got] == [(w[0], w[2]) for w in want]
+    kept, _ = thin_copies(ids, rows, 15)
+    assert len(kept) == 2000 + 15
+
+
+def test_crowded_bits():
+    rng = np.random.default_rng(13)
+    rows, queries = rng.integers(0, 4, size=(3000, 2)), rng.integers(0, 4, size=(5, 2))
+    state = RunningTopK(5, 10)
+    scan_block(BitKernel("hamming", queries), state, np.arange(5), np.arange(3000), rows)
+    for q in range(5):
+        d = [bin(int(a) ^ int(b)).count("1") + bin(int(c) ^ int(e)).count("1") for (a, c), (b, e) in zip(rows, [queries[q]] * 3000)]
+        assert state.ids[state.q == q].tolist() == sorted(range(3000), key=lambda i: (d[i], i))[:10]
