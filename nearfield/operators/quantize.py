@@ -145,7 +145,8 @@ def nearest_index(v: Column, points: np.ndarray) -> Column:
         found = nearest_points(points, rows)[:, 0] if len(rows) else np.empty(0)
         return pa.array(found.astype(np.int32), mask=vectors.is_null().to_numpy(zero_copy_only=False))
 
-    return index(v)
+    # Marked so that a filter on the index does not compute it twice.
+    return index.asNondeterministic()(v)
 
 
 def nearest_indexes(v: Column, points: np.ndarray, k: int) -> Column:

@@ -197,11 +197,13 @@ def qps_recall_frontier(points: DataFrame, by: str = "db_name") -> DataFrame:
     levels = points.groupBy(by, "recall").agg(F.max("qps").alias("top"))
     above = Window.partitionBy(by).orderBy(F.col("recall").desc()).rowsBetween(Window.unboundedPreceding, -1)
     levels = levels.withColumn("higher", F.max("top").over(above)).drop("top")
-    joined = points.join(levels, [by, "recall"])
     beaten = F.col("higher").isNotNull() & (F.col("higher") > F.col("qps"))
-    later = Window.partitionBy(by, "recall").orderBy(F.col("ord").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    kept = joined.where(~beaten).withColumn("on_frontier", F.max("qps").over(later) == F.col("qps"))
-    return kept.unionByName(joined.where(beaten).withColumn("on_frontier", F.lit(False))).drop("higher")
+    # Beaten points need no order, so they are spread instead of following their recall.
+    place = F.when(F.col("beaten"), F.pmod(F.xxhash64("ord"), F.lit(255)) + 1).otherwise(F.lit(0))
+    joined = points.join(levels, [by, "recall"]).withColumn("beaten", beaten).withColumn("place", place)
+    later = Window.partitionBy(by, "recall", "place").orderBy(F.col("ord").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    on_frontier = ~F.col("beaten") & (F.max("qps").over(later) == F.col("qps"))
+    return joined.withColumn("on_frontier", on_frontier).drop("higher", "beaten", "place")
 
 
 def _at(array: str, i: Column, scale: float = 1.0) -> Column:
