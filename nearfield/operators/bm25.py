@@ -114,7 +114,7 @@ def bm25_topk(corpus: DataFrame, queries: DataFrame, k: int, analyzer: Analyzer
     docs = analyzed(spread(corpus.select("doc_id", "text"), "doc_id"), analyzer)
     terms = QueryTerms.build(asked.select("qid", "term", "qtf").toArrow())
     share = corpus.sparkSession.sparkContext.broadcast
-    counted = docs.select("dl", "tokens").mapInArrow(count_terms(share(terms)), STATS_DDL)
+    counted = docs.select("dl", "tokens").mapInArrow(count_terms(share(terms.parts())), STATS_DDL)
     stats = counted.groupBy("term_no").agg(F.sum("df").alias("df"), F.sum("total_dl").alias("dl")).toArrow()
     number, found = stats["term_no"].to_numpy(), stats["df"].to_numpy()
     df = np.zeros(len(terms.vocabulary))
@@ -122,7 +122,7 @@ def bm25_topk(corpus: DataFrame, queries: DataFrame, k: int, analyzer: Analyzer
     n = int(found[number == WHOLE_NO].sum())
     measured = float(stats["dl"].to_numpy()[number == WHOLE_NO].sum()) / max(n, 1) or 1.0
     weighted = terms.weighted(np.log(1.0 + (n - df + 0.5) / (df + 0.5)))
-    score = score_documents(share(weighted), k, params.k1, params.b, params.avgdl or measured)
+    score = score_documents(share(weighted.parts()), k, params.k1, params.b, params.avgdl or measured)
     partial = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "dl", "tokens").mapInArrow(score, PARTIAL_DDL)
     return top_k(partial, k, tie="doc_id", ascending=False).select("qid", "rank", "doc_id", "score")
 

@@ -36,6 +36,10 @@ class QueryTerms:
         starts = np.r_[0, np.cumsum(np.bincount(term, minlength=len(coded.dictionary)))]
         return cls(coded.dictionary, qids, starts, query[order], asked["qtf"].to_numpy()[order].astype(np.float64))
 
+    def parts(self) -> tuple:
+        """Plain values to broadcast; ``QueryTerms(*parts)`` restores them."""
+        return self.vocabulary, self.qids, self.starts, self.query, self.weight
+
     def weighted(self, idf: np.ndarray) -> QueryTerms:
         """With each count multiplied by the idf of its term."""
         return QueryTerms(self.vocabulary, self.qids, self.starts, self.query, self.weight * np.repeat(idf, np.diff(self.starts)))
@@ -54,7 +58,7 @@ def count_terms(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
     """``dl, tokens`` batches to one partial row per term of the task, and one for all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = shared.value
+        terms = QueryTerms(*shared.value)
         df, docs, length = np.zeros(len(terms.vocabulary), dtype=np.int64), 0, 0
         for batch in batches:
             _, number, _ = _counts(batch.column(1), terms.vocabulary)
@@ -77,7 +81,7 @@ def score_documents(shared, k: int, k1: float, b: float, avgdl: float) -> Callab
     """``doc_id, dl, tokens`` batches to the k best documents of each query in the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = shared.value
+        terms = QueryTerms(*shared.value)
         best = RunningTopK(len(terms.qids), k)
         step = max(1, _CELLS // max(1, len(terms.qids)))
         for batch in batches:
