@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm import bpe, decontaminate
+from nearfield.llm import bpe, decontaminate, sharding
 from nearfield.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,3 +70,18 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         decontaminate.is_contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"),
     )
+
+
+@query(
+    "op9_sharding",
+    f"""
+    WITH d AS (SELECT doc_id, coalesce(octet_length(encode(text)), 0)::BIGINT AS n_bytes,
+                      lpad(bin(('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT), 60, '0') AS bits FROM documents),
+    b AS (SELECT depth, substr(bits, 1, depth) AS shard, sum(n_bytes)::BIGINT AS shard_bytes
+          FROM d, (SELECT unnest(range(0, 31))::INT AS depth) GROUP BY ALL HAVING sum(n_bytes) <= {sharding.LIMIT_BYTES} OR count(*) = 1)
+    SELECT doc_id, n_bytes, shard, depth, shard_bytes FROM d JOIN b ON substr(bits, 1, depth) = shard
+    QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY depth) = 1
+    """,
+)
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    return sharding.assign(table(spark, sf, "documents"))
