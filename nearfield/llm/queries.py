@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm import bpe, decontaminate, sharding
+from nearfield.llm import bpe, decontaminate, line_dedup, sharding
 from nearfield.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,6 +72,13 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("op5_line_dedup")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    kept = line_dedup.deduplicate(table(spark, sf, "documents"))
+    removed = F.array_except(F.sequence(F.lit(0), F.col("n_lines") - 1), "kept")
+    return kept.select("doc_id", "n_lines", F.size("kept").alias("n_kept"), F.array_join(removed.cast("array<string>"), ",").alias("removed"))
+
+
 @query(
     "op9_sharding",
     f"""
