@@ -45,5 +45,5 @@ def text_blocks(batches: Iterable[pa.RecordBatch], column: str = "text", limit:
 
 
 def hash_bucket(column, parts: int):
-    """crc32 of the decimal text of a key, modulo ``parts``."""
-    return F.crc32(column.cast("string").cast("binary")) % parts
+    """crc32 of the decimal text of a key (empty for null), modulo ``parts``."""
+    return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % parts

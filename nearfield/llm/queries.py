@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm import bpe, decontaminate, line_dedup, sharding
+from nearfield.llm import bpe, decontaminate, line_dedup, sharding, simhash
 from nearfield.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,6 +79,12 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", F.size("kept").alias("n_kept"), F.array_join(removed.cast("array<string>"), ",").alias("removed"))
 
 
+@query("op7_simhash_near_dedup")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    found = simhash.classes(table(spark, sf, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
 @query(
     "op9_sharding",
     f"""
