@@ -241,10 +241,12 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id",
     One row per input row, repeated rows and null keys included; other columns are left out,
     so no name can clash. A null or empty text has no ids and decodes to no bytes.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.build(read_ranks(ranks_path)))
+    vocabulary = Vocabulary.build(read_ranks(ranks_path))
+    # plain values, which workers can read without this package
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary.tokens, vocabulary.pair_keys, vocabulary.pair_ranks))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, decoder = BlockEncoder(shared.value, pattern), BlockDecoder(shared.value.tokens)
+        encoder, decoder = BlockEncoder(Vocabulary(*shared.value), pattern), BlockDecoder(shared.value[0])
         for block in text_blocks(batches):
             ids, counts = encoder.encode(block.column("text").to_pylist())
             offsets = np.r_[0, np.cumsum(counts)].astype(np.int32)

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm import bpe, decontaminate, line_dedup, sharding, simhash
-from nearfield.llm.common import table
+from nearfield.llm import bpe, decontaminate, kneser_ney, line_dedup, sharding, simhash
+from nearfield.llm.common import hash_bucket, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -98,3 +98,12 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
 )
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.assign(table(spark, sf, "documents"))
+
+
+@query("op10_lm_scoring")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    held = hash_bucket(F.col("doc_id"), 5) == 1
+    model = kneser_ney.train(docs.where(~held))
+    found = kneser_ney.score(docs, model)
+    return found.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("bigint").alias("train_tokens"), "base_score", "score", "perplexity")
