@@ -15,53 +15,53 @@ confirmed meet the whole list afterwards.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearfield.llm.common import stored
 from nearfield.sizing import broadcast_if_small
 
-SLOT_BITS = 18
+SLOT_BITS = 16
 _SLOTS = 1 << SLOT_BITS
-PLACE = ["key", "th", "line"]
+Side = Callable[[str], Column]
+PLACE = ["key", "spot"]
 
 
 def _identified(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``key``, a hash ``th`` of the text, and the text with all white space as spaces, in lower case."""
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    return docs.select(F.col(f"`{key}`").alias("key"), F.hash(body).alias("th"), body.alias("text"))
-
-
-def _words(line: Column) -> Column:
-    """Words between white space, in lower case."""
-    plain = F.when(line.rlike("[\\t\\x0B\\f\\r]"), F.translate(line, "\t\x0b\f\r", "    ")).otherwise(line)
-    return F.split(F.lower(plain), " ")
+    plain = F.when(body.rlike("[\\t\\x0B\\f\\r]"), F.translate(body, "\t\x0b\f\r", "    ")).otherwise(body)
+    return docs.select(F.col(f"`{key}`").alias("key"), F.hash(body).alias("th"), F.lower(plain).alias("text"))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    return docs.select("key", "th", F.posexplode(F.split("text", "\n")).alias("line", "words")).withColumn("words", _words(F.col("words")))
+    """Every line with its words; ``spot`` holds the hash of the text in its upper and the line number in its lower half."""
+    lines = docs.select("key", "th", F.posexplode(F.split("text", "\n")).alias("line", "words"))
+    spot = F.shiftleft(F.col("th").cast("bigint"), 32).bitwiseOR(F.col("line").cast("bigint"))
+    return lines.select("key", spot.alias("spot"), F.array_remove(F.split("words", " "), "").alias("words"))
 
 
 def _rarity(docs: DataFrame) -> Column:
-    """A byte per hash slot: the logarithm of how often words of that slot occur. The table has a fixed size."""
-    word = docs.select(F.explode(_words(F.translate("text", "\n", " "))).alias("word")).where("word <> ''")
+    """A number per hash slot: the logarithm of how often words of that slot occur. The table has a fixed size."""
+    word = docs.select(F.explode(F.split("text", "\n")).alias("line")).select(F.explode(F.split("line", " ")).alias("word"))
     counts = word.groupBy(F.expr(f"xxhash64(word) & {_SLOTS - 1}").alias("slot")).agg(F.count(F.lit(1)).alias("n"))
     dense = docs.sparkSession.range(_SLOTS).withColumnRenamed("id", "slot").join(counts, "slot", "left")
     level = F.expr("least(127, cast(round(4 * log2(1 + coalesce(n, 0))) AS int))")
-    hexed = dense.select("slot", F.lpad(F.hex(level), 2, "0").alias("h")).agg(F.expr("array_join(transform(array_sort(collect_list(struct(slot, h))), x -> x.h), '')"))
-    return F.unhex(F.lit(hexed.first()[0]))
+    listed = dense.select("slot", level.alias("level")).agg(F.expr("array_join(transform(array_sort(collect_list(struct(slot, level))), x -> cast(x.level AS string)), ',')"))
+    return F.split(F.lit(listed.first()[0]), ",").cast("array<bigint>")
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """Every distinct set of words at its earliest place: ``key, th, line, n, bits, prefix``."""
-    rarity = _rarity(docs)
+    """Every distinct set of words at its earliest place: ``key, spot, n, bits, prefix``."""
+    levels = _rarity(docs)
 
-    def token(word: Column) -> Column:
-        code = F.xxhash64(word)
-        level = F.ascii(F.substring(rarity, (code.bitwiseAND(_SLOTS - 1) + 1).cast("int"), F.lit(1)).cast("string"))
-        return F.shiftleft(level.cast("bigint"), 56).bitwiseOR(code.bitwiseAND((1 << 56) - 1))
+    def token(code: Column) -> Column:
+        return F.shiftleft(levels[code.bitwiseAND(_SLOTS - 1)], 56).bitwiseOR(code.bitwiseAND((1 << 56) - 1))
 
-    tokens = F.array_sort(F.array_distinct(F.transform(F.filter("words", lambda w: w != ""), token)))
-    lines = _lines(docs).select(*PLACE, tokens.alias("tokens")).where("size(tokens) > 0")
+    codes = F.array_distinct(F.transform("words", lambda w: F.xxhash64(w)))
+    lines = _lines(docs).where("size(words) > 0").select(*PLACE, F.sort_array(F.transform(codes, token)).alias("tokens"))
     lines = lines.select(
         F.xxhash64("tokens").alias("s1"),
         F.xxhash64("tokens", F.lit(1)).alias("s2"),
@@ -75,82 +75,76 @@ def _sets(docs: DataFrame) -> DataFrame:
     return lines.groupBy("s1", "s2").agg(F.min("first").alias("first")).select("first.*")
 
 
-def _need(a: Column, b: Column) -> Column:
-    """Least overlap of sets of these sizes at similarity 4/5."""
-    return F.ceil((a + b) * 4 / 9)
-
-
-def _near(x: str, y: str, share: float = 1.0) -> Column:
+def _near(x: Side, y: Side, share: float = 1.0) -> Column:
     """Sizes, places of the shared word and parity bits allow a similarity of 4/5."""
-    nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
-    apart = F.bit_count(F.col(f"{x}.bits").bitwiseXOR(F.col(f"{y}.bits")))
+    nx, ny = x("n"), y("n")
+    apart = F.bit_count(x("bits").bitwiseXOR(y("bits")))
+    need = F.ceil((nx + ny) * 4 / 9)
     return (
-        (nx * 5 >= ny * 4)
-        & (ny * 5 >= nx * 4)
-        & (apart <= (nx + ny - 2 * _need(nx, ny)) * share)
-        & (F.least(nx - F.col(f"{x}.at"), ny - F.col(f"{y}.at")) >= _need(nx, ny))
+        (nx * 5 >= ny * 4) & (ny * 5 >= nx * 4) & (apart <= (nx + ny - 2 * need) * share) & (F.least(nx - x("at"), ny - y("at")) >= need)
     )
 
 
+def _side(alias: str, suffix: str = "") -> Side:
+    return lambda name: F.col(f"{alias}.{name}{suffix}" if alias else f"{name}{suffix}")
+
+
+def _place(side: Side, name: str) -> Column:
+    return F.struct(*[side(c).alias(c) for c in PLACE]).alias(name)
+
+
 def _postings(sets: DataFrame) -> DataFrame:
-    return sets.select(*PLACE, "n", "bits", F.posexplode("prefix").alias("at", "token"))
+    """The index rows; the filters drop nothing, they make all uses of this table one plan, so that it is shuffled once."""
+    present = sets.where("n IS NOT NULL AND bits IS NOT NULL")
+    return present.select(*PLACE, "n", "bits", F.posexplode("prefix").alias("at", "token")).where("token IS NOT NULL")
 
 
-def _places(x: str, y: str) -> list[Column]:
-    return [F.struct(*[F.col(f"{side}.{c}").alias(c) for c in PLACE]).alias(side) for side in (x, y)]
+def _earlier() -> Column:
+    return _place(_side("y"), "y") < _place(_side("x"), "x")
 
 
 def _candidates(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs (later ``x``, earlier ``y``) through the shortcut, and all other pairs of lines without one."""
-    entry = F.struct(*PLACE, "n", "bits", "at")
     order = Window.partitionBy("token").orderBy(*PLACE)
+    fields = [*PLACE, "n", "bits", "at"]
     post = _postings(sets)
-    seen = post.select("token", entry.alias("x"), F.first(entry).over(order).alias("head"), F.lag(entry).over(order).alias("last"), F.row_number().over(order).alias("nth"))
-    seen = seen.where("nth > 1")
-    head, last = _near("x", "head", 0.75), _near("x", "last", 0.75)
-    seen = seen.withColumn("y", F.when(head, F.col("head")).when(last, F.col("last"))).select("token", "x", "y")
-    short = seen.where("y IS NOT NULL").select(*_places("x", "y"))
-    rest = seen.where("y IS NULL").select("token", "x").join(post.select("token", entry.alias("y")), "token")
-    return short, rest.where(_earlier() & _near("x", "y")).select(*_places("x", "y"))
-
-
-def _earlier() -> Column:
-    return F.struct(*[F.col(f"y.{c}") for c in PLACE]) < F.struct(*[F.col(f"x.{c}") for c in PLACE])
+    seen = post.withColumns({f"{c}_head": F.first(c).over(order) for c in fields} | {f"{c}_last": F.lag(c).over(order) for c in fields} | {"nth": F.row_number().over(order)})
+    own, head, last = _side(""), _side("", "_head"), _side("", "_last")
+    seen = seen.where("nth > 1").withColumn("y", F.when(_near(own, head, 0.75), _place(head, "y")).when(_near(own, last, 0.75), _place(last, "y")))
+    short = seen.where("y IS NOT NULL").select(_place(own, "x"), "y")
+    rest = seen.where("y IS NULL").select("token", *fields).alias("x").join(post.alias("y"), "token")
+    return short, rest.where(_earlier() & _near(_side("x"), _side("y"))).select(_place(_side("x"), "x"), _place(_side("y"), "y"))
 
 
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Pairs whose sets of words have a similarity of 4/5 or more."""
-    asked = pairs.select("x.*").unionByName(pairs.select("y.*")).distinct()
-    lines, held = _lines(docs).alias("l"), broadcast_if_small(asked).alias("a")
-    same = F.col("l.key").eqNullSafe(F.col("a.key")) & (F.col("l.th") == F.col("a.th")) & (F.col("l.line") == F.col("a.line"))
-    words = F.array_distinct(F.filter("l.words", lambda w: w != ""))
-    sets = lines.join(held, same, "left_semi").select(F.struct(*[F.col(f"l.{c}").alias(c) for c in PLACE]).alias("place"), words.alias("words")).dropDuplicates(["place"])
+    asked = broadcast_if_small(pairs.select(F.col("x").alias("place")).union(pairs.select("y")).distinct())
+    lines = _lines(docs).select(F.struct(*PLACE).alias("place"), "words").join(asked, "place", "left_semi")
+    sets = lines.select("place", F.array_distinct("words").alias("words")).dropDuplicates(["place"])
     sides = pairs.join(sets.select(F.col("place").alias("x"), F.col("words").alias("wx")), "x").join(sets.select(F.col("place").alias("y"), F.col("words").alias("wy")), "y")
     common = F.size(F.array_intersect("wx", "wy"))
     return sides.where(common * 5 >= (F.size("wx") + F.size("wy") - common) * 4).select("x", "y")
 
 
-def kept_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Places ``key, th, line`` of the lines that stay, lines without words left out."""
-    rows = _identified(docs, key, text)
+def kept_lines(rows: DataFrame) -> DataFrame:
+    """Places of the lines that stay, lines without words left out."""
     sets = stored(_sets(rows), "word-sets")
     short, rest = _candidates(sets)
-    pairs = stored(short.withColumn("short", F.lit(True)).unionByName(rest.withColumn("short", F.lit(False))).groupBy("x", "y").agg(F.max("short").alias("short")), "pairs")
+    both = short.withColumn("short", F.lit(True)).unionByName(rest.withColumn("short", F.lit(False)))
+    pairs = stored(both.groupBy("x", "y").agg(F.max("short").alias("short")), "pairs")
     found = stored(_verified(rows, pairs.select("x", "y")).select("x").distinct(), "matched")
     unsure = stored(pairs.where("short").select("x").distinct().join(found, "x", "left_anti"), "unsure")
     if not unsure.isEmpty():
         found = found.union(_again(rows, sets, unsure))
-    place = F.struct(*PLACE)
-    return sets.select(place.alias("x")).join(found.distinct(), "x", "left_anti").select("x.*")
+    return sets.select(F.struct(*PLACE).alias("x")).join(found, "x", "left_anti").select("x.*")
 
 
 def _again(rows: DataFrame, sets: DataFrame, unsure: DataFrame) -> DataFrame:
     """Lines whose shortcut was not confirmed, held against everything before them."""
-    entry = F.struct(*PLACE, "n", "bits", "at")
     post = _postings(sets)
-    asked = post.withColumn("place", F.struct(*PLACE)).join(broadcast_if_small(unsure.withColumnRenamed("x", "place")), "place", "left_semi").select("token", entry.alias("x"))
-    pairs = broadcast_if_small(asked).join(post.select("token", entry.alias("y")), "token").where(_earlier() & _near("x", "y"))
-    return _verified(rows, stored(pairs.select(*_places("x", "y")).distinct(), "pairs-again")).select("x").distinct()
+    asked = post.withColumn("place", F.struct(*PLACE)).join(broadcast_if_small(unsure.withColumnRenamed("x", "place")), "place", "left_semi").drop("place")
+    pairs = broadcast_if_small(asked).alias("x").join(post.alias("y"), "token").where(_earlier() & _near(_side("x"), _side("y")))
+    return _verified(rows, stored(pairs.select(_place(_side("x"), "x"), _place(_side("y"), "y")).distinct(), "pairs-again")).select("x")
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -164,8 +158,9 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     name can clash.
     """
     rows = _identified(docs, key, text)
-    stays = kept_lines(docs, key, text).groupBy("key", "th").agg(F.collect_list("line").alias("worded"))
-    blank = F.expr("filter(transform(split(text, '\\n'), (l, i) -> if(trim(translate(l, '\\t\\u000B\\f\\r', '    ')) = '', i, -1)), i -> i >= 0)")
+    stays = kept_lines(rows).select("key", F.shiftright("spot", 32).cast("int").alias("th"), F.col("spot").bitwiseAND((1 << 32) - 1).cast("int").alias("line"))
+    stays = stays.groupBy("key", "th").agg(F.collect_list("line").alias("worded"))
+    blank = F.expr("filter(transform(split(text, '\\n'), (l, i) -> if(trim(l) = '', i, -1)), i -> i >= 0)")
     base = rows.select("key", "th", F.size(F.split("text", "\n")).alias("n_lines"), blank.alias("blank")).alias("d")
     joined = base.join(stays.alias("s"), F.col("d.key").eqNullSafe(F.col("s.key")) & (F.col("d.th") == F.col("s.th")), "left")
     kept = F.array_sort(F.concat("d.blank", F.coalesce("s.worded", F.array().cast("array<int>"))))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm import bpe, decontaminate, kneser_ney, line_dedup, sharding, simhash
+from nearfield.llm import bpe, decontaminate, hamming_index, kneser_ney, line_dedup, sharding, simhash
 from nearfield.llm.common import hash_bucket, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,6 +79,12 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", F.size("kept").alias("n_kept"), F.array_join(removed.cast("array<string>"), ",").alias("removed"))
 
 
+@query("op6_approximate_nearest_neighbours")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    found = hamming_index.search(table(spark, sf, "embeddings"), F.col("id") % 100 == 0)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 @query("op7_simhash_near_dedup")
 def op7(spark: SparkSession, sf: str) -> DataFrame:
     found = simhash.classes(table(spark, sf, "documents"))
