@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm import bpe, decontaminate, hamming_index, kneser_ney, line_dedup, sharding, simhash
+from nearfield.llm import bpe, decontaminate, hamming_index, kneser_ney, langid, line_dedup, quality, sharding, simhash
 from nearfield.llm.common import hash_bucket, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,14 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("op3_quality_classifier")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    model = quality.learn(docs, labels.where(hash_bucket(F.col("doc_id"), 4) != 2))
+    found = quality.score(docs, model)
+    return found.select("doc_id", (hash_bucket(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
 
@@ -91,6 +99,14 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+@query("op8_language_id")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    held = hash_bucket(F.col("doc_id"), 3) == 1
+    found = langid.predict(docs, langid.learn(docs.where(~held)))
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 @query(
     "op9_sharding",
     f"""
