@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm import bpe, decontaminate, hamming_index, kneser_ney, langid, line_dedup, quality, sharding, simhash
+from nearfield.llm import bpe, decontaminate, hamming_index, kneser_ney, langid, line_dedup, pii, quality, sharding, simhash
 from nearfield.llm.common import hash_bucket, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,14 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("op2_pii")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    found = pii.find(table(spark, sf, "documents"))
+    base, terms = pii.written("base", pii.KINDS), pii.written("terms", pii.TERM_KINDS)
+    counts = [F.expr(f"cast(size(filter(base, s -> s.kind = {i})) AS bigint)").alias(f"n_{kind}") for i, kind in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(F.array_join(base, ","), 256).alias("base_sha256"), F.array_join(F.concat(base, terms), ",").alias("spans"))
+
+
 @query("op3_quality_classifier")
 def op3(spark: SparkSession, sf: str) -> DataFrame:
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
