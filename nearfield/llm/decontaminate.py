@@ -94,8 +94,8 @@ def _suspects(shared, lengths: list[int]) -> Callable:
                 for row, place in zip(rows[inside].tolist(), (passed - bounds[rows])[inside].tolist()):
                     found[row].append({"start": place, "length": length, "digest": _digest(texts[row][place : place + length])})
             yield pa.RecordBatch.from_arrays(
-                [block.column("key"), block.column("row"), pa.array(np.diff(bounds)), pa.array(found, WINDOWS)],
-                ["key", "row", "n_words", "windows"],
+                [block.column("key"), block.column("row"), block.column("th"), pa.array(np.diff(bounds)), pa.array(found, WINDOWS)],
+                ["key", "row", "th", "n_words", "windows"],
             )
 
     return run
@@ -105,14 +105,15 @@ WINDOWS = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("d
 
 
 def contamination(
-    docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW
+    docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, hashed: bool = False
 ) -> DataFrame:
     """Words of each document that lie inside a window of a benchmark item.
 
     One row per input row (repeated rows and null keys included): ``key, n_words, n_hit,
     items``. ``items`` holds the ids, as sorted distinct strings, of the items with an
     occurring window. Null and empty texts have no words; items without words are ignored,
-    and an empty benchmark hits nothing. Other columns are left out, so no name can clash.
+    and an empty benchmark hits nothing. Other columns are left out, so no name can clash;
+    with ``hashed`` a hash ``th`` of the text is added.
     """
     spark = docs.sparkSession
     sides = keyed_text(benchmark, item, item_text)
@@ -124,24 +125,25 @@ def contamination(
     bits[slots] = True
     shared = spark.sparkContext.broadcast(np.packbits(bits).tobytes())
 
-    rows = keyed_text(docs, key, text).withColumn("row", F.monotonically_increasing_id())
+    rows = keyed_text(docs, key, text).withColumn("row", F.monotonically_increasing_id()).withColumn("th", F.xxhash64("text"))
     kind = rows.schema["key"].dataType.simpleString()
     scanned = stored(
-        rows.mapInArrow(_suspects(shared, lengths), f"key {kind}, row BIGINT, n_words BIGINT, windows ARRAY<STRUCT<start: INT, length: INT, digest: BINARY>>"), "suspects"
+        rows.mapInArrow(_suspects(shared, lengths), f"key {kind}, row BIGINT, th BIGINT, n_words BIGINT, windows ARRAY<STRUCT<start: INT, length: INT, digest: BINARY>>"), "suspects"
     )
-    clean = scanned.where(F.size("windows") == 0).select("key", "n_words", F.lit(0).cast("bigint").alias("n_hit"), F.expr("cast(array() as array<string>)").alias("items"))
-    asked = scanned.where(F.size("windows") > 0).select("key", "row", "n_words", F.inline("windows"))
+    clean = scanned.where(F.size("windows") == 0).select("key", "th", "n_words", F.lit(0).cast("bigint").alias("n_hit"), F.expr("cast(array() as array<string>)").alias("items"))
+    asked = scanned.where(F.size("windows") > 0).select("key", "row", "th", "n_words", F.inline("windows"))
     of_item = broadcast_if_small(items.select("digest", F.col("item").cast("string").alias("item")))
     joined = asked.join(of_item, "digest", "left")
     spans = (
-        joined.groupBy("key", "row", "n_words")
+        joined.groupBy("key", "row", "th", "n_words")
         .agg(
             F.sort_array(F.collect_set(F.when(F.col("item").isNotNull(), F.struct("start", "length")))).alias("spans"),
             F.sort_array(F.collect_set("item")).alias("items"),
         )
-        .select("key", "n_words", _covered("spans").alias("n_hit"), "items")
+        .select("key", "th", "n_words", _covered("spans").alias("n_hit"), "items")
     )
-    return clean.unionByName(spans).withColumnRenamed("key", key)
+    both = clean.unionByName(spans)
+    return (both if hashed else both.drop("th")).withColumnRenamed("key", key)
 
 
 def _covered(spans: str):
