@@ -366,7 +366,7 @@ class Scorer:
         first, second = _bigrams(coded, begin)
         vocabulary, place = np.unique(second, return_inverse=True)
         count, before, mass = (m.words.take(m.files, what, vocabulary) if m.words.size else np.zeros(len(vocabulary)) for what in ("count", "before", "mass"))
-        word = (np.maximum(before - _discount(before, m.word_discounts), 0) / m.types if m.types else 0.0) + m.share / (m.words.size + 1)
+        word = np.maximum(before - _discount(before, m.word_discounts), 0) / max(1, m.types) + m.share / (m.words.size + 1)
         base = np.log10((count + 0.5) / (m.tokens + 0.5 * (m.words.size + 1)))
         total, left = np.r_[0.0, count[place[:-1]]], np.r_[0.0, mass[place[:-1]]]
         total[bounds[:-1]], left[bounds[:-1]] = m.start

@@ -97,9 +97,9 @@ def _mentions(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def _disclosing(docs: DataFrame, text: str, mentions: DataFrame, limits: Thresholds) -> DataFrame:
     """``entity, term, action``: 0 to remove, 1 to generalise."""
-    near = mentions.select("key", "th", F.inline("terms")).select("key", "th", "entity", "term").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("together"))
+    near = mentions.select(F.expr("inline(array_distinct(transform(terms, t -> struct(t.entity AS entity, t.term AS term))))")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("together"))
     near = stored(near.where(F.col("together") >= limits.documents), "term-pairs")
-    entity = mentions.select("key", "th", F.explode("spans").alias("s")).select("key", "th", F.concat_ws(":", "s.kind", "s.value").alias("entity")).distinct()
+    entity = mentions.select(F.explode(F.expr("array_distinct(transform(spans, s -> concat_ws(':', s.kind, s.value)))")).alias("entity"))
     entities = entity.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
     asked = broadcast_if_small(near.select("term").distinct())
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.col(f"`{text}`").cast("string")), F.lit(_TERM), F.lit(0)))
@@ -117,8 +117,8 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", limits: Thres
 
     Spans are ``kind, start, stop`` in code points, end exclusive; ``base`` also has the value.
     ``kind`` counts through ``KINDS``, and through ``TERM_KINDS`` for terms. One row per input
-    row, null keys included; rows that repeat a key and its text count as one document among
-    the entities and terms and all get the same spans. Null and empty texts have none. ``th``
+    row, null keys included; rows that repeat a key and its text each count as a document among
+    the entities and terms, and all get the same spans. Null and empty texts have none. ``th``
     is a hash of the text. Other columns are left out, so no name can clash.
     """
     mentions = stored(_mentions(docs, key, text), "mentions")
