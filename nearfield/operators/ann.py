@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from nearfield.functions.vector import binary_quantize, metric
 from nearfield.operators.kernels import ProductKernel
-from nearfield.operators.nearest import nearest, pair_distance, top_k
+from nearfield.operators.nearest import nearest, pair_distance, shown, top_k
 from nearfield.operators.quantize import ProductCodec, ScalarCodec, nearest_index, nearest_indexes
-from nearfield.sizing import broadcast_bounded
+from nearfield.sizing import broadcast_bounded, broadcast_if_small, settle
+from nearfield.sources.tables import dense_row_ids
 
 
 def assign_lists(base: DataFrame, centroids: np.ndarray) -> DataFrame:
@@ -78,10 +79,11 @@ def rerank(candidates: DataFrame, base: DataFrame, queries: DataFrame, k: int, f
         distance = pair_distance(metric_name, F.col("q_emb"), F.col("b_emb"))
         score = distance if ascending else -distance
     else:
-        score = F.round(expression("q_emb", "b_emb"), 9)
+        score = expression("q_emb", "b_emb")
     known = rows.where(F.col("b_emb").isNotNull() & F.col("q_emb").isNotNull())
     scored = known.select("qid", "id", (score + F.lit(0.0)).alias("score"))
-    return top_k(scored.where(F.col("score").isNotNull()), k, ascending=ascending).select("qid", "rank", "id", "score")
+    best = top_k(scored.where(F.col("score").isNotNull()), k, ascending=ascending)
+    return best.select("qid", "rank", "id", shown(F.col("score")).alias("score"))
 
 
 def knn_rerank(base: DataFrame, queries: DataFrame, k: int, oversample: int, metric_name: str = "cos", fetch_limit: int | None = None) -> DataFrame:
@@ -104,13 +106,19 @@ def search_parts(base: DataFrame, asked: DataFrame, n_parts: int, k: int, part:
     ``asked`` names the parts each query meets in column ``part`` (0 .. n_parts - 1) and
     the value of the ``key`` column shared with ``base``.
     """
-    unit = asked.select((F.col("qid") * F.lit(n_parts) + F.col(part)).alias("qid"), "emb", "key")
-    return nearest(base, unit, k, metric_name, key="key").select(
-        F.floor(F.col("qid") / F.lit(n_parts)).cast("bigint").alias("qid"),
-        F.pmod("qid", F.lit(n_parts)).cast("int").alias("part"),
-        "id",
-        "score",
+    # One number per (query, part). Numbers of queries stay below the count of queries, so any 64-bit id fits.
+    numbered = _numbered(asked.select("qid").distinct())
+    unit = asked.join(broadcast_if_small(numbered), "qid").select((F.col("_number") * F.lit(n_parts) + F.col(part)).alias("qid"), "emb", "key")
+    found = nearest(base, unit, k, metric_name, key="key").select(
+        F.expr(f"qid div {n_parts}").alias("_number"), F.expr(f"cast(qid % {n_parts} AS int)").alias("part"), "id", "score"
     )
+    return found.join(broadcast_if_small(numbered), "_number").select("qid", "part", "id", "score")
+
+
+def _numbered(ids: DataFrame) -> DataFrame:
+    """Consecutive numbers for distinct ids, the same in every use of the result."""
+    stored = settle(ids)
+    return settle(dense_row_ids(stored, "qid").select("qid", F.col("row_id").alias("_number")))
 
 
 def recut(per_part: DataFrame, grid: list[int], k: int, setting: str, ascending: bool = True) -> DataFrame:

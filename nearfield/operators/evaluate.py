@@ -21,9 +21,10 @@ def score_hits(hits: DataFrame, truth: DataFrame, k: int, queries: DataFrame | N
 
     Recall divides by k even where the truth is shorter, and counts a repeated answer each
     time. nDCG discounts by the place in the *truth*, over the set of answers, so the order
-    of an answer does not change it. Queries without truth or hits score 0.
+    of an answer does not change it. A truth that repeats an id counts it at its first place.
+    Queries without truth or hits score 0.
     """
-    wanted = truth.where(F.col("gt_rank") < k).select("qid", "id", "gt_rank")
+    wanted = truth.where(F.col("gt_rank") < k).groupBy("qid", "id").agg(F.min("gt_rank").alias("gt_rank"))
     found = (
         hits.where(F.col("rank") < k)
         .groupBy("qid", "id")

@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import numpy as np
 
-DECIMALS = 9
+DECIMALS = 9  # of a score that is shown
+_DIGITS = 14  # that decide a rank
 _UNIT = 6.0e-8  # rounding unit of float32
 _BLOCK_CELLS = 1 << 24
 _PAIR_CELLS = 1 << 23
@@ -57,9 +58,20 @@ class DenseKernel:
         return 1.0 - product if self.metric == "cos" else -product
 
 
+    def settled(self, d: np.ndarray) -> np.ndarray:
+        """Without the noise of the last digits, so that equal rows tie: relative for l2, whose small values are exact."""
+        if self.metric != "l2":
+            return np.round(d, _DIGITS) + 0.0
+        mantissa, exponent = np.frexp(d)
+        return np.ldexp(np.round(mantissa, _DIGITS), exponent)
+
+
 class BitKernel:
     """Hamming or Jaccard distance between packed words."""
 
+    def settled(self, d: np.ndarray) -> np.ndarray:
+        return np.round(d, _DIGITS)
+
     def __init__(self, metric: str, queries: np.ndarray):
         self.metric = metric
         self.queries = self.prepare(queries)
@@ -87,6 +99,9 @@ class BitKernel:
 class ProductKernel:
     """Squared L2 distance from full queries to product codes, by table look-up."""
 
+    def settled(self, d: np.ndarray) -> np.ndarray:
+        return np.round(d, _DIGITS)
+
     def __init__(self, codebooks: np.ndarray, queries: np.ndarray):
         parts, _, width = codebooks.shape
         split = np.asarray(queries, dtype=np.float64).reshape(len(queries), parts, 1, width)
@@ -99,8 +114,9 @@ class ProductKernel:
 
     def screen(self, q: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         total = np.zeros((len(q), len(rows)))
+        tables = self.tables[q]
         for part in range(rows.shape[1]):
-            total += self.tables[q][:, part, :][:, rows[:, part]]
+            total += tables[:, part, :][:, rows[:, part]]
         return total, np.full(len(q), 1e-9)
 
     def limit(self, bound: np.ndarray) -> np.ndarray:
@@ -177,7 +193,7 @@ def scan_block(kernel, state: RunningTopK, q: np.ndarray, ids: np.ndarray, rows:
             qi, ri = _candidates(kernel, state, q, part)
         for at in range(0, len(qi), pair_step):
             pq, pr = q[qi[at : at + pair_step]], ri[at : at + pair_step]
-            d = np.round(kernel.exact(pq, part[pr]), DECIMALS) + 0.0
+            d = kernel.settled(kernel.exact(pq, part[pr]))
             known = ~np.isnan(d)
             state.offer(pq[known], d[known], part_ids[pr][known])
 

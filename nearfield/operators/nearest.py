@@ -44,12 +44,17 @@ def pair_distance(metric: str, a: Column, b: Column) -> Column:
     def measured(left: pa.Array, right: pa.Array) -> pa.Array:
         kernel = DenseKernel(metric, matrix(left))
         d = kernel.exact(np.arange(len(left)), kernel.prepare(matrix(right))) if len(left) else np.empty(0)
-        return pa.array(np.round(d, DECIMALS) + 0.0, mask=np.isnan(d))
+        return pa.array(kernel.settled(d) if len(left) else d, mask=np.isnan(d))
 
     # Marked so that a filter on the result does not measure twice.
     return measured.asNondeterministic()(a, b)
 
 
+def shown(score: Column) -> Column:
+    """A score with the decimals that are shown."""
+    return F.rint(score * 10.0**DECIMALS) / 10.0**DECIMALS + F.lit(0.0)
+
+
 def kernel_for(metric: str) -> Callable:
     """The block kernel of a metric name."""
     if metric in ("hamming", "jaccard"):
@@ -57,10 +62,15 @@ def kernel_for(metric: str) -> Callable:
     return lambda queries: DenseKernel(metric, queries)
 
 
-def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    """A list column of equal-length, non-null vectors as a 2-D array."""
+def matrix(column: pa.Array | pa.ChunkedArray, ids: pa.Array | pa.ChunkedArray | None = None, width: int | None = None) -> np.ndarray:
+    """A list column of equal-length, non-null vectors as a 2-D array; another length is an error that names the row."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    lengths = column.value_lengths().to_numpy(zero_copy_only=False)
+    if len(lengths) and (odd := np.flatnonzero(lengths != (lengths[0] if width is None else width))).size:
+        row = int(odd[0])
+        name = f"id {ids[row].as_py()}" if ids is not None else f"row {row}"
+        raise ValueError(f"vector of {name} has {lengths[row]} components, others have {lengths[0] if width is None else width}")
     flat = column.flatten().to_numpy(zero_copy_only=False)
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
@@ -90,9 +100,12 @@ def nearest(
 
     ``base`` has ``id, emb`` and ``queries`` has ``qid, emb`` (and ``key`` on both sides
     when given; a query may appear once per key). Filters belong on ``base`` before the
-    call, where they reach the scan. Scores are rounded to 9 decimals and ties are ordered
-    by id. Rows with a null or undirected (zero, for cosine) vector are never ranked.
+    call, where they reach the scan. Ties (equal to 14 digits) are ordered by id; scores are
+    shown with 9 decimals. Rows with a null or undirected (zero, for cosine) vector are never
+    ranked. A query id that stands for several vectors is one query, with the least of them.
+    Ids are whole numbers; other types, and vectors of unequal length, are errors.
     """
+    _whole(base, "id")
     make = kernel or kernel_for(metric)
     asked = queries if isinstance(queries, QuerySet) else prepare_queries(queries, key, query_bytes)
     rows = base.where(F.col("emb").isNotNull() & F.col("id").isNotNull()).select(
@@ -100,10 +113,16 @@ def nearest(
     )
     scan = _scan_broadcast if asked.shared is not None else _scan_blocks
     hits = top_k(scan(rows, asked, k, make, key is not None), k)
-    score = -F.col("score") + F.lit(0.0) if metric in ("ip", "dp") else F.col("score")
+    score = shown(-F.col("score") if metric in ("ip", "dp") else F.col("score"))
     return hits.select("qid", F.col("rank").cast("int").alias("rank"), "id", score.alias("score"))
 
 
+def _whole(df: DataFrame, column: str) -> None:
+    kind = df.schema[column].dataType.simpleString()
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{column} is {kind}; searches take whole-number ids")
+
+
 @dataclass(frozen=True)
 class QuerySet:
     """A query table ready to be searched with, any number of times.
@@ -118,10 +137,14 @@ class QuerySet:
 
 
 def prepare_queries(queries: DataFrame, key: str | None = None, query_bytes: int = QUERY_BYTES) -> QuerySet:
-    """Measure a query table and broadcast it if it fits the budget."""
+    """Measure a query table and broadcast it if it fits the budget. One vector per query id, the least, on either path."""
+    _whole(queries, "qid")
     rows = queries.where(F.col("emb").isNotNull() & F.col("qid").isNotNull()).select(
         F.col("qid").cast("bigint").alias("qid"), "emb", *([F.col(key).alias("key")] if key else [])
     )
+    rows = rows.groupBy("qid").agg(F.min("emb").alias("emb"), *([F.collect_set("key").alias("keys")] if key else []))
+    if key:
+        rows = rows.select("qid", "emb", F.explode("keys").alias("key"))
     size = rows.agg(F.coalesce(F.sum(F.size("emb") * 8 + 64), F.lit(0)).alias("n")).first()["n"]
     if size > query_bytes:
         return QuerySet(rows, [], None)
@@ -132,7 +155,7 @@ def prepare_queries(queries: DataFrame, key: str | None = None, query_bytes: int
         keys = table["key"].combine_chunks().dictionary_encode()
         codes = keys.indices.to_numpy(zero_copy_only=False)
         groups = {name: np.unique(place[codes == code]) for code, name in enumerate(keys.dictionary.to_pylist())}
-    vectors = matrix(table["emb"])[first]
+    vectors = matrix(table["emb"], table["qid"])[first]
     return QuerySet(rows, list(groups), queries.sparkSession.sparkContext.broadcast((qids, vectors, groups)))
 
 
@@ -144,10 +167,11 @@ def _scan_broadcast(base: DataFrame, asked: QuerySet, k: int, make: Callable, ke
         if not len(names):
             return
         state, distance = RunningTopK(len(names), k), make(points)
+        fixed = isinstance(distance, (DenseKernel, BitKernel))  # codes are shorter than the vectors asked
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids, rows = batch.column(0).to_numpy(), matrix(batch.column(1))
+            ids, rows = batch.column(0).to_numpy(), matrix(batch.column(1), batch.column(0), points.shape[1] if fixed else None)
             if not keyed:
                 scan_block(distance, state, members[None], ids, rows)
                 continue
@@ -237,7 +261,7 @@ def _pack(df: DataFrame, id_col: str) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids, rows = batch.column(0).to_numpy(), matrix(batch.column(1)).astype(np.float64)
+            ids, rows = batch.column(0).to_numpy(), matrix(batch.column(1), batch.column(0)).astype(np.float64)
             keys, slabs = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             step = max(1, min(BLOCK_ROWS, BLOCK_BYTES // max(1, rows.shape[1] * 8)))
             edges = [0] + [i for i in range(1, len(keys)) if (keys[i], slabs[i]) != (keys[i - 1], slabs[i - 1])] + [len(keys)]

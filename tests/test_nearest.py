@@ -133,3 +133,34 @@ def test_crowded_bits():
     for q in range(5):
         d = [bin(int(a) ^ int(b)).count("1") + bin(int(c) ^ int(e)).count("1") for (a, c), (b, e) in zip(rows, [queries[q]] * 3000)]
         assert state.ids[state.q == q].tolist() == sorted(range(3000), key=lambda i: (d[i], i))[:10]
+
+
+def test_both_query_paths_agree_on_odd_input(spark):
+    """Repeated query ids, tiny distances and 32-bit ids give the same rows and schema with and without a broadcast."""
+    base = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 3e-10]), (3, [1.0, 1e-10]), (4, [1.0, 2e-10]), (5, [0.0, 5.0])], "id INT, emb ARRAY<DOUBLE>")
+    asked = spark.createDataFrame([(7, [1.0, 0.0]), (7, [1.0, 0.0]), (7, [9.0, 0.0]), (8, [0.0, 4.0])], "qid INT, emb ARRAY<DOUBLE>")
+    one, two = (nearest(base, asked, 4, "l2", query_bytes=size) for size in (1 << 28, 0))
+    assert one.schema == two.schema
+    rows = sorted(map(tuple, one.collect()))
+    assert rows == sorted(map(tuple, two.collect()))
+    assert [r[2] for r in rows if r[0] == 7] == [1, 3, 4, 2]
+
+
+def test_ragged_vectors_and_text_ids_are_errors(spark):
+    asked = spark.createDataFrame([(1, [1.0, 0.0])], "qid BIGINT, emb ARRAY<DOUBLE>")
+    ragged = spark.createDataFrame([(1, [1.0, 2.0]), (77, [1.0, 2.0, 3.0, 4.0]), (3, [1.0, 2.0])], "id BIGINT, emb ARRAY<DOUBLE>").coalesce(1)
+    with pytest.raises(Exception, match="id 77 has 4 components"):
+        nearest(ragged, asked, 2).collect()
+    with pytest.raises(TypeError, match="whole-number"):
+        nearest(ragged.withColumn("id", F.col("id").cast("string")), asked, 2)
+
+
+def test_sweep_takes_any_64_bit_query_id(spark):
+    from nearfield.operators import ann
+
+    base = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(20)], "id BIGINT, emb ARRAY<DOUBLE>")
+    big = (1 << 62) + 1
+    asked = spark.createDataFrame([(big, [3.2, 1.0]), (-big, [17.9, 1.0])], "qid BIGINT, emb ARRAY<DOUBLE>")
+    centres = np.array([[5.0, 1.0], [15.0, 1.0]])
+    rows = ann.sweep_nprobe(base, asked, 1, centres, [1, 2]).collect()
+    assert {(r.nprobe, r.qid, r.id) for r in rows} == {(n, q, i) for n in (1, 2) for q, i in ((big, 3), (-big, 18))}
