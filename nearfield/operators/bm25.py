@@ -90,29 +90,33 @@ def query_terms(queries: DataFrame, analyzer: Analyzer | None = None) -> DataFra
     )
 
 
-def _weights(asked: DataFrame, stats: DataFrame, n_asked: int, n: int) -> DataFrame:
+def _weights(asked: DataFrame, stats: DataFrame, n_asked: int, width: int, n: int) -> DataFrame:
     """``term, qid, weight``: at most one row per query and term."""
-    rows = asked.join(broadcast_bounded(stats, n_asked, 64), "term")
+    rows = asked.join(broadcast_bounded(stats, n_asked, width), "term")
     return rows.select("term", "qid", (F.col("qtf") * idf(F.col("df"), F.lit(n))).alias("weight"))
 
 
 SCAN_TERMS = 2_000_000
+SCAN_BYTES = 256 * 1024 * 1024
 
 
 def bm25_topk(corpus: DataFrame, queries: DataFrame, k: int, analyzer: Analyzer | None = None, params: Bm25 | None = None) -> DataFrame:
     """The k best documents of every query: ``qid, rank, doc_id, score``.
 
     Query terms up to a measured bound are broadcast. Documents are tokenised where they
-    are read and scored inside Arrow batches, once to count the terms and once to rank, so
-    no text is shuffled: each task passes on one row per query term, then k rows per query.
-    Larger query sets, and text ids, are joined with the postings instead.
+    are read (a small corpus is dealt over the cores first) and scored inside Arrow batches,
+    once to count the terms and once to rank: each task passes on one row per query term,
+    then k rows per query. Larger query sets, and text ids on either side, are joined with
+    the postings instead. Every row is a document, also where a doc_id repeats, and ids keep
+    the types they have.
     """
     params = params or Bm25()
-    asked, n_asked = _asked(queries, analyzer)
-    if n_asked > SCAN_TERMS or not isinstance(corpus.schema["doc_id"].dataType, T.IntegralType):
+    asked, n_asked, width = _asked(queries, analyzer)
+    whole = all(isinstance(df.schema[c].dataType, T.IntegralType) for df, c in ((corpus, "doc_id"), (queries, "qid")))
+    if n_asked > SCAN_TERMS or n_asked * width > SCAN_BYTES or not whole:
         return bm25_by_postings(corpus, queries, k, analyzer, params)
     docs = analyzed(spread(corpus.select("doc_id", "text"), "doc_id"), analyzer)
-    terms = QueryTerms.build(asked.select("qid", "term", "qtf").toArrow())
+    terms = QueryTerms.build(asked.select(F.col("qid").cast("bigint").alias("qid"), "term", "qtf").toArrow())
     share = corpus.sparkSession.sparkContext.broadcast
     counted = docs.select("dl", "tokens").mapInArrow(count_terms(share(terms.parts())), STATS_DDL)
     stats = counted.groupBy("term_no").agg(F.sum("df").alias("df"), F.sum("total_dl").alias("dl")).toArrow()
@@ -124,7 +128,9 @@ def bm25_topk(corpus: DataFrame, queries: DataFrame, k: int, analyzer: Analyzer
     weighted = terms.weighted(np.log(1.0 + (n - df + 0.5) / (df + 0.5)))
     score = score_documents(share(weighted.parts()), k, params.k1, params.b, params.avgdl or measured)
     partial = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "dl", "tokens").mapInArrow(score, PARTIAL_DDL)
-    return top_k(partial, k, tie="doc_id", ascending=False).select("qid", "rank", "doc_id", "score")
+    best = top_k(partial, k, tie="doc_id", ascending=False)
+    kinds = queries.schema["qid"].dataType, corpus.schema["doc_id"].dataType
+    return best.select(F.col("qid").cast(kinds[0]).alias("qid"), "rank", F.col("doc_id").cast(kinds[1]).alias("doc_id"), "score")
 
 
 def bm25_by_postings(corpus: DataFrame, queries: DataFrame, k: int, analyzer: Analyzer | None = None, params: Bm25 | None = None) -> DataFrame:
@@ -136,42 +142,44 @@ def bm25_by_postings(corpus: DataFrame, queries: DataFrame, k: int, analyzer: An
     """
     params = params or Bm25()
     docs = analyzed(corpus, analyzer)
-    asked, n_asked = _asked(queries, analyzer)
-    vocabulary = broadcast_bounded(asked.select("term").distinct(), n_asked, 64)
-    stats = settle(term_stats(docs, vocabulary), n_asked + 1)
+    asked, n_asked, width = _asked(queries, analyzer)
+    vocabulary = broadcast_bounded(asked.select("term").distinct(), n_asked, width)
+    stats = settle(term_stats(docs, vocabulary))
     n, measured = corpus_size(stats)
-    weights = broadcast_bounded(_weights(asked, stats, n_asked, n), n_asked, 64)
+    weights = broadcast_bounded(_weights(asked, stats, n_asked, width, n), n_asked, width)
     tf = (
-        docs.select("doc_id", "dl", F.explode("tokens").alias("term"))
+        docs.withColumn("row", F.monotonically_increasing_id())
+        .select("doc_id", "row", "dl", F.explode("tokens").alias("term"))
         .join(vocabulary, "term", "left_semi")
-        .repartition("doc_id")
-        .groupBy("doc_id", "dl", "term")
+        .repartition("doc_id", "row")
+        .groupBy("doc_id", "row", "dl", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
     return _rank(tf, weights, k, params, params.avgdl or measured)
 
 
-def _asked(queries: DataFrame, analyzer: Analyzer | None) -> tuple[DataFrame, int]:
-    """Query terms, computed once, and their number."""
-    asked = query_terms(queries, analyzer)
-    n = asked.count()
-    return settle(asked, n), n
+def _asked(queries: DataFrame, analyzer: Analyzer | None) -> tuple[DataFrame, int, int]:
+    """Query terms, computed once, their number, and the measured size of such a row."""
+    asked = settle(query_terms(queries, analyzer))
+    n, size = asked.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("term")), F.lit(0))).first()
+    return asked, n, 64 + size // max(n, 1)
 
 
 def bm25_from_postings(stored: DataFrame, stats: DataFrame, queries: DataFrame, k: int, analyzer: Analyzer | None = None, params: Bm25 | None = None) -> DataFrame:
     """As ``bm25_topk``, over stored postings and their term statistics."""
     params = params or Bm25()
-    asked, n_asked = _asked(queries, analyzer)
+    asked, n_asked, width = _asked(queries, analyzer)
     n, measured = corpus_size(stats)
     wanted = asked.select("term").distinct()
-    known = settle(stats.join(broadcast_bounded(wanted, n_asked, 64), "term", "left_semi"), n_asked)
-    weights = broadcast_bounded(_weights(asked, known, n_asked, n), n_asked, 64)
+    known = settle(stats.join(broadcast_bounded(wanted, n_asked, width), "term", "left_semi"))
+    weights = broadcast_bounded(_weights(asked, known, n_asked, width, n), n_asked, width)
     return _rank(stored, weights, k, params, params.avgdl or measured)
 
 
 def _rank(tf: DataFrame, weights: DataFrame, k: int, params: Bm25, avgdl: float) -> DataFrame:
     part = F.col("weight") * params.tf_part(F.col("tf"), F.col("dl"), avgdl)
-    scored = tf.join(weights, "term").groupBy("qid", "doc_id").agg(F.round(F.sum(part), 9).alias("score"))
+    rows = ["row"] if "row" in tf.columns else []
+    scored = tf.join(weights, "term").groupBy("qid", "doc_id", *rows).agg(F.round(F.sum(part), 9).alias("score"))
     return top_k(scored, k, tie="doc_id", ascending=False).select("qid", "rank", "doc_id", "score")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from nearfield.sizing import broadcast_if_small
 
 GROUP_ROWS = 4_000_000
-_EDGES = 64
+_CUT_ROWS = 1_000_000
 
 
 def groups_fit(df: DataFrame, by: list[str], limit: int = GROUP_ROWS) -> bool:
@@ -30,19 +30,29 @@ def grouped_percentiles(df: DataFrame, by: list[str], value: str, fractions: lis
         p = F.percentile(value, F.array(*[F.lit(f) for f in fractions])).alias("p")
         return df.groupBy(*by).agg(*aggs, p)
     found = _by_cuts(df.where(F.col(value).isNotNull()), by, value, fractions)
-    if not aggs:
-        return df.select(*by).distinct().join(found, by, "left")
-    return df.groupBy(*by).agg(*aggs).join(found, by, "left")
+    groups = df.groupBy(*by).agg(*aggs) if aggs else df.select(*by).distinct()
+    return _join(groups, found, by, "left")
+
+
+def _join(left: DataFrame, right: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys, a null key being equal to a null key."""
+    renamed = right.withColumnsRenamed({c: f"_r_{c}" for c in by})
+    same = F.lit(True)
+    for c in by:
+        same = same & left[c].eqNullSafe(renamed[f"_r_{c}"])
+    return left.join(renamed, same, how).drop(*[f"_r_{c}" for c in by])
 
 
 def _by_cuts(df: DataFrame, by: list[str], value: str, fractions: list[float]) -> DataFrame:
-    steps = F.array(*[F.lit(i / _EDGES) for i in range(1, _EDGES)])
+    largest = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    edges_n = min(8192, max(64, 2 * -(-largest // _CUT_ROWS)))
+    steps = F.array(*[F.lit(i / edges_n) for i in range(1, edges_n)])
     edges = df.groupBy(*by).agg(
         F.percentile_approx(value, steps, F.lit(10_000)).alias("_edges"), F.count(F.lit(1)).alias("_n")
     )
     cut = F.size(F.filter("_edges", lambda e: e < F.col(value)))
     counts = (
-        df.join(broadcast_if_small(edges), by)
+        _join(df, broadcast_if_small(edges), by)
         .select(*by, F.col(value).alias("_v"), "_n", cut.alias("_cut"))
         .groupBy(*by, "_cut", "_v", "_n")
         .agg(F.count(F.lit(1)).alias("_c"))
@@ -61,7 +71,7 @@ def _by_cuts(df: DataFrame, by: list[str], value: str, fractions: list[float]) -
             holds = holds | ((r >= F.col("_start")) & (r < F.col("_start") + F.col("_rows")))
     wanted = broadcast_if_small(starts.where(holds).select(*by, "_cut", "_start"))
     inside = Window.partitionBy(*by, "_cut").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.join(wanted, [*by, "_cut"]).withColumn("_to", F.col("_start") + F.sum("_c").over(inside))
+    ranked = _join(counts, wanted, [*by, "_cut"]).withColumn("_to", F.col("_start") + F.sum("_c").over(inside))
 
     def at(rank: Column) -> Column:
         return F.max(F.when((rank >= F.col("_to") - F.col("_c")) & (rank < F.col("_to")), F.col("_v")))

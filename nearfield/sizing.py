@@ -45,24 +45,17 @@ TASK_BYTES = 128 * 1024 * 1024
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give every core a share of an input that is read as fewer tasks than there are cores.
-
-    Decided from the optimiser's size estimate, so no job runs; larger inputs are left
-    where they are read.
-    """
+    """Deal an input that is read as fewer tasks than there are cores over all cores; a larger one stays where it is read."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores, key) if estimate < cores * TASK_BYTES else df
 
 
-def settle(df: DataFrame, rows: int, row_bytes: int = 64) -> DataFrame:
-    """Compute a table once: held by the plan if its bound is small, stored in the shared folder if not."""
-    spark = df.sparkSession
-    if rows <= MAX_BROADCAST_ROWS and rows * row_bytes <= MAX_BROADCAST_BYTES:
-        return spark.createDataFrame(df.toArrow(), schema=df.schema)
-    path = work_dir(spark, "settled")
+def settle(df: DataFrame) -> DataFrame:
+    """Compute a table once, into the shared folder."""
+    path = f"{work_dir(df.sparkSession, 'settled')}/table"
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def broadcast_if_small(

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from nearfield.functions.labels import int_truth_table, label_truth_table
-from nearfield.sizing import broadcast_if_small
+from nearfield.session import work_dir
+from nearfield.sizing import broadcast_if_small, settle
 
 
 def shard_names(count: int, shuffled: bool = False) -> list[str]:
@@ -63,28 +62,21 @@ def join_labels(vectors: DataFrame, labels: DataFrame, on: str = "id") -> DataFr
     return vectors.join(broadcast_if_small(labels), on, "left")
 
 
-BUCKET_ROWS, MAX_BUCKETS = 250_000, 4096
+BUCKET_ROWS = 250_000
 
 
 def dense_row_ids(df: DataFrame, order: str, size: int | None = None, well_formed: Column | None = None, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """0-based consecutive ``row_id`` by a unique numeric ``order`` column; malformed rows use no id.
 
-    Quantiles of the order column cut the table into even buckets, each bucket is counted,
-    and rows are numbered inside their bucket and shifted by the rows before it. Every row
-    is moved once and no task sees the whole table. ``size`` keeps the first ids only.
+    The table is cut into ranges of about ``bucket_rows`` rows, however many that makes, and
+    written; each range is counted, and rows are numbered inside their range and shifted by
+    the rows before it. No task sees more than a range. ``size`` keeps the first ids only.
     """
     rows = df if well_formed is None else df.where(well_formed)
-    cuts = F.array(*[F.lit(i / MAX_BUCKETS) for i in range(1, MAX_BUCKETS)])
-    n, found = rows.agg(F.count(F.lit(1)), F.percentile_approx(order, cuts, F.lit(100_000))).first()
-    stride = max(1, MAX_BUCKETS // max(1, -(-n // bucket_rows)))
-    edges = np.array(sorted(set((found or [])[stride - 1 :: stride])))
-
-    @F.arrow_udf("int")
-    def bucket(values: pa.Array) -> pa.Array:
-        return pa.array(np.searchsorted(edges, values.to_numpy(zero_copy_only=False), side="right").astype(np.int32))
-
-    marked = rows.withColumn("_bucket", bucket(F.col(order)) if len(edges) else F.lit(0))
-    # At most MAX_BUCKETS counts.
+    ranges = max(1, -(-rows.count() // bucket_rows))
+    # Written, since a second run of the range sampling may cut elsewhere.
+    marked = settle(rows.repartitionByRange(ranges, order).withColumn("_bucket", F.spark_partition_id()))
+    # One count per range.
     counts = {r["_bucket"]: r["n"] for r in marked.groupBy("_bucket").agg(F.count(F.lit(1)).alias("n")).collect()}
     starts, before = [], 0
     for b in sorted(counts):
@@ -99,7 +91,7 @@ def dense_row_ids(df: DataFrame, order: str, size: int | None = None, well_forme
 
 def batch_ids(df: DataFrame, rows_per_batch: int = 100) -> DataFrame:
     """Fixed-size load batches over ``row_id``."""
-    return df.withColumn("batch_id", F.floor(F.col("row_id") / F.lit(rows_per_batch)).cast("bigint"))
+    return df.withColumn("batch_id", F.expr(f"row_id div {int(rows_per_batch)}"))
 
 
 def unique_rows(df: DataFrame, key: str = "id") -> DataFrame:
@@ -158,8 +150,12 @@ def tenant_load_report(insert_log: DataFrame) -> DataFrame:
 
 
 def raise_on_partial_load(report: DataFrame) -> None:
-    """Fail with the names of failed and finished tenants (one row per tenant, sorted)."""
-    bad = [r["tenant"] for r in report.where(~F.col("ok")).orderBy("tenant").limit(1000).collect()]
-    if bad:
-        done = [r["tenant"] for r in report.where("ok").orderBy("tenant").limit(1000).collect()]
-        raise RuntimeError(f"partial load; failed tenants: {bad}; finished tenants: {done}")
+    """Fail with the names of all failed and finished tenants (one row per tenant, sorted); the report itself is kept in the shared folder."""
+    if report.where(~F.col("ok")).isEmpty():
+        return
+    path = work_dir(report.sparkSession, "partial-load")
+    report.write.parquet(path)
+    names = {ok: [r["tenant"] for r in report.where(F.col("ok") == ok).select("tenant").orderBy("tenant").collect()] for ok in (False, True)}
+    raise RuntimeError(
+        f"partial load; {len(names[False])} failed tenants: {names[False]}; {len(names[True])} finished tenants: {names[True]}; report in {path}"
+    )

@@ -92,3 +92,11 @@ def test_capacity_counts_whole_passes(spark):
     rows = [("a", p, b, 10, not (p == 2 and b == 1)) for p in range(4) for b in range(3)] + [("b", 0, 0, 10, False), ("c", 0, 0, 10, True)]
     log = spark.createDataFrame(rows, "run STRING, load_pass INT, batch_id INT, rows BIGINT, ok BOOLEAN")
     assert {r.run: r.max_load_count for r in Q.max_load_count(log).collect()} == {"a": 60, "b": 0, "c": 10}
+
+
+def test_percentiles_of_a_null_group_on_both_sides(spark):
+    from nearfield.operators.quantiles import grouped_percentiles
+
+    df = spark.createDataFrame([(None, 1.0), (None, 2.0), ("a", 4.0), ("a", 8.0), ("a", None), ("b", None)], "k STRING, v DOUBLE")
+    sides = [{r.k: r.p and list(r.p) for r in grouped_percentiles(df, ["k"], "v", [0.5], limit=limit).collect()} for limit in (100, 0)]
+    assert sides[0][None] == sides[1][None] == [1.5] and sides[0]["a"] == sides[1]["a"] == [6.0]

@@ -111,3 +111,20 @@ def test_titles_and_blanks(spark):
     df = spark.createDataFrame([(1, "T", "a\tb\nc "), (2, None, None)], "doc_id BIGINT, title STRING, text STRING")
     assert [r.text for r in C.titled_corpus(df).orderBy("doc_id").collect()] == ["T a b c", ""]
     assert [r.text for r in C.passage_corpus(df).orderBy("doc_id").collect()] == ["a b c ", None]
+
+
+def test_all_paths_agree_on_repeated_and_text_ids(spark, monkeypatch):
+    """Every row is a document; text ids work on both sides; ids keep their types on every path."""
+    docs = [(1, "quick fox"), (1, "quick fox jumps"), (2, "lazy dog"), (3, "fox")]
+    asked = [(5, "quick fox"), (6, "dog")]
+    for kinds in (("INT", "INT"), ("INT", "STRING"), ("STRING", "BIGINT")):
+        cast = [str if k == "STRING" else int for k in kinds]
+        corpus = spark.createDataFrame([(cast[0](i), t) for i, t in docs], f"doc_id {kinds[0]}, text STRING")
+        queries = spark.createDataFrame([(cast[1](i), t) for i, t in asked], f"qid {kinds[1]}, text STRING")
+        one = B.bm25_topk(corpus, queries, 3)
+        monkeypatch.setattr(B, "SCAN_TERMS", -1)
+        two = B.bm25_topk(corpus, queries, 3)
+        monkeypatch.undo()
+        assert [f.dataType for f in one.schema] == [f.dataType for f in two.schema]
+        rows = [sorted((str(r.qid), r["rank"], str(r.doc_id), round(r.score, 6)) for r in df.collect()) for df in (one, two)]
+        assert rows[0] == rows[1] and [r[2] for r in rows[0] if r[0] == "5"].count("1") == 2
