@@ -81,7 +81,8 @@ RUN_COLUMNS = {
     "version": _VERSION,
     "note": "o_orderstatus",
     "case_id": f"CAST({_CASE_ID} AS BIGINT)",
-    "case_name": f"'case_' || CAST({_CASE_ID} AS STRING)",
+    "case_name": f"""CASE o_orderkey % 8 WHEN 6 THEN 'Label-Filter-' || CAST(o_orderkey % 10 * 10 AS STRING) || '.0% - set_' || CAST(o_orderkey % 3 AS STRING)
+      WHEN 7 THEN 'Int-Filter-' || CAST(o_orderkey % 10 * 10 AS STRING) || '.0% - set_' || CAST(o_orderkey % 3 AS STRING) ELSE 'case_' || CAST({_CASE_ID} AS STRING) END""",
     "dataset": "'set_' || CAST(o_orderkey % 3 AS STRING)",
     "filter_type": "CASE o_orderkey % 8 WHEN 6 THEN 'Label' WHEN 7 THEN 'NumGE' ELSE 'NonFilter' END",
     "filter_rate": "CASE WHEN o_orderkey % 8 >= 6 THEN (o_orderkey % 10) / 1e1 ELSE 0e0 END",

@@ -32,6 +32,24 @@ def latency_sketch(spark, sf):
     return rounded(Q.sketch_stats(per_worker, ["run", "conc"]), latency_avg=6)
 
 
+@query(
+    "latency_sketch_bounds",
+    f"""WITH {REQUESTS} SELECT run, conc, count(latency_s) AS n, round(sum(least(CAST(trunc(latency_s * 1000000) AS BIGINT), 60000000)) / count(latency_s) / 1000000, 6) AS latency_avg,
+    true AS p95_within, true AS p99_within FROM r GROUP BY 1, 2""",
+)
+def latency_sketch_bounds(spark, sf):
+    """What is exact about the sketch: count and mean, and that its percentiles lie within two hundredths of their rank."""
+    log = requests(spark, sf)
+    sketched = Q.sketch_stats(Q.latency_sketch(log, ["run", "conc", "worker"]), ["run", "conc"])
+    ranks = F.percentile(Q.latency_micros(F.col("latency_s")) / 1e6, F.array(*map(F.lit, (0.93, 0.97, 1.0)))).alias("at")
+    both = sketched.join(log.groupBy("run", "conc").agg(ranks), ["run", "conc"])
+    return both.select(
+        "run", "conc", "n", F.round("latency_avg", 6).alias("latency_avg"),
+        F.col("latency_p95").between(F.col("at")[0], F.col("at")[1]).alias("p95_within"),
+        F.col("latency_p99").between(F.col("at")[1], F.col("at")[2]).alias("p99_within"),
+    )
+
+
 _WORKERS = f"w AS (SELECT run, conc, worker, count(*) AS n, avg(latency_s) AS avg, {_cont(.95)} AS p95, {_cont(.99)} AS p99 FROM r WHERE ok GROUP BY 1, 2, 3)"
 
 

@@ -19,7 +19,7 @@ LOWER_IS_BETTER = ("load_duration", "serial_latency_p99", "serial_latency_p95")
 METRIC_ORDER = ("qps", "recall", "load_duration", "serial_latency_p99", "serial_latency_p95", "max_load_count")
 SHOWN_ABOVE = 1e-7
 
-# Case id, name, dataset, filter kind, removed share, kind of case.
+# Case id, name, dataset, filter kind, removed share, kind of case. A name may take settings of the case.
 CASES = [
     (1, "Capacity Test (128 Dim Repeated)", "SIFT", "NonFilter", 0.0, "load"),
     (2, "Capacity Test (960 Dim Repeated)", "GIST", "NonFilter", 0.0, "load"),
@@ -31,11 +31,20 @@ CASES = [
     (17, "Search Performance Test (1M Dataset, 1024 Dim)", "Bioasq", "NonFilter", 0.0, "performance"),
     (20, "Search Performance Test (10M Dataset, 1024 Dim)", "Bioasq", "NonFilter", 0.0, "performance"),
     (50, "Search Performance Test (50K Dataset, 1536 Dim)", "OpenAI", "NonFilter", 0.0, "performance"),
-    (200, "Streaming Performance", None, "NonFilter", 0.0, "streaming"),
-    (300, "Label Filter", None, "Label", None, "performance"),
-    (400, "Int Filter", None, "NumGE", None, "performance"),
-    (503, "Full Text Search", None, "NonFilter", 0.0, "full_text"),
+    (100, "Custom", None, "NonFilter", 0.0, "performance"),
+    (101, "Performance With Custom Dataset", None, "NonFilter", 0.0, "performance"),
+    (200, "Streaming-Perf - {dataset}, {insert_rate} rows/s", None, "NonFilter", 0.0, "streaming"),
+    (201, "Streaming-Perf - Custom - {name}, {insert_rate} rows/s", None, "NonFilter", 0.0, "streaming"),
+    (300, "Label-Filter-{kept}% - {dataset}", None, "Label", None, "performance"),
+    (400, "Int-Filter-{removed}% - {dataset}", None, "NumGE", None, "performance"),
+    (500, "Cloud Payload Search - {payload_profile} - {dataset}", "LAION 100M (768dim)", "NonFilter", 0.0, "performance"),
+    (503, "FTS BM25 Performance - {dataset}", None, "NonFilter", 0.0, "full_text"),
+    (600, "Cloud Insert - batch {batch_size}", "LAION 100M (768dim)", "NonFilter", 0.0, "insert"),
+    (700, "Cloud Cold Latency - {payload_profile} - {dataset}", "LAION 100M (768dim)", "NonFilter", 0.0, "performance"),
+    (800, "Cloud Multi-Tenant Search - {dataset}, {tenant_count} tenants", None, "NonFilter", 0.0, "performance"),
 ]
+# Settings that a name takes where the case does not give them.
+CASE_SETTINGS = {"insert_rate": "500", "payload_profile": "ids_only", "tenant_count": "1000", "name": "", "batch_size": ""}
 _CASES_DDL = "case_id BIGINT, case_name STRING, case_dataset STRING, filter_type STRING, case_rate DOUBLE, case_kind STRING"
 
 
@@ -72,10 +81,29 @@ def flatten_results(rows: DataFrame, cases: DataFrame | None = None, normal_only
         named.withColumn("db_name", db_name(F.col("db"), F.col("db_label"), F.col("version")))
         .withColumn("dataset", F.coalesce(F.col("custom_case")["dataset_with_size_type"], "case_dataset"))
         .withColumn("filter_rate", F.coalesce(F.col("custom_case")["filter_rate"].cast("double"), share, "case_rate", F.lit(0.0)))
+        .withColumn("case_name", _full_name())
+        .withColumn("dim", dimensions(F.coalesce("dataset", F.lit("")), F.coalesce("case_name", F.lit(""))))
         .drop("case_dataset", "case_rate")
     )
 
 
+def _full_name() -> Column:
+    """The name of a case with its dataset, rate and other settings filled in."""
+    rate = F.col("filter_rate")
+    settings = {"dataset": F.coalesce("dataset", F.lit("")), "removed": F.format_string("%.1f", rate * 100), "kept": F.format_string("%.1f", (F.lit(1.0) - rate) * 100)}
+    settings |= {key: F.coalesce(F.col("custom_case")[key], F.lit(usual)) for key, usual in CASE_SETTINGS.items()}
+    name = F.col("case_name")
+    for key, value in settings.items():
+        name = F.replace(name, F.lit("{" + key + "}"), value)
+    return name
+
+
+def dimensions(dataset: Column, case_name: Column) -> Column:
+    """The number of dimensions that the name of a dataset, or else of a case, speaks of; 0 if neither does."""
+    found = [F.nullif(F.regexp_extract(F.lower(text), r"([0-9]+) ?dim", 1), F.lit("")) for text in (dataset, case_name)]
+    return F.coalesce(*found, F.lit("0")).cast("bigint")
+
+
 def group_results(runs: DataFrame, group_by: str = "run_id") -> DataFrame:
     """Give each run document its group and the run id, label and time of the group's first file.
 
@@ -398,6 +426,7 @@ def api_rows(flat: DataFrame, task_label: str) -> DataFrame:
         "dataset",
         "filter_type",
         "filter_rate",
+        "dim",
         "k",
         F.coalesce("max_load_count", F.lit(0.0)).cast("bigint").alias("max_load_count"),
         *[F.coalesce(n, F.lit(0.0)).alias(n) for n in ("load_duration", "qps", "serial_latency_p99", "serial_latency_p95", "recall", "ndcg")],

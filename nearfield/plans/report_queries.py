@@ -22,6 +22,8 @@ def rnd(df, *columns, digits=6):
 
 
 _CASE = "CASE WHEN ord % 16 = 15 THEN 400 WHEN ord % 16 = 7 THEN 600 ELSE case_id END"
+# The dataset that a result document names.
+_SET = "CASE ord % 3 WHEN 0 THEN 'MS MARCO Small (100K)' WHEN 1 THEN 'MS MARCO Medium (1M)' ELSE 'MS MARCO Large (8.8M)' END"
 _FILE = "'/results/' || db || '/result_' || lpad(CAST(ord AS VARCHAR), 12, '0') || '_a.json'"
 
 
@@ -29,7 +31,8 @@ _FILE = "'/results/' || db || '/result_' || lpad(CAST(ord AS VARCHAR), 12, '0')
     "flatten_results",
     f"""WITH {RUNS} SELECT {_FILE} AS file, db, db_label, db_name, CAST({_CASE} AS BIGINT) AS case_id,
     CASE {_CASE} WHEN 1 THEN 'Capacity Test (128 Dim Repeated)' WHEN 4 THEN 'Search Performance Test (10M Dataset, 768 Dim)' WHEN 5 THEN 'Search Performance Test (1M Dataset, 768 Dim)' WHEN 10 THEN 'Search Performance Test (500K Dataset, 1536 Dim)'
-      WHEN 11 THEN 'Search Performance Test (5M Dataset, 1536 Dim)' WHEN 200 THEN 'Streaming Performance' WHEN 300 THEN 'Label Filter' WHEN 400 THEN 'Int Filter' END AS case_name,
+      WHEN 11 THEN 'Search Performance Test (5M Dataset, 1536 Dim)' WHEN 200 THEN 'Streaming-Perf - ' || {_SET} || ', 500 rows/s'
+      WHEN 300 THEN 'Label-Filter-100.0% - ' || {_SET} WHEN 400 THEN 'Int-Filter-1.0% - Medium Cohere (768dim, 1M)' WHEN 600 THEN 'Cloud Insert - batch ' END AS case_name,
     CASE WHEN ord % 16 = 15 THEN 0.01::DOUBLE ELSE 0e0 END AS filter_rate, round(qps, 6) AS qps, round(recall, 6) AS recall, round(load_duration, 6) AS load_duration FROM runs WHERE {NORMAL}""",
 )
 def flatten_results(spark, sf):
@@ -49,14 +52,14 @@ def merge_by_db(spark, sf):
 
 
 _PICK_DB = "db_name IN (SELECT db_name FROM runs GROUP BY 1 HAVING count(*) % 2 = 0)"
-_PICK_CASE = "case_name IN ('case_4', 'case_5', 'case_300')"
+_PICK_CASE = "case_name IN ('case_4', 'case_5', 'Label-Filter-40.0% - set_1')"
 
 
 @query("filter_tasks", f"WITH {RUNS} SELECT ord, db_name, case_name FROM runs WHERE {_PICK_DB} AND {_PICK_CASE}")
 def filter_tasks(spark, sf):
     r = runs(spark, sf)
     chosen = r.groupBy("db_name").count().where(F.col("count") % 2 == 0).select("db_name")
-    return G.filter_tasks(r, chosen, ["case_4", "case_5", "case_300"]).select("ord", "db_name", "case_name")
+    return G.filter_tasks(r, chosen, ["case_4", "case_5", "Label-Filter-40.0% - set_1"]).select("ord", "db_name", "case_name")
 
 
 BEST = "best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY db_name, case_name ORDER BY qps DESC, ord DESC) AS n FROM runs) WHERE n = 1)"
@@ -292,13 +295,13 @@ def filter_curves(spark, sf):
 
 @query(
     "api_rows",
-    f"""WITH {RUNS} SELECT CAST(floor(timestamp) AS BIGINT) AS timestamp, db, db_label, version, note, CAST(100 AS BIGINT) AS k, CAST(max_load_count AS BIGINT) AS max_load_count, round(qps, 6) AS qps,
+    f"""WITH {RUNS} SELECT CAST(floor(timestamp) AS BIGINT) AS timestamp, db, db_label, version, note, CAST(CASE WHEN ord % 16 IN (7, 15) THEN 0 WHEN case_id IN (4, 5) THEN 768 WHEN case_id IN (10, 11) THEN 1536 ELSE 0 END AS BIGINT) AS dim, CAST(100 AS BIGINT) AS k, CAST(max_load_count AS BIGINT) AS max_load_count, round(qps, 6) AS qps,
     CASE WHEN ord % 4 = 3 THEN NULL ELSE round(o_totalprice / 1000, 6) END AS first_qps FROM runs WHERE task_label = 'standard_2025' AND case_id <> 1""",
 )
 def api_rows(spark, sf):
     flat = G.flatten_results(R.case_rows(docs(spark, sf)), normal_only=False)
     rows = G.api_rows(flat, "standard_2025")
-    return rows.select("timestamp", "db", "db_label", "version", "note", "k", "max_load_count", F.round("qps", 6).alias("qps"), F.get("conc_qps_list", F.lit(0)).alias("first_qps"))
+    return rows.select("timestamp", "db", "db_label", "version", "note", "dim", "k", "max_load_count", F.round("qps", 6).alias("qps"), F.get("conc_qps_list", F.lit(0)).alias("first_qps"))
 
 
 @query("summary_table", f"WITH {RUNS} SELECT db, db_label, case_name, round(load_duration, 6) AS load_duration, round(qps, 6) AS qps, round(serial_latency_p99, 6) AS serial_latency_p99, round(recall, 6) AS recall, round(max_load_count, 6) AS max_load_count, label FROM runs WHERE db NOT IN ('db1', 'db2')")

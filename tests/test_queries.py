@@ -1,4 +1,4 @@
-"""Named queries against their SQL. All of them run with NEARFIELD_ALL_QUERIES=1, a sample otherwise."""
+"""Every named query against its SQL."""
 
 import os
 
@@ -6,11 +6,12 @@ import duckdb
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from nearfield.plans import registry
 from tools.compare import TABLES, normal
 
 SF = "/root/testdata/sf0.001"
-SAMPLE = ["knn_exact_cos", "knn_tenant_filter", "knn_ivf_bq", "bm25_topk", "latency_stats", "merged_runs", "score_qps", "scan_results", "request_windows"]
-NAMES = sorted(oracle_sql()) if os.environ.get("NEARFIELD_ALL_QUERIES") else SAMPLE
+registry.load_all()
+NAMES = sorted(registry.ORACLES)
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
 
@@ -24,7 +25,7 @@ def con():
 
 
 def test_only_approximate_queries_lack_sql():
-    assert set(queries()) - set(oracle_sql()) == {"latency_sketch"}
+    assert set(registry.QUERIES) - set(registry.ORACLES) == {"latency_sketch"}
 
 
 @pytest.mark.parametrize("name", NAMES)
