@@ -198,9 +198,9 @@ def scan_block(kernel, state: RunningTopK, q: np.ndarray, ids: np.ndarray, rows:
             state.offer(pq[known], d[known], part_ids[pr][known])
 
 
-def nearest_points(points: np.ndarray, rows: np.ndarray, k: int = 1) -> np.ndarray:
-    """Indexes of the k nearest points (L2, lower index on ties) of every row, nearest first."""
+def nearest_points(points: np.ndarray, rows: np.ndarray, k: int = 1, metric: str = "l2") -> np.ndarray:
+    """Indexes of the k nearest points (lower index on ties) of every row, nearest first."""
     k = min(k, len(points))
-    kernel, best = DenseKernel("l2", rows), RunningTopK(len(rows), k)
+    kernel, best = DenseKernel(metric, rows), RunningTopK(len(rows), k)
     scan_block(kernel, best, np.arange(len(rows)), np.arange(len(points)), points)
     return best.ids.reshape(len(rows), k)

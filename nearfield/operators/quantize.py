@@ -136,26 +136,26 @@ def first_vectors(base: DataFrame, n: int) -> np.ndarray:
     return matrix(rows["emb"]).astype(np.float64)
 
 
-def nearest_index(v: Column, points: np.ndarray) -> Column:
+def nearest_index(v: Column, points: np.ndarray, metric: str = "l2") -> Column:
     """Index of the nearest of a bounded set of points for each vector."""
 
     @F.arrow_udf("int")
     def index(vectors: pa.Array) -> pa.Array:
         rows = _filled(vectors, points.shape[1])
-        found = nearest_points(points, rows)[:, 0] if len(rows) else np.empty(0)
+        found = nearest_points(points, rows, 1, metric)[:, 0] if len(rows) else np.empty(0)
         return pa.array(found.astype(np.int32), mask=vectors.is_null().to_numpy(zero_copy_only=False))
 
     # Marked so that a filter on the index does not compute it twice.
     return index.asNondeterministic()(v)
 
 
-def nearest_indexes(v: Column, points: np.ndarray, k: int) -> Column:
+def nearest_indexes(v: Column, points: np.ndarray, k: int, metric: str = "l2") -> Column:
     """Indexes of the k nearest of a bounded set of points for each vector, nearest first."""
 
     @F.arrow_udf("array<int>")
     def indexes(vectors: pa.Array) -> pa.Array:
         rows = _filled(vectors, points.shape[1])
-        found = nearest_points(points, rows, k) if len(rows) else np.empty((0, k))
+        found = nearest_points(points, rows, k, metric) if len(rows) else np.empty((0, k))
         return _lists(vectors, found.astype(np.int32))
 
     return indexes(v)

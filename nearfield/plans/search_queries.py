@@ -8,11 +8,13 @@ from nearfield.functions.labels import int_at_least, label_equals, payload_bytes
 from nearfield.operators import ann as A
 from nearfield.operators import evaluate as E
 from nearfield.operators import truth as T
+from nearfield.operators.index import search_index, write_index
 from nearfield.operators.nearest import nearest
-from nearfield.operators.quantize import ProductCodec, ScalarCodec, first_vectors
+from nearfield.operators.quantize import ProductCodec, ScalarCodec, first_vectors, train_centroids
 from nearfield.plans.data_queries import SQ, _sq_sql
 from nearfield.plans.inputs import VECTORS, vector_queries, vectors
-from nearfield.plans.registry import query
+from nearfield.plans.registry import ORACLES, query
+from nearfield.session import work_dir
 from nearfield.sizing import broadcast_bounded
 
 K = 10
@@ -203,6 +205,48 @@ def knn_ivf_bq(spark, sf):
     return shown(A.knn_ivf_bq(v, vector_queries(spark, sf), K, centroids(v), N_PROBE, 2))
 
 
+# --- a stored index, built in one job and searched in another -------------------------------
+
+
+def stored_index(spark, sf, cent, metric="l2", **codecs):
+    return write_index(vectors(spark, sf), work_dir(spark, "index"), cent, metric, **codecs)
+
+
+@query("stored_ivf_flat", ORACLES["knn_ivf_flat"])
+def stored_ivf_flat(spark, sf):
+    index = stored_index(spark, sf, centroids(vectors(spark, sf)))
+    return shown(search_index(index, vector_queries(spark, sf), K, N_PROBE))
+
+
+@query("stored_ivf_sq8", ORACLES["knn_ivf_sq8"])
+def stored_ivf_sq8(spark, sf):
+    v = vectors(spark, sf)
+    index = stored_index(spark, sf, centroids(v), scalar=ScalarCodec.fit(v))
+    return shown(search_index(index, vector_queries(spark, sf), K, N_PROBE, "sq"))
+
+
+@query("stored_ivf_pq", ORACLES["knn_ivf_pq"])
+def stored_ivf_pq(spark, sf):
+    cent = centroids(vectors(spark, sf))
+    index = stored_index(spark, sf, cent, product=ProductCodec.given(cent, PARTS))
+    return shown(search_index(index, vector_queries(spark, sf), K, N_PROBE, "pq"))
+
+
+@query("stored_ivf_bq", ORACLES["knn_ivf_bq"])
+def stored_ivf_bq(spark, sf):
+    index = stored_index(spark, sf, centroids(vectors(spark, sf)))
+    return shown(search_index(index, vector_queries(spark, sf), K, N_PROBE, "bits", refine=2))
+
+
+@query("trained_ivf_all_lists", exact_sql("cos"))
+def trained_ivf_all_lists(spark, sf):
+    """Trained centres, as many as the table calls for, probed by cosine; with every list probed the answer is exact."""
+    v = vectors(spark, sf)
+    n_lists = max(1, round(4 * v.count() ** 0.5))
+    index = stored_index(spark, sf, train_centroids(v, n_lists), "cos")
+    return shown(search_index(index, vector_queries(spark, sf), K, n_lists))
+
+
 # --- ground truth -----------------------------------------------------------------------
 
 _HALF_ID = "b.id >= CAST(floor((SELECT count(*) FROM v) * 0.5::DOUBLE) AS BIGINT)"
@@ -225,7 +269,6 @@ def build_ground_truth(spark, sf):
 
 @query("scan_truth", f"WITH {TRUTH} SELECT qid, gt_rank, id FROM g WHERE filter_key = 'neighbors_int_50p'")
 def scan_truth(spark, sf):
-    from nearfield.session import work_dir
     from nearfield.sources.tables import select_truth, truth_table_name
 
     path = work_dir(spark, "truth")

@@ -61,3 +61,23 @@ def test_truth_tables_per_filter(data):
     assert all(n == 20 * 5 for n, _ in kept.values()) and kept["neighbors_int_50p"][1] >= 200
     lists = neighbor_lists(nearest(base, queries, 5, "l2"))
     assert explode_truth(lists).count() == 100
+
+
+def test_a_stored_index_reads_probed_lists_only(spark, tmp_path):
+    from nearfield.operators.index import search_index, write_index
+    from nearfield.operators.nearest import nearest
+    from nearfield.operators.quantize import ScalarCodec
+
+    rng = np.random.default_rng(0)
+    base = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(300)] + [(900, [0.0] * 8), (901, None)], "id BIGINT, emb ARRAY<DOUBLE>")
+    asked = base.where("id < 20").withColumnRenamed("id", "qid")
+    centres = rng.normal(size=(6, 8))
+    for metric in ("l2", "cos", "ip"):
+        index = write_index(base, str(tmp_path / metric), centres, metric, scalar=ScalarCodec.fit(base))
+        every = search_index(index, asked, 5, 6, refine=2)
+        exact = nearest(base, asked, 5, metric)
+        assert sorted((r.qid, r["rank"], r.id) for r in every.collect()) == sorted((r.qid, r["rank"], r.id) for r in exact.collect())
+        assert search_index(index, asked, 5, 1, "sq", refine=2).count() > 0
+    some = search_index(index, asked.limit(1), 5, 1)
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "list_id" in plan.split("PartitionFilters")[1][:80]
