@@ -16,6 +16,7 @@ PER_HOUR_THOUSANDS, PER_HOUR = 3.6, 3600.0
 LATENCY_OFFSET_MS = 10.0
 STREAMING_STAGE = 90
 CAPACITY_CASES = (1, 2)
+STREAMING_CASES = (200, 201)
 FIRST_MONTH = "2023-08-01"
 
 
@@ -73,9 +74,9 @@ def leaderboard_v1(runs: DataFrame, prices: DataFrame, late_db: str | None = Non
     return board_qp_dollar(board, prices)
 
 
-def leaderboard_v2(runs: DataFrame, task_label: str = "standard_2025", streaming_case: int = 200) -> DataFrame:
+def leaderboard_v2(runs: DataFrame, task_label: str = "standard_2025") -> DataFrame:
     """Rounded non-streaming rows of one task label."""
-    return runs.where((F.col("task_label") == task_label) & (F.col("case_id") != streaming_case)).select(
+    return runs.where((F.col("task_label") == task_label) & ~F.col("case_id").isin(*STREAMING_CASES)).select(
         "dataset",
         "db",
         F.col("db_label").alias("label"),
@@ -88,10 +89,11 @@ def leaderboard_v2(runs: DataFrame, task_label: str = "standard_2025", streaming
 
 
 def leaderboard_streaming(runs: DataFrame, task_label: str = "standard_2025", stage: int = STREAMING_STAGE) -> DataFrame:
-    """qps and p99 at the 90 % stage of the streaming runs of one task label."""
-    at = F.array_position("st_search_stage_list", F.lit(stage).cast("bigint")).cast("int")
-    rows = runs.where((F.col("task_label") == task_label) & (F.size("st_search_stage_list") > 0)).withColumn("at", at)
-    return rows.where(F.col("at") > 0).select(
+    """qps and p99 at the 90 % stage of the streaming runs of one task label; a run without that stage is an error."""
+    at = F.coalesce(F.array_position("st_search_stage_list", F.lit(stage).cast("bigint")).cast("int"), F.lit(0))
+    missing = F.raise_error(F.concat(F.lit(f"no {stage} % stage in a streaming run of "), F.col("db")))
+    rows = runs.where((F.col("task_label") == task_label) & F.col("case_id").isin(*STREAMING_CASES)).withColumn("at", F.when(at > 0, at).otherwise(missing))
+    return rows.select(
         "dataset",
         "db",
         F.col("db_label").alias("label"),

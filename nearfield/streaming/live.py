@@ -15,25 +15,42 @@ class IncrementalTopK:
 
     Only the new rows are searched; the stored k rows per query are merged with theirs.
     State is written as one version per batch, so a repeated batch starts from the version
-    before it.
+    before it. What is there is found in the folder, so a restarted stream goes on from it;
+    versions that no repeated batch can ask for are dropped.
     """
 
     def __init__(self, spark: SparkSession, out: str, queries: DataFrame, k: int, metric: str = "cos"):
         self.spark, self.out, self.queries, self.k, self.metric = spark, out, prepare_queries(queries), k, metric
-        self.version = -1
+
+    def _folder(self):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.out)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def versions(self) -> list[int]:
+        """Numbers of the complete versions, oldest first."""
+        path, fs = self._folder()
+        if not fs.exists(path):
+            return []
+        found = [s.getPath() for s in fs.listStatus(path) if s.getPath().getName()[1:].isdigit()]
+        return sorted(int(p.getName()[1:]) for p in found if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         found = nearest(batch, self.queries, self.k, self.metric).drop("rank")
-        if batch_id > 0:
-            found = self.hits(batch_id - 1).drop("rank").unionByName(found)
+        before = [v for v in self.versions() if v < batch_id]
+        if before:
+            found = self.hits(before[-1]).drop("rank").unionByName(found)
         best = found.groupBy("qid", "id").agg(F.first("score").alias("score"))
         merged = top_k(best, self.k, ascending=self.metric not in ("ip", "dp"))
         merged.select("qid", F.col("rank").cast("int").alias("rank"), "id", "score").write.mode("overwrite").parquet(f"{self.out}/v{batch_id}")
-        self.version = batch_id
+        path, fs = self._folder()
+        for old in before[:-1]:
+            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(path, f"v{old}"), True)
 
     def hits(self, version: int | None = None) -> DataFrame:
         """Hits as of a version, the last one by default."""
-        number = self.version if version is None else version
+        if version is None and not (there := self.versions()):
+            return self.spark.createDataFrame([], HITS)
+        number = there[-1] if version is None else version
         return self.spark.read.schema(HITS).parquet(f"{self.out}/v{number}")
 
 

@@ -42,10 +42,10 @@ def test_incremental_hits_equal_batch_hits(spark, data, tmp_path):
         sink(batch, batch_id)
 
     run(I.read_ticks(spark, str(tmp_path / "in"), schema, 2), watched, str(tmp_path / "cp"))
-    assert sink.version >= 2
+    assert sink.versions()[-1] >= 2
     want = sorted(tuple(r) for r in nearest(base, queries, 10, "cos").collect())
     assert sorted(tuple(r) for r in sink.hits().collect()) == want
-    sink(base.where(F.col("tick").isin(ticks[sink.version])), sink.version)  # a repeated batch changes nothing
+    sink(base.where(F.col("tick").isin(ticks[sink.versions()[-1]])), sink.versions()[-1])  # a repeated batch changes nothing
     assert sorted(tuple(r) for r in sink.hits().collect()) == want
 
 
