@@ -15,9 +15,6 @@ from pyspark.sql import functions as F
 from nearfield.llm import bpe, decontaminate, langid, line_dedup, simhash
 from nearfield.llm.common import stored, table
 
-#: A document whose best language has less than this mean probability over its bytes is rejected.
-LEAST_SCORE = 0.35
-
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -30,10 +27,10 @@ def _joined(docs: DataFrame, found: DataFrame, key: str = "doc_id") -> DataFrame
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a letter, and those that look like none of the learned languages."""
+    """Drop the documents to which no language can be given: those without a letter. A short or mixed text is not rejected for a low score."""
     network = langid.learn(docs)
     found = langid.predict(docs, network)
-    return _joined(docs, stored(found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)), "languages"))
+    return _joined(docs, stored(found.where(F.col("lang_pred") != langid.UNKNOWN), "languages"))
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

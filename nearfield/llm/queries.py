@@ -40,7 +40,44 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("op2_pii")
+_PII_SQL = r"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS size FROM documents),
+    k AS (SELECT d.*, ord, kind, regexp_extract_all(t, re) AS m, string_split_regex(t, re) AS g
+          FROM d, (VALUES (0, 'email', '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+'), (1, 'ip', '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'),
+                          (2, 'card', '[0-9]([\x20-]?[0-9])+'), (3, 'phone', '\+[0-9][\x20().0-9-]+[0-9]')) v(ord, kind, re)),
+    s AS (SELECT doc_id, t, size, ord, kind, m[i] AS v, regexp_replace(m[i], '[^0-9]', '', 'g') AS digits,
+                 (list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::BIGINT AS b
+          FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM k)),
+    base AS (SELECT *, b + length(v) AS e, ord::VARCHAR || ':' || v AS entity FROM s WHERE CASE kind WHEN 'email' THEN true
+          WHEN 'ip' THEN list_bool_and(list_transform(string_split(v, '.'), lambda x: coalesce(try_cast(nullif(ltrim(x, '0'), '') AS BIGINT), CASE WHEN ltrim(x, '0') = '' THEN 0 ELSE 256 END) <= 255))
+          WHEN 'card' THEN length(digits) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, length(digits) + 1), lambda i:
+               ([0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 0, 2, 4, 6, 8, 1, 3, 5, 7, 9])[1 + CAST(substr(digits, length(digits) - i + 1, 1) AS INT) + CASE WHEN i % 2 = 0 THEN 10 ELSE 0 END])) % 10 = 0
+          ELSE length(digits) BETWEEN 9 AND 15 END),
+    w AS (SELECT *, substr(t, lo + 1, hi - lo) AS near FROM (
+          SELECT doc_id, t, size, entity, b, e, greatest(0, b - CONTEXT) AS lo, b AS hi FROM base UNION ALL SELECT doc_id, t, size, entity, b, e, e, least(size, e + CONTEXT) FROM base)),
+    wm AS (SELECT *, regexp_extract_all(near, '\p{L}{3,}') AS m, string_split_regex(near, '\p{L}{3,}') AS g FROM w),
+    wp AS (SELECT doc_id, entity, size, b, e, lo, hi, lower(m[i]) AS term, length(m[i]) AS n,
+                  (list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::BIGINT AS pos
+           FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM wm)),
+    occ AS (SELECT doc_id, entity, term, lo + pos AS b, lo + pos + n AS e FROM wp o
+            WHERE (pos > 0 OR lo = 0 OR lo = o.e) AND (pos + n < hi - lo OR hi = size OR hi = o.b)),
+    free AS (SELECT * FROM occ WHERE NOT EXISTS (SELECT 1 FROM base WHERE base.doc_id = occ.doc_id AND occ.b < base.e AND base.b < occ.e)),
+    pair AS (SELECT entity, term, count(DISTINCT doc_id) AS c FROM free GROUP BY 1, 2 HAVING count(DISTINCT doc_id) >= 3),
+    ent AS (SELECT entity, count(DISTINCT doc_id) AS c FROM base GROUP BY 1),
+    has AS (SELECT term, count(DISTINCT doc_id) AS c FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(t), '\p{L}{3,}'))) AS term FROM d) WHERE term IN (SELECT term FROM pair) GROUP BY 1),
+    told AS (SELECT pair.entity, pair.term, CASE WHEN ent.c < n THEN ln(n * pair.c / (has.c * ent.c)) / ln(n / ent.c) ELSE 0 END AS disclosure
+             FROM pair JOIN ent USING (entity) JOIN has USING (term), (SELECT count(*)::DOUBLE AS n FROM d)),
+    marked AS (SELECT doc_id, b, e, min(CASE WHEN disclosure >= 0.9 THEN 4 ELSE 5 END) AS ord FROM free JOIN told USING (entity, term) WHERE disclosure >= 0.7 GROUP BY 1, 2, 3),
+    spans AS (SELECT doc_id, ord, b, kind || ':' || b || ':' || e AS span FROM base
+              UNION ALL SELECT doc_id, ord, b, CASE ord WHEN 4 THEN 'removed' ELSE 'generalised' END || ':' || b || ':' || e FROM marked)
+    SELECT d.doc_id, count(CASE WHEN ord = 0 THEN 1 END) AS n_email, count(CASE WHEN ord = 1 THEN 1 END) AS n_ip, count(CASE WHEN ord = 2 THEN 1 END) AS n_card,
+           count(CASE WHEN ord = 3 THEN 1 END) AS n_phone, sha256(coalesce(string_agg(span, ',' ORDER BY ord, b) FILTER (ord < 4), '')) AS base_sha256,
+           coalesce(string_agg(span, ',' ORDER BY ord, b), '') AS spans
+    FROM d LEFT JOIN spans USING (doc_id) GROUP BY d.doc_id
+    """.replace("CONTEXT", str(pii.CONTEXT))
+
+
+@query("op2_pii", _PII_SQL)
 def op2(spark: SparkSession, sf: str) -> DataFrame:
     found = pii.find(table(spark, sf, "documents"))
     base, terms = pii.written("base", pii.KINDS), pii.written("terms", pii.TERM_KINDS)
