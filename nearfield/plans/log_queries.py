@@ -83,7 +83,7 @@ def qps_by_concurrency(spark, sf):
     "max_qps",
     f"""WITH {REQUESTS}, {LEVELS} SELECT run, max(qps) AS max_qps, (SELECT min(conc) FROM l b WHERE b.run = l.run AND b.qps = max(l.qps)) AS best_conc,
     string_agg(CAST(conc AS VARCHAR), ',' ORDER BY conc) AS conc_list, round(sum(qps * conc), 4) AS weighted FROM l GROUP BY run""".replace(
-        "(SELECT min(conc) FROM l b WHERE b.run = l.run AND b.qps = max(l.qps))", "arg_max(conc, qps * 1e6 - conc / 1e3)"
+        "(SELECT min(conc) FROM l b WHERE b.run = l.run AND b.qps = max(l.qps))", "CASE WHEN max(qps) > 0 THEN arg_max(conc, qps * 1e6 - conc / 1e3) END"
     ),
 )
 def max_qps(spark, sf):

@@ -44,7 +44,9 @@ def exact_sql(metric: str, where: str = "true", base: str = "v", queries: str =
 
 
 def shown(hits):
-    return hits.select("qid", F.col("rank").cast("bigint").alias("rank"), "id", (F.round("score", 6) + F.lit(0.0)).alias("score"))
+    """Six decimals of the binary number, as SQL engines round it; ``round`` would round its shortest decimal form."""
+    six = F.signum("score") * F.floor(F.abs("score") * 1e6 + 0.5) / 1e6
+    return hits.select("qid", F.col("rank").cast("bigint").alias("rank"), "id", (six + F.lit(0.0)).alias("score"))
 
 
 def _exact(metric):
