@@ -36,11 +36,18 @@ def _identified(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(f"`{key}`").alias("key"), F.hash(body).alias("th"), F.lower(plain).alias("text"))
 
 
+def _spot() -> Column:
+    return F.shiftleft(F.col("th").cast("bigint"), 32).bitwiseOR(F.col("line").cast("bigint")).alias("spot")
+
+
+def _words(line: str) -> Column:
+    return F.array_remove(F.split(line, " "), "")
+
+
 def _lines(docs: DataFrame) -> DataFrame:
     """Every line with its words; ``spot`` holds the hash of the text in its upper and the line number in its lower half."""
     lines = docs.select("key", "th", F.posexplode(F.split("text", "\n")).alias("line", "words"))
-    spot = F.shiftleft(F.col("th").cast("bigint"), 32).bitwiseOR(F.col("line").cast("bigint"))
-    return lines.select("key", spot.alias("spot"), F.array_remove(F.split("words", " "), "").alias("words"))
+    return lines.select("key", _spot(), _words("words").alias("words"))
 
 
 def _rarity(docs: DataFrame) -> Column:
@@ -69,20 +76,19 @@ def _sets(docs: DataFrame) -> DataFrame:
             *PLACE,
             F.size("tokens").alias("n"),
             F.expr("aggregate(tokens, 0L, (a, t) -> a ^ shiftleft(1L, cast(t & 63 AS int)))").alias("bits"),
-            F.expr("slice(tokens, 1, size(tokens) - cast(ceil(size(tokens) * 4 / 5) AS int) + 1)").alias("prefix"),
+            # the order is that of the whole numbers; the index needs only their upper half
+            F.expr("transform(slice(tokens, 1, size(tokens) - (4 * size(tokens) + 4) div 5 + 1), t -> cast(shiftright(t, 32) AS int))").alias("prefix"),
         ).alias("first"),
     )
     return lines.groupBy("s1", "s2").agg(F.min("first").alias("first")).select("first.*")
 
 
-def _near(x: Side, y: Side, share: float = 1.0) -> Column:
-    """Sizes, places of the shared word and parity bits allow a similarity of 4/5."""
+def _near(x: Side, y: Side, quarters: int = 4) -> Column:
+    """Sizes, places of the shared word and parity bits (or so many quarters of what they may differ) allow a similarity of 4/5."""
     nx, ny = x("n"), y("n")
+    need = F.call_function("div", (nx + ny) * 4 + 8, F.lit(9))
     apart = F.bit_count(x("bits").bitwiseXOR(y("bits")))
-    need = F.ceil((nx + ny) * 4 / 9)
-    return (
-        (nx * 5 >= ny * 4) & (ny * 5 >= nx * 4) & (apart <= (nx + ny - 2 * need) * share) & (F.least(nx - x("at"), ny - y("at")) >= need)
-    )
+    return (apart * 4 <= (nx + ny - 2 * need) * quarters) & (nx * 5 >= ny * 4) & (ny * 5 >= nx * 4) & (F.least(nx - x("at"), ny - y("at")) >= need)
 
 
 def _side(alias: str, suffix: str = "") -> Side:
@@ -110,18 +116,20 @@ def _candidates(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     post = _postings(sets)
     seen = post.withColumns({f"{c}_head": F.first(c).over(order) for c in fields} | {f"{c}_last": F.lag(c).over(order) for c in fields} | {"nth": F.row_number().over(order)})
     own, head, last = _side(""), _side("", "_head"), _side("", "_last")
-    seen = seen.where("nth > 1").withColumn("y", F.when(_near(own, head, 0.75), _place(head, "y")).when(_near(own, last, 0.75), _place(last, "y")))
+    seen = seen.where("nth > 1").withColumn("y", F.when(_near(own, head, 3), _place(head, "y")).when(_near(own, last, 3), _place(last, "y")))
     short = seen.where("y IS NOT NULL").select(_place(own, "x"), "y")
     rest = seen.where("y IS NULL").select("token", *fields).alias("x").join(post.alias("y"), "token")
-    return short, rest.where(_earlier() & _near(_side("x"), _side("y"))).select(_place(_side("x"), "x"), _place(_side("y"), "y"))
+    return short, rest.where(_near(_side("x"), _side("y")) & _earlier()).select(_place(_side("x"), "x"), _place(_side("y"), "y"))
 
 
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Pairs whose sets of words have a similarity of 4/5 or more."""
-    asked = broadcast_if_small(pairs.select(F.col("x").alias("place")).union(pairs.select("y")).distinct())
-    lines = _lines(docs).select(F.struct(*PLACE).alias("place"), "words").join(asked, "place", "left_semi")
-    sets = lines.select("place", F.array_distinct("words").alias("words")).dropDuplicates(["place"])
-    sides = pairs.join(sets.select(F.col("place").alias("x"), F.col("words").alias("wx")), "x").join(sets.select(F.col("place").alias("y"), F.col("words").alias("wy")), "y")
+    asked = broadcast_if_small(stored(pairs.select(F.col("x").alias("place")).union(pairs.select("y")).distinct(), "asked"))
+    lines = docs.select("key", "th", F.posexplode(F.split("text", "\n")).alias("line", "body"))
+    lines = lines.select(F.struct("key", _spot()).alias("place"), "body").join(asked, "place", "left_semi").groupBy("place").agg(F.first("body").alias("body"))
+    sides = pairs.join(lines.select(F.col("place").alias("x"), F.col("body").alias("bx")), "x").join(lines.select(F.col("place").alias("y"), F.col("body").alias("by")), "y")
+    # the lines travel as text, which is far shorter than a list of words
+    sides = sides.withColumns({"wx": F.array_distinct(_words("bx")), "wy": F.array_distinct(_words("by"))})
     common = F.size(F.array_intersect("wx", "wy"))
     return sides.where(common * 5 >= (F.size("wx") + F.size("wy") - common) * 4).select("x", "y")
 
@@ -131,11 +139,17 @@ def kept_lines(rows: DataFrame) -> DataFrame:
     sets = stored(_sets(rows), "word-sets")
     short, rest = _candidates(sets)
     both = short.withColumn("short", F.lit(True)).unionByName(rest.withColumn("short", F.lit(False)))
-    pairs = stored(both.groupBy("x", "y").agg(F.max("short").alias("short")), "pairs")
-    found = stored(_verified(rows, pairs.select("x", "y")).select("x").distinct(), "matched")
-    unsure = stored(pairs.where("short").select("x").distinct().join(found, "x", "left_anti"), "unsure")
-    if not unsure.isEmpty():
-        found = found.union(_again(rows, sets, unsure))
+    pairs = stored(both.groupBy("x", "y").agg(F.count(F.lit(1)).alias("lists"), F.max("short").alias("short")), "pairs")
+    # One match is enough: first the pair that shares the most lists, then, for lines it does not settle, all others.
+    best = stored(pairs.groupBy("x").agg(F.max_by("y", "lists").alias("y"), F.max("short").alias("short")), "best-pairs")
+    found = stored(_verified(rows, best.select("x", "y")).select("x"), "matched")
+    open_ = stored(best.join(found, "x", "left_anti"), "unsettled")
+    if not open_.isEmpty():
+        others = pairs.select("x", "y").join(open_.select("x", F.col("y").alias("tried")), "x").where("y <> tried").select("x", "y")
+        found = found.union(stored(_verified(rows, stored(others, "other-pairs")).select("x").distinct(), "matched"))
+        unsure = stored(open_.where("short").select("x").join(found, "x", "left_anti"), "unsure")
+        if not unsure.isEmpty():
+            found = found.union(_again(rows, sets, unsure))
     return sets.select(F.struct(*PLACE).alias("x")).join(found, "x", "left_anti").select("x.*")
 
 
@@ -143,7 +157,7 @@ def _again(rows: DataFrame, sets: DataFrame, unsure: DataFrame) -> DataFrame:
     """Lines whose shortcut was not confirmed, held against everything before them."""
     post = _postings(sets)
     asked = post.withColumn("place", F.struct(*PLACE)).join(broadcast_if_small(unsure.withColumnRenamed("x", "place")), "place", "left_semi").drop("place")
-    pairs = broadcast_if_small(asked).alias("x").join(post.alias("y"), "token").where(_earlier() & _near(_side("x"), _side("y")))
+    pairs = broadcast_if_small(asked).alias("x").join(post.alias("y"), "token").where(_near(_side("x"), _side("y")) & _earlier())
     return _verified(rows, stored(pairs.select(_place(_side("x"), "x"), _place(_side("y"), "y")).distinct(), "pairs-again")).select("x")
 
 
