@@ -88,7 +88,15 @@ def _near(x: Side, y: Side, quarters: int = 4) -> Column:
     nx, ny = x("n"), y("n")
     need = F.call_function("div", (nx + ny) * 4 + 8, F.lit(9))
     apart = F.bit_count(x("bits").bitwiseXOR(y("bits")))
-    return (apart * 4 <= (nx + ny - 2 * need) * quarters) & (nx * 5 >= ny * 4) & (ny * 5 >= nx * 4) & (F.least(nx - x("at"), ny - y("at")) >= need)
+    # at most so many words are shared before the shared word, and from it on
+    place = F.least(x("at"), y("at")) + F.least(nx - x("at"), ny - y("at"))
+    return (apart * 4 <= (nx + ny - 2 * need) * quarters) & (nx * 5 >= ny * 4) & (ny * 5 >= nx * 4) & (place >= need)
+
+
+def _overlap_possible() -> Column:
+    """Words shared in both prefixes (``lists``) and all that may follow the shorter reaching prefix suffice."""
+    after = F.expr("greatest((4 * nx + 4) div 5, (4 * ny + 4) div 5) - 1")
+    return F.col("lists") + after >= F.expr("(4 * (nx + ny) + 8) div 9")
 
 
 def _side(alias: str, suffix: str = "") -> Side:
@@ -105,6 +113,11 @@ def _postings(sets: DataFrame) -> DataFrame:
     return present.select(*PLACE, "n", "bits", F.posexplode("prefix").alias("at", "token")).where("token IS NOT NULL")
 
 
+def _other(x: Side, y: Side) -> Column:
+    """Not the same line, which may stand twice in a list, as the index has the upper half of the words' numbers only."""
+    return ~_place(x, "x").eqNullSafe(_place(y, "y"))
+
+
 def _earlier() -> Column:
     return _place(_side("y"), "y") < _place(_side("x"), "x")
 
@@ -116,10 +129,14 @@ def _candidates(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     post = _postings(sets)
     seen = post.withColumns({f"{c}_head": F.first(c).over(order) for c in fields} | {f"{c}_last": F.lag(c).over(order) for c in fields} | {"nth": F.row_number().over(order)})
     own, head, last = _side(""), _side("", "_head"), _side("", "_last")
-    seen = seen.where("nth > 1").withColumn("y", F.when(_near(own, head, 3), _place(head, "y")).when(_near(own, last, 3), _place(last, "y")))
-    short = seen.where("y IS NOT NULL").select(_place(own, "x"), "y")
+    seen = seen.where("nth > 1").withColumn("y", F.when(_near(own, head, 3) & _other(own, head), _place(head, "y")).when(_near(own, last, 3) & _other(own, last), _place(last, "y")))
+    short = seen.where("y IS NOT NULL").select(_place(own, "x"), "y", F.col("n").alias("nx"), F.lit(None).cast("int").alias("ny"))
     rest = seen.where("y IS NULL").select("token", *fields).alias("x").join(post.alias("y"), "token")
-    return short, rest.where(_near(_side("x"), _side("y")) & _earlier()).select(_place(_side("x"), "x"), _place(_side("y"), "y"))
+    return short, rest.where(_near(_side("x"), _side("y")) & _earlier()).select(*_pair())
+
+
+def _pair() -> list[Column]:
+    return [_place(_side("x"), "x"), _place(_side("y"), "y"), F.col("x.n").alias("nx"), F.col("y.n").alias("ny")]
 
 
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -139,13 +156,16 @@ def kept_lines(rows: DataFrame) -> DataFrame:
     sets = stored(_sets(rows), "word-sets")
     short, rest = _candidates(sets)
     both = short.withColumn("short", F.lit(True)).unionByName(rest.withColumn("short", F.lit(False)))
-    pairs = stored(both.groupBy("x", "y").agg(F.count(F.lit(1)).alias("lists"), F.max("short").alias("short")), "pairs")
+    counted = F.count(F.lit(1)).alias("lists"), F.max("short").alias("short"), F.max("nx").alias("nx"), F.max("ny").alias("ny")
+    pairs = both.groupBy("x", "y").agg(*counted)
+    # Where a list gave a shortcut, the line's other pairs were not counted in it, so only pairs of lines without one are all known.
+    pairs = stored(pairs.where(F.col("short") | _overlap_possible()), "pairs")
     # One match is enough: first the pair that shares the most lists, then, for lines it does not settle, all others.
-    best = stored(pairs.groupBy("x").agg(F.max_by("y", "lists").alias("y"), F.max("short").alias("short")), "best-pairs")
+    best = stored(pairs.groupBy("x").agg(F.max_by("y", F.struct("short", "lists")).alias("y"), F.max("short").alias("short")), "best-pairs")
     found = stored(_verified(rows, best.select("x", "y")).select("x"), "matched")
     open_ = stored(best.join(found, "x", "left_anti"), "unsettled")
     if not open_.isEmpty():
-        others = pairs.select("x", "y").join(open_.select("x", F.col("y").alias("tried")), "x").where("y <> tried").select("x", "y")
+        others = pairs.select("x", "y").join(open_.where("NOT short").select("x", F.col("y").alias("tried")), "x").where("y <> tried").select("x", "y")
         found = found.union(stored(_verified(rows, stored(others, "other-pairs")).select("x").distinct(), "matched"))
         unsure = stored(open_.where("short").select("x").join(found, "x", "left_anti"), "unsure")
         if not unsure.isEmpty():
@@ -158,7 +178,8 @@ def _again(rows: DataFrame, sets: DataFrame, unsure: DataFrame) -> DataFrame:
     post = _postings(sets)
     asked = post.withColumn("place", F.struct(*PLACE)).join(broadcast_if_small(unsure.withColumnRenamed("x", "place")), "place", "left_semi").drop("place")
     pairs = broadcast_if_small(asked).alias("x").join(post.alias("y"), "token").where(_near(_side("x"), _side("y")) & _earlier())
-    return _verified(rows, stored(pairs.select(_place(_side("x"), "x"), _place(_side("y"), "y")).distinct(), "pairs-again")).select("x")
+    counted = pairs.select(*_pair()).groupBy("x", "y").agg(F.count(F.lit(1)).alias("lists"), F.max("nx").alias("nx"), F.max("ny").alias("ny"))
+    return _verified(rows, stored(counted.where(_overlap_possible()).select("x", "y"), "pairs-again")).select("x")
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
