@@ -26,18 +26,14 @@ from nearfield.sizing import broadcast_if_small
 SLOT_BITS = 16
 _SLOTS = 1 << SLOT_BITS
 Side = Callable[[str], Column]
-PLACE = ["key", "spot"]
+PLACE = ["key", "th", "line"]
 
 
 def _identified(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``key``, a hash ``th`` of the text, and the text with all white space as spaces, in lower case."""
+    """``key``, a 64-bit hash ``th`` of the text, and the text with all white space as spaces, in lower case."""
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     plain = F.when(body.rlike("[\\t\\x0B\\f\\r]"), F.translate(body, "\t\x0b\f\r", "    ")).otherwise(body)
-    return docs.select(F.col(f"`{key}`").alias("key"), F.hash(body).alias("th"), F.lower(plain).alias("text"))
-
-
-def _spot() -> Column:
-    return F.shiftleft(F.col("th").cast("bigint"), 32).bitwiseOR(F.col("line").cast("bigint")).alias("spot")
+    return docs.select(F.col(f"`{key}`").alias("key"), F.xxhash64(body).alias("th"), F.lower(plain).alias("text"))
 
 
 def _words(line: str) -> Column:
@@ -45,9 +41,9 @@ def _words(line: str) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """Every line with its words; ``spot`` holds the hash of the text in its upper and the line number in its lower half."""
+    """Every line with its words; its place is the document's key, the hash of the text and the line number."""
     lines = docs.select("key", "th", F.posexplode(F.split("text", "\n")).alias("line", "words"))
-    return lines.select("key", _spot(), _words("words").alias("words"))
+    return lines.select(*PLACE, _words("words").alias("words"))
 
 
 def _rarity(docs: DataFrame) -> Column:
@@ -61,7 +57,7 @@ def _rarity(docs: DataFrame) -> Column:
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """Every distinct set of words at its earliest place: ``key, spot, n, bits, prefix``."""
+    """Every distinct set of words at its earliest place: ``key, th, line, n, bits, prefix``."""
     levels = _rarity(docs)
 
     def token(code: Column) -> Column:
@@ -71,7 +67,7 @@ def _sets(docs: DataFrame) -> DataFrame:
     lines = _lines(docs).where("size(words) > 0").select(*PLACE, F.sort_array(F.transform(codes, token)).alias("tokens"))
     lines = lines.select(
         F.xxhash64("tokens").alias("s1"),
-        F.xxhash64("tokens", F.lit(1)).alias("s2"),
+        F.xxhash64(F.lit(1), "tokens").alias("s2"),  # the seed in front: behind the tokens it would hash s1
         F.struct(
             *PLACE,
             F.size("tokens").alias("n"),
@@ -143,7 +139,7 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Pairs whose sets of words have a similarity of 4/5 or more."""
     asked = broadcast_if_small(stored(pairs.select(F.col("x").alias("place")).union(pairs.select("y")).distinct(), "asked"))
     lines = docs.select("key", "th", F.posexplode(F.split("text", "\n")).alias("line", "body"))
-    lines = lines.select(F.struct("key", _spot()).alias("place"), "body").join(asked, "place", "left_semi").groupBy("place").agg(F.first("body").alias("body"))
+    lines = lines.select(F.struct(*PLACE).alias("place"), "body").join(asked, "place", "left_semi").groupBy("place").agg(F.first("body").alias("body"))
     sides = pairs.join(lines.select(F.col("place").alias("x"), F.col("body").alias("bx")), "x").join(lines.select(F.col("place").alias("y"), F.col("body").alias("by")), "y")
     # the lines travel as text, which is far shorter than a list of words
     sides = sides.withColumns({"wx": F.array_distinct(_words("bx")), "wy": F.array_distinct(_words("by"))})
@@ -186,15 +182,14 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     """What stays of every document: ``key, th, n_lines, kept`` with the sorted numbers of the lines that stay.
 
     Lines end at line feeds and are numbered from 0. A line is removed if an earlier line, by
-    document key (null first), then hash ``th`` of the text, then number, has a similarity of
+    document key (null first), then 64-bit hash ``th`` of the text, then number, has a similarity of
     4/5 or more to it, whether that one stays or not. Lines without words always stay. One row
     per input row; rows that repeat a key and its text are one document and all keep the same
     lines. A null or empty text is one line without words. Other columns are left out, so no
     name can clash.
     """
     rows = _identified(docs, key, text)
-    stays = kept_lines(rows).select("key", F.shiftright("spot", 32).cast("int").alias("th"), F.col("spot").bitwiseAND((1 << 32) - 1).cast("int").alias("line"))
-    stays = stays.groupBy("key", "th").agg(F.collect_list("line").alias("worded"))
+    stays = kept_lines(rows).groupBy("key", "th").agg(F.collect_list("line").alias("worded"))
     blank = F.expr("filter(transform(split(text, '\\n'), (l, i) -> if(trim(l) = '', i, -1)), i -> i >= 0)")
     base = rows.select("key", "th", F.size(F.split("text", "\n")).alias("n_lines"), blank.alias("blank")).alias("d")
     joined = base.join(stays.alias("s"), F.col("d.key").eqNullSafe(F.col("s.key")) & (F.col("d.th") == F.col("s.th")), "left")
@@ -206,7 +201,7 @@ def remove_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     """The documents with the columns they had, their text without the removed lines; a text that loses nothing is unchanged, null included."""
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     stays = deduplicate(docs, key, text).dropDuplicates([key, "th"]).select(F.col(f"`{key}`").alias("__key"), F.col("th").alias("__th"), F.col("n_lines").alias("__n"), F.col("kept").alias("__kept"))
-    joined = docs.withColumn("__hash", F.hash(body)).join(stays, F.col(f"`{key}`").eqNullSafe(F.col("__key")) & (F.col("__hash") == F.col("__th")), "left")
+    joined = docs.withColumn("__hash", F.xxhash64(body)).join(stays, F.col(f"`{key}`").eqNullSafe(F.col("__key")) & (F.col("__hash") == F.col("__th")), "left")
     once = F.array(F.struct(F.split(body, "\n").alias("lines"), F.col("__kept").alias("kept")))  # so that the text is split once, not once per line
     left = F.transform(once, lambda s: F.array_join(F.transform(s["kept"], lambda i: s["lines"][i]), "\n"))[0]
     joined = joined.withColumn(text, F.when(F.size("__kept") == F.col("__n"), F.col(f"`{text}`")).otherwise(left))

@@ -2,6 +2,7 @@ import random
 from collections import defaultdict
 
 from conftest import ROWS
+from pyspark.sql import functions as F
 
 from nearfield.llm import line_dedup as L
 
@@ -60,3 +61,14 @@ def test_texts_without_the_lines(spark, messy, nothing):
     texts = {r.doc_id: r.text for r in out.where("doc_id IS NOT NULL").collect()}
     assert texts[2] == "" and texts[3] == "something else entirely is written on this line" and texts[8] is None and texts[4] == ""
     assert L.deduplicate(nothing).count() == 0 and L.remove_lines(nothing).count() == 0
+
+
+def test_texts_of_one_key_that_share_a_short_hash(spark):
+    """Two texts with one key and one 32-bit hash stay apart: each keeps its own lines."""
+    one = "a single line with the number 832"
+    three = "first of three 337269\nsecond of them 337269\nthe last one ends 337269"
+    for key in (7, None):
+        docs = spark.createDataFrame([(key, one), (key, three)], "doc_id BIGINT, text STRING")
+        assert docs.select(F.hash("text")).distinct().count() == 1
+        assert sorted(list(r.kept) for r in L.deduplicate(docs).collect()) == [[0], [0, 1, 2]]
+        assert sorted(r.text for r in L.remove_lines(docs).collect()) == [one, three]
