@@ -38,16 +38,20 @@ class Bm25:
         return tf * F.lit(self.k1 + 1.0) / (tf + spread)
 
 
-def analyzed(corpus: DataFrame, analyzer: Analyzer | None = None) -> DataFrame:
-    """``doc_id, tokens, dl``."""
+def analyzed(corpus: DataFrame, analyzer: Analyzer | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, tokens, dl``, after ``doc_id`` the columns to keep."""
     tokens = (analyzer or Analyzer()).terms(F.col("text"))
-    return corpus.select("doc_id", tokens.alias("tokens")).withColumn("dl", F.size("tokens").cast("bigint"))
+    return corpus.select("doc_id", *keep, tokens.alias("tokens")).withColumn("dl", F.size("tokens").cast("bigint"))
 
 
 def postings(docs: DataFrame) -> DataFrame:
-    """``term, doc_id, tf, dl`` of analysed documents; counts are combined before the shuffle."""
-    occurrences = docs.select("doc_id", "dl", F.explode("tokens").alias("term"))
-    return occurrences.groupBy("term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf")).select("term", "doc_id", "tf", "dl")
+    """``term, doc_id, tf, dl`` of analysed documents; counts are combined before the shuffle.
+
+    Documents with a ``row`` number are told apart by it, also where a doc_id repeats, and it comes last.
+    """
+    rows = ["row"] if "row" in docs.columns else []
+    occurrences = docs.select("doc_id", *rows, "dl", F.explode("tokens").alias("term"))
+    return occurrences.groupBy("term", "doc_id", *rows, "dl").agg(F.count(F.lit(1)).alias("tf")).select("term", "doc_id", "tf", "dl", *rows)
 
 
 def term_stats(docs: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:

@@ -37,14 +37,15 @@ def write_documents(corpus: DataFrame, path: str, analyzer: Analyzer | None = No
     """Store the corpus, its postings and term statistics; return the number of documents.
 
     Postings lie in folders by term hash and are sorted by term, so a query reads a few
-    row groups. A very common term is spread over several files by document.
+    row groups. A very common term is spread over several files by document. Every row is a
+    document: its ``row`` number is stored with it and its postings.
     """
-    corpus.select("doc_id", "text").write.mode("overwrite").parquet(f"{path}/documents")
-    docs = analyzed(corpus.sparkSession.read.parquet(f"{path}/documents"), analyzer)
+    corpus.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()).write.mode("overwrite").parquet(f"{path}/documents")
+    docs = analyzed(corpus.sparkSession.read.parquet(f"{path}/documents"), analyzer, keep=("row",))
     bucket = F.pmod(F.xxhash64("term"), F.lit(term_buckets)).cast("int")
     placed = postings(docs).withColumn("bucket", bucket)
     (
-        placed.repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(spread)))
+        placed.repartition("bucket", F.pmod(F.xxhash64("row"), F.lit(spread)))
         .sortWithinPartitions("bucket", "term", "doc_id")
         .write.mode("overwrite")
         .partitionBy("bucket")

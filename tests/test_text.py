@@ -128,3 +128,15 @@ def test_all_paths_agree_on_repeated_and_text_ids(spark, monkeypatch):
         assert [f.dataType for f in one.schema] == [f.dataType for f in two.schema]
         rows = [sorted((str(r.qid), r["rank"], str(r.doc_id), round(r.score, 6)) for r in df.collect()) for df in (one, two)]
         assert rows[0] == rows[1] and [r[2] for r in rows[0] if r[0] == "5"].count("1") == 2
+
+
+def test_stored_postings_keep_rows_with_one_doc_id_apart(spark, tmp_path):
+    """All three paths give one ranking where a doc_id repeats, rows of equal and of different length."""
+    docs = [(1, "quick fox"), (1, "quick fox jumps"), (1, "brown fox"), (2, "lazy dog"), (3, "fox"), (3, "fox")]
+    corpus = spark.createDataFrame(docs, "doc_id BIGINT, text STRING").repartition(3)
+    queries = spark.createDataFrame([(5, "quick fox"), (6, "dog")], "qid BIGINT, text STRING")
+    assert C.write_documents(corpus, str(tmp_path), term_buckets=4, spread=2) == len(docs)
+    stored, stats = C.read_postings(spark, str(tmp_path))
+    scan = rows(B.bm25_topk(corpus, queries, 10))
+    assert len(scan) == 6 and rows(B.bm25_by_postings(corpus, queries, 10)) == scan
+    assert rows(B.bm25_from_postings(stored, stats, queries, 10)) == scan
