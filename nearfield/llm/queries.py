@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm import bpe, decontaminate, hamming_index, kneser_ney, langid, line_dedup, pii, quality, sharding, simhash
+from nearfield.llm import bpe, decontaminate, fill_middle, hamming_index, kneser_ney, langid, line_dedup, pii, quality, sharding, simhash
 from nearfield.llm.common import hash_bucket, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -174,3 +174,23 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     model = kneser_ney.train(docs.where(~held))
     found = kneser_ney.score(docs, model)
     return found.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("bigint").alias("train_tokens"), "base_score", "score", "perplexity")
+
+
+@query(
+    "op12_fill_in_middle",
+    """
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\n]*\\n|[^\\n]+') AS u,
+                      sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS s FROM documents),
+    h AS (SELECT *, ('0x' || s[1:8])::BIGINT % (len(u) + 1) AS a, ('0x' || s[9:16])::BIGINT % (len(u) + 1) AS b,
+                 CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') THEN 'plain'
+                      WHEN ('0x' || s[25:32])::BIGINT % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM d),
+    p AS (SELECT *, array_to_string(u[1:least(a, b)], '') AS pre, array_to_string(u[least(a, b) + 1:greatest(a, b)], '') AS mid, array_to_string(u[greatest(a, b) + 1:], '') AS suf FROM h)
+    SELECT doc_id, len(u)::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(pre) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END::BIGINT AS middle_chars,
+           sha256(CASE form WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid WHEN 'spm' THEN '<S>' || suf || '<P>' || pre || '<M>' || mid ELSE t END) AS output_sha256,
+           sha256(t) AS restored_sha256 FROM p
+    """,
+)
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    made = fill_middle.examples(table(spark, sf, "documents"))
+    again = fill_middle.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(again, 256).alias("restored_sha256"))
