@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm import bpe, decontaminate, fill_middle, hamming_index, kneser_ney, langid, line_dedup, pii, quality, sharding, simhash
+from nearfield.llm import bpe, decontaminate, fill_middle, hamming_index, kneser_ney, langid, line_dedup, packing, pii, quality, sharding, simhash
 from nearfield.llm.common import hash_bucket, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -194,3 +194,8 @@ def op12(spark: SparkSession, sf: str) -> DataFrame:
     made = fill_middle.examples(table(spark, sf, "documents"))
     again = fill_middle.restored(F.col("output"), F.col("form"))
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(again, 256).alias("restored_sha256"))
+
+
+@query("op13_best_fit_packing")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
