@@ -30,6 +30,7 @@ from nearfield.llm.common import keyed_text, stored, text_blocks
 CAPACITY = 2048
 END = 0  # the id after each document
 KNOWN_BYTES = 32 << 20
+TOGETHER = 64  # new chunks to one call of the tokenizer
 RUN_BYTES = 4 << 20
 _BLANK = re.compile(rb"[ \t\n\r\x0b\x0c]")
 _RANK_BITS = 44  # of a look-up key, below the length
@@ -57,16 +58,20 @@ class ChunkTokenizer:
         self.ids, self.bounds, self.held = np.array([self.end], np.uint32), np.array([0, 1]), 0
 
     def _learn(self) -> None:
-        new = list(islice(self.number, len(self.bounds) - 1, None))
-        found: list[list[int]] = []
-        for start in range(0, len(new), 4096):
-            part = [w.decode() for w in new[start : start + 4096]]
-            found += [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+        """The ids of the new chunks: they are encoded some at a time, and each token goes to the chunk in which it starts."""
+        new = [w.decode() for w in islice(self.number, len(self.bounds) - 1, None)]
+        flat, counts = [], []
+        for start in range(0, len(new), 64 * TOGETHER):
+            groups = [new[i : i + TOGETHER] for i in range(start, min(start + 64 * TOGETHER, len(new)), TOGETHER)]
+            for group, found in zip(groups, self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False)):
+                ends = np.cumsum(np.fromiter(map(len, group), np.int64, len(group)) + 1)
+                begins = np.fromiter((at for at, _ in found.offsets), np.int64, len(found.ids))
+                flat.append(np.array(found.ids, np.uint32))
+                counts.append(np.bincount(np.searchsorted(ends, begins, side="right"), minlength=len(group)))
         if new:
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(sizes.sum()))
-            self.ids, self.bounds = np.concatenate((self.ids, flat)), np.concatenate((self.bounds, self.bounds[-1] + np.cumsum(sizes)))
-            self.held += sum(map(len, new)) + 4 * len(flat)
+            self.ids = np.concatenate((self.ids, *flat))
+            self.bounds = np.concatenate((self.bounds, self.bounds[-1] + np.cumsum(np.concatenate(counts))))
+            self.held += sum(map(len, new)) + 4 * sum(map(len, flat))
 
     def _numbers(self, raw: bytes) -> np.ndarray:
         """Chunk numbers of a text, a long one in runs that end at a blank, and the end of the document."""
