@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm import bpe, decontaminate, fill_middle, hamming_index, kneser_ney, langid, line_dedup, packing, pii, quality, sharding, simhash
+from nearfield.llm import bpe, decontaminate, fill_middle, hamming_index, kneser_ney, langid, line_dedup, packing, pii, quality, sharding, simhash, whitening
 from nearfield.llm.common import hash_bucket, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -176,6 +176,25 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("bigint").alias("train_tokens"), "base_score", "score", "perplexity")
 
 
+@query("op11_embedding_whitening")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    vectors, grid = table(spark, sf, "embeddings"), whitening.Grid(64, 1_000_000)
+    model = whitening.fit(vectors, grid=grid)
+    if model is None or not len(model.values):
+        return spark.createDataFrame([], "vec_id BIGINT, component INT, n BIGINT, deviation BIGINT, whitened DOUBLE, explained DOUBLE, identity_error DOUBLE")
+    share = F.array(*[F.lit(float(e / model.trace)) for e in model.values])
+    rows = whitening.transform(vectors, model).select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    return rows.select(
+        "vec_id",
+        (F.col("at") + 1).cast("int").alias("component"),
+        F.lit(model.n).cast("bigint").alias("n"),
+        "deviation",
+        "whitened",
+        F.get(share, F.col("at")).alias("explained"),
+        F.lit(whitening.identity_error(vectors, model)).alias("identity_error"),
+    )
+
+
 @query(
     "op12_fill_in_middle",
     """
