@@ -11,12 +11,14 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from nearfield.functions.vector import binary_quantize, l2_normalize
 from nearfield.operators.ann import rerank
 from nearfield.operators.kernels import ProductKernel
 from nearfield.operators.nearest import nearest
 from nearfield.operators.quantize import ProductCodec, ScalarCodec, nearest_index, nearest_indexes
+from nearfield.sizing import broadcast_if_small
 
 
 @dataclass(frozen=True)
@@ -97,3 +99,29 @@ def search_index(index: VectorIndex, queries: DataFrame, k: int, nprobe: int, ki
     else:
         raise ValueError(f"unknown kind {kind!r}")
     return rerank(found, stored, queries, k, fetch, index.metric) if refine else found
+
+
+def probe_curve(index: VectorIndex, queries: DataFrame, truth: DataFrame) -> DataFrame:
+    """``nprobe, found``: how many true neighbours lie in the first ``nprobe`` lists of their query.
+
+    No search is run: a true neighbour (``qid, id``) is found by exact distances inside the probed
+    lists as soon as its own list is probed. The rows of the index meet ``truth`` by id; choose a
+    sample of queries that keeps it small.
+    """
+    spark, probe = queries.sparkSession, "ip" if index.metric in ("ip", "dp") else "l2"
+    points = _points(index.centroids, index.metric)
+    order = nearest_indexes(_placed(index.metric), points, len(points), probe)
+    asked = queries.where(F.col("emb").isNotNull()).select("qid", order.alias("lists"))
+    lists = index.rows(spark).select("id", "list_id").join(broadcast_if_small(truth.select("qid", "id")), "id")
+    places = lists.join(broadcast_if_small(asked), "qid").select(F.array_position("lists", F.col("list_id")).cast("int").alias("place"))
+    counts = places.groupBy("place").agg(F.count(F.lit(1)).alias("n"))  # at most one row per list
+    return counts.select(F.col("place").alias("nprobe"), F.sum("n").over(Window.orderBy("place")).alias("found"))
+
+
+def probes_for(index: VectorIndex, queries: DataFrame, truth: DataFrame, share: float) -> int:
+    """The least number of probed lists that hold the given share of the true neighbours."""
+    curve = probe_curve(index, queries, truth).orderBy("nprobe").toArrow()
+    nprobe, found = curve["nprobe"].to_numpy(), curve["found"].to_numpy()
+    if not len(found):
+        return 1
+    return int(nprobe[np.searchsorted(found, share * found[-1])])

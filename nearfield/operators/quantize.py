@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.operators.kernels import nearest_points
+from nearfield.operators.lloyd import train_codes
 from nearfield.operators.nearest import matrix
 
 # Number of steps of each scalar code.
@@ -174,15 +175,8 @@ class ProductCodec:
 
     @classmethod
     def train(cls, base: DataFrame, parts: int, bits: int = 8, seed: int = 0) -> ProductCodec:
-        """K-means codebook of 2^bits codes per part."""
-        dim = base.where(F.col("emb").isNotNull()).select(F.size("emb").alias("n")).first()["n"]
-        width = dim // parts
-        books = []
-        for part in range(parts):
-            piece = base.select("id", F.slice("emb", part * width + 1, width).alias("emb"))
-            centres = train_centroids(piece, 2**bits, seed)
-            books.append(np.vstack([centres, np.repeat(centres[-1:], 2**bits - len(centres), axis=0)]))
-        return cls(np.stack(books))
+        """Codebook of 2^bits codes per part; every iteration serves all parts."""
+        return cls(train_codes(base, parts, 2**bits, seed))
 
     def encode(self, v: Column) -> Column:
         books = self.codebooks

@@ -8,14 +8,15 @@ from nearfield.functions.labels import int_at_least, label_equals, payload_bytes
 from nearfield.operators import ann as A
 from nearfield.operators import evaluate as E
 from nearfield.operators import truth as T
-from nearfield.operators.index import search_index, write_index
+from nearfield.operators.index import probes_for, search_index, write_index
+from nearfield.operators.lloyd import train_codes
 from nearfield.operators.nearest import nearest
 from nearfield.operators.quantize import ProductCodec, ScalarCodec, first_vectors, train_centroids
 from nearfield.plans.data_queries import SQ, _sq_sql
 from nearfield.plans.inputs import VECTORS, vector_queries, vectors
 from nearfield.plans.registry import ORACLES, query
 from nearfield.session import work_dir
-from nearfield.sizing import broadcast_bounded
+from nearfield.sizing import broadcast_bounded, settle
 
 K = 10
 N_LISTS, N_PROBE = 16, 4
@@ -249,6 +250,36 @@ def trained_ivf_all_lists(spark, sf):
     return shown(search_index(index, vector_queries(spark, sf), K, n_lists))
 
 
+KINDS = {"flat": 0, "sq": 2, "pq": 12, "bits": 24}  # candidates per neighbour that are measured again
+TUNED = 0.97  # of the true neighbours of the tuning queries lie in the probed lists
+ENOUGH = 0.9
+
+
+@query(
+    "trained_index_recall",
+    f"SELECT kind, CAST({K} AS BIGINT) AS k, (SELECT count(*) FROM embeddings) AS queries, true AS fewer_lists, true AS recall_reached FROM (VALUES ('flat'), ('sq'), ('pq'), ('bits')) t(kind)",
+)
+def trained_index_recall(spark, sf):
+    """Centres and product codes trained on the table, as many lists as its size calls for, probes tuned on a tenth of the queries; recall of all queries is measured."""
+    v, q = vectors(spark, sf), vector_queries(spark, sf)
+    n = v.count()
+    truth = settle(nearest(v, q, K, "l2").select("qid", F.col("rank").alias("gt_rank"), "id"))
+    product = ProductCodec.train(v, 16, bits=max(1, min(8, int(n / 8).bit_length() - 1)))
+    index = stored_index(spark, sf, train_codes(v, 1, max(2, round(n**0.5)))[0], scalar=ScalarCodec.fit(v), product=product)
+    tuning = F.pmod(F.xxhash64("qid"), F.lit(10)) == 0
+    nprobe = probes_for(index, q.where(tuning), truth.where(tuning), TUNED)
+    scored = None
+    for kind, refine in KINDS.items():
+        per_query = E.score_hits(search_index(index, q, K, nprobe, kind, refine), truth, K, q).select(F.lit(kind).alias("kind"), "recall")
+        scored = per_query if scored is None else scored.unionByName(per_query)
+    return scored.groupBy("kind").agg(
+        F.lit(K).cast("bigint").alias("k"),
+        F.count(F.lit(1)).alias("queries"),
+        F.lit(nprobe < len(index.centroids)).alias("fewer_lists"),
+        (F.avg("recall") >= ENOUGH).alias("recall_reached"),
+    )
+
+
 # --- ground truth -----------------------------------------------------------------------
 
 _HALF_ID = "b.id >= CAST(floor((SELECT count(*) FROM v) * 0.5::DOUBLE) AS BIGINT)"
