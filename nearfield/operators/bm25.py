@@ -13,11 +13,15 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from nearfield.functions.text import Analyzer
+from nearfield.operators.bm25_blocks import postings_rows, rank_blocks, write_blocks
 from nearfield.operators.bm25_scan import PARTIAL_DDL, STATS_DDL, WHOLE_NO, QueryTerms, count_terms, score_documents
 from nearfield.operators.nearest import top_k
 from nearfield.sizing import broadcast_bounded, settle, spread
@@ -169,6 +173,69 @@ def _asked(queries: DataFrame, analyzer: Analyzer | None) -> tuple[DataFrame, in
     return asked, n, 64 + size // max(n, 1)
 
 
+def block_postings(docs: DataFrame) -> DataFrame:
+    """Postings of analysed documents in blocks, made where the documents are read: nothing is shuffled.
+
+    One row per segment of at most 65 536 documents of a task, with the ids and lengths of its
+    documents (under the empty term), and one row per block of a term, in the order of the terms.
+    Documents without an id are left out. Ids are whole numbers or texts.
+    """
+    kind = docs.schema["doc_id"].dataType
+    if not isinstance(kind, (T.IntegralType, T.StringType)):
+        raise TypeError(f"doc_id is {kind.simpleString()}; block postings take whole numbers and texts")
+    ddl = f"segment BIGINT, term STRING, n BIGINT, first INT, last INT, max_tf BIGINT, min_dl BIGINT, total_dl BIGINT, data BINARY, ids ARRAY<{kind.simpleString()}>"
+    return docs.where(F.col("doc_id").isNotNull()).select("doc_id", "tokens").mapInArrow(write_blocks(to_arrow_type(kind)), ddl)
+
+
+def block_stats(blocks: DataFrame) -> DataFrame:
+    """``term, df, total_dl`` as ``term_stats`` gives, from the heads of the blocks."""
+    return blocks.groupBy("term").agg(F.sum("n").alias("df"), F.sum("total_dl").alias("total_dl"))
+
+
+def _by_segment(blocks: DataFrame) -> DataFrame:
+    return blocks.repartition("segment").sortWithinPartitions("segment", "term")
+
+
+def unpacked(blocks: DataFrame) -> DataFrame:
+    """``term, doc_id, tf, dl, row`` of block postings."""
+    kind = blocks.schema["ids"].dataType.elementType
+    return _by_segment(blocks).mapInArrow(postings_rows(to_arrow_type(kind)), f"term STRING, doc_id {kind.simpleString()}, tf BIGINT, dl BIGINT, row BIGINT")
+
+
+def bm25_from_blocks(blocks: DataFrame, stats: DataFrame, queries: DataFrame, k: int, analyzer: Analyzer | None = None, params: Bm25 | None = None) -> DataFrame:
+    """As ``bm25_topk``, over stored block postings and their term statistics.
+
+    Only blocks of query terms, and the ids and lengths of the documents, leave the scan; they are
+    moved by segment, which is bounded in size however common a term is. A task ranks its segments
+    one after the other and leaves out what cannot reach the k-th score it has. Query sets past the
+    bound of ``bm25_topk`` are joined with the unpacked postings.
+    """
+    params = params or Bm25()
+    asked, n_asked, width = _asked(queries, analyzer)
+    wanted = asked.select("term").distinct()
+    if n_asked > SCAN_TERMS or n_asked * width > SCAN_BYTES:
+        needed = blocks.join(broadcast_bounded(_with_whole(wanted), n_asked + 1, width), "term", "left_semi")
+        return bm25_from_postings(unpacked(needed), stats, queries, k, analyzer, params)
+    table = asked.select("qid", "term", "qtf").toArrow()
+    qids = table["qid"].combine_chunks().dictionary_encode()
+    terms = QueryTerms.build(pa.table({"qid": qids.indices, "term": table["term"], "qtf": table["qtf"]}))
+    n, measured = corpus_size(stats)
+    known = stats.join(broadcast_bounded(wanted, n_asked, width), "term", "left_semi").select("term", "df").toArrow()
+    df = np.zeros(len(terms.vocabulary))
+    df[pc.index_in(known["term"].combine_chunks(), value_set=terms.vocabulary).to_numpy(zero_copy_only=False)] = known["df"].to_numpy()
+    weighted = terms.weighted(np.log(1.0 + (n - df + 0.5) / (df + 0.5)))
+    kinds = queries.schema["qid"].dataType, blocks.schema["ids"].dataType.elementType
+    shared = queries.sparkSession.sparkContext.broadcast((*weighted.parts(), qids.dictionary))
+    rank = rank_blocks(shared, k, params.k1, params.b, params.avgdl or measured, tuple(map(to_arrow_type, kinds)))
+    needed = blocks.join(broadcast_bounded(_with_whole(wanted), n_asked + 1, width), "term", "left_semi")
+    partial = _by_segment(needed).mapInArrow(rank, f"qid {kinds[0].simpleString()}, doc_id {kinds[1].simpleString()}, score DOUBLE")
+    return top_k(partial, k, tie="doc_id", ascending=False).select("qid", "rank", "doc_id", "score")
+
+
+def _with_whole(terms: DataFrame) -> DataFrame:
+    return terms.union(terms.sparkSession.range(1).select(F.lit(_WHOLE)))
+
+
 def bm25_from_postings(stored: DataFrame, stats: DataFrame, queries: DataFrame, k: int, analyzer: Analyzer | None = None, params: Bm25 | None = None) -> DataFrame:
     """As ``bm25_topk``, over stored postings and their term statistics."""
     params = params or Bm25()

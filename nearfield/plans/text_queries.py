@@ -67,11 +67,11 @@ def bm25_by_postings(spark, sf):
 
 @query("bm25_stored", f"WITH {RANKED} SELECT qid, rank, doc_id, round(score, 6) AS score FROM h")
 def bm25_stored(spark, sf):
-    """The same ranking over stored postings."""
+    """The same ranking over stored block postings."""
     path = work_dir(spark, "index")
     C.write_documents(corpus(spark, sf), path)
-    stored, stats = C.read_postings(spark, path)
-    return shown(B.bm25_from_postings(stored, stats, text_queries(spark, sf), K))
+    blocks, stats = C.read_blocks(spark, path)
+    return shown(B.bm25_from_blocks(blocks, stats, text_queries(spark, sf), K))
 
 
 @query("bm25_payload_text", f"WITH {RANKED} SELECT qid, rank, h.doc_id, round(score, 6) AS score, md5(t.text) AS text_md5 FROM h JOIN documents t ON t.doc_id = h.doc_id")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.functions.text import Analyzer
-from nearfield.operators.bm25 import Bm25, analyzed, postings, term_stats
+from nearfield.operators.bm25 import Bm25, analyzed, block_postings, block_stats, unpacked
 from nearfield.schemas import MANIFEST
 
 
@@ -33,31 +33,29 @@ def titled_corpus(df: DataFrame, id_col: str = "doc_id", title_col: str = "title
     )
 
 
-def write_documents(corpus: DataFrame, path: str, analyzer: Analyzer | None = None, term_buckets: int = 64, spread: int = 8) -> int:
+def write_documents(corpus: DataFrame, path: str, analyzer: Analyzer | None = None) -> int:
     """Store the corpus, its postings and term statistics; return the number of documents.
 
-    Postings lie in folders by term hash and are sorted by term, so a query reads a few
-    row groups. A very common term is spread over several files by document. Every row is a
-    document: its ``row`` number is stored with it and its postings.
+    Postings are written in blocks by the tasks that read the documents, each file sorted by
+    segment and term, so their number and size follow the stored documents. Every row with an id is
+    a document, also where ids repeat.
     """
-    corpus.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()).write.mode("overwrite").parquet(f"{path}/documents")
-    docs = analyzed(corpus.sparkSession.read.parquet(f"{path}/documents"), analyzer, keep=("row",))
-    bucket = F.pmod(F.xxhash64("term"), F.lit(term_buckets)).cast("int")
-    placed = postings(docs).withColumn("bucket", bucket)
-    (
-        placed.repartition("bucket", F.pmod(F.xxhash64("row"), F.lit(spread)))
-        .sortWithinPartitions("bucket", "term", "doc_id")
-        .write.mode("overwrite")
-        .partitionBy("bucket")
-        .parquet(f"{path}/postings")
-    )
-    term_stats(docs).write.mode("overwrite").parquet(f"{path}/terms")
-    return corpus.sparkSession.read.parquet(f"{path}/documents").count()
+    corpus.select("doc_id", "text").write.mode("overwrite").parquet(f"{path}/documents")
+    stored = corpus.sparkSession.read.parquet(f"{path}/documents")
+    block_postings(analyzed(stored, analyzer)).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/postings")
+    block_stats(corpus.sparkSession.read.parquet(f"{path}/postings")).write.mode("overwrite").parquet(f"{path}/terms")
+    return stored.count()
+
+
+def read_blocks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Stored block postings and term statistics."""
+    return spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms")
 
 
 def read_postings(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Stored postings and term statistics."""
-    return spark.read.parquet(f"{path}/postings").drop("bucket"), spark.read.parquet(f"{path}/terms")
+    """Stored postings as rows ``term, doc_id, tf, dl, row``, and term statistics."""
+    blocks, stats = read_blocks(spark, path)
+    return unpacked(blocks), stats
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:

@@ -64,9 +64,14 @@ def test_ranking_equals_brute_force(tables, params):
 
 def test_stored_index_gives_the_same_ranking(spark, tables, tmp_path):
     corpus, queries = tables
-    assert C.write_documents(corpus, str(tmp_path), term_buckets=4, spread=2) == len(DOCS)
+    assert C.write_documents(corpus, str(tmp_path)) == len(DOCS)
     stored, stats = C.read_postings(spark, str(tmp_path))
     assert rows(B.bm25_from_postings(stored, stats, queries, 3)) == brute(3)
+    blocks, stats = C.read_blocks(spark, str(tmp_path))
+    assert rows(B.bm25_from_blocks(blocks, stats, queries, 3)) == brute(3)
+    plain = B.postings(B.analyzed(corpus))
+    assert sorted(stored.drop("row").collect()) == sorted(plain.collect())
+    assert sorted(stats.collect()) == sorted(B.term_stats(B.analyzed(corpus)).select(*stats.columns).collect())
 
 
 def test_truth_is_padded_and_stripped(tables):
@@ -135,8 +140,10 @@ def test_stored_postings_keep_rows_with_one_doc_id_apart(spark, tmp_path):
     docs = [(1, "quick fox"), (1, "quick fox jumps"), (1, "brown fox"), (2, "lazy dog"), (3, "fox"), (3, "fox")]
     corpus = spark.createDataFrame(docs, "doc_id BIGINT, text STRING").repartition(3)
     queries = spark.createDataFrame([(5, "quick fox"), (6, "dog")], "qid BIGINT, text STRING")
-    assert C.write_documents(corpus, str(tmp_path), term_buckets=4, spread=2) == len(docs)
+    assert C.write_documents(corpus, str(tmp_path)) == len(docs)
     stored, stats = C.read_postings(spark, str(tmp_path))
     scan = rows(B.bm25_topk(corpus, queries, 10))
     assert len(scan) == 6 and rows(B.bm25_by_postings(corpus, queries, 10)) == scan
     assert rows(B.bm25_from_postings(stored, stats, queries, 10)) == scan
+    blocks, stats = C.read_blocks(spark, str(tmp_path))
+    assert rows(B.bm25_from_blocks(blocks, stats, queries, 10)) == scan
