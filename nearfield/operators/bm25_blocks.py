@@ -21,7 +21,7 @@ from nearfield.operators.kernels import DECIMALS
 
 BLOCK = 1024
 SEGMENT_DOCS = 1 << 16
-SEGMENT_BYTES = 32 << 20
+SEGMENT_BYTES = 8 << 20  # of tokens; a worker holds some 12 times as much while it inverts them
 WHOLE = ""  # no token is empty, so this term stands for the documents of the segment
 _SLACK = 2.0 * 10.0**-DECIMALS  # scores are compared after rounding
 
@@ -77,7 +77,12 @@ def _invert(segment: int, ids: pa.Array, tokens: pa.Array, schema: pa.Schema) ->
     order = pc.sort_indices(coded.dictionary)
     rank = np.empty(len(order), np.int64)
     rank[order.to_numpy()] = np.arange(len(order))
-    cells, tf = np.unique(rank[coded.indices.to_numpy()] * n + np.repeat(np.arange(n), dl), return_counts=True)
+    cells = rank[coded.indices.to_numpy()]
+    cells *= n
+    cells += np.repeat(np.arange(n, dtype=np.int32), dl)
+    cells.sort()
+    new = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]])
+    tf, cells = np.diff(np.r_[new, len(cells)]), cells[new]
     term, doc = cells // n, cells % n
     first_of_term = np.flatnonzero(np.r_[True, term[1:] != term[:-1]])
     within = np.arange(len(term)) - np.repeat(first_of_term, np.diff(np.r_[first_of_term, len(term)]))
@@ -104,9 +109,9 @@ def write_blocks(ids: pa.DataType) -> Callable[[Iterator[pa.RecordBatch]], Itera
         held: list[pa.RecordBatch] = []
         docs = size = 0
         for batch in batches:
-            for start in range(0, batch.num_rows, 1024):
-                part = batch.slice(start, 1024)
-                more = part.column(1).flatten().nbytes
+            for start in range(0, batch.num_rows, 64):
+                part = batch.slice(start, 64)
+                more = pc.sum(pc.binary_length(part.column(1).flatten())).as_py() or 0
                 if held and (docs + part.num_rows > SEGMENT_DOCS or size + more > SEGMENT_BYTES):
                     yield from _whole(number, held, schema)
                     number, held, docs, size = number + 1, [], 0, 0
