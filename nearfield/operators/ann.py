@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.functions.vector import binary_quantize, metric
+from nearfield.operators.fetch import attach
 from nearfield.operators.kernels import ProductKernel
 from nearfield.operators.nearest import nearest, pair_distance, shown, top_k
 from nearfield.operators.quantize import ProductCodec, ScalarCodec, nearest_index, nearest_indexes
@@ -66,14 +67,13 @@ def _bits(df: DataFrame) -> DataFrame:
 def rerank(candidates: DataFrame, base: DataFrame, queries: DataFrame, k: int, fetch: int, metric_name: str = "cos") -> DataFrame:
     """Measure fetched candidates exactly and keep k.
 
-    The full vectors meet at most ``queries x fetch`` candidate rows; that bound decides
-    whether the candidates are broadcast to the base table.
+    The full vectors meet at most ``queries x fetch`` candidate rows; that bound decides how the
+    candidates reach the base table, whose rows are not moved to be joined.
     """
     expression, ascending = metric(metric_name)
     asked = queries.select("qid", F.col("emb").alias("q_emb")).dropDuplicates(["qid"])
     n, size = asked.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("q_emb")), F.lit(0))).first()
-    wanted = broadcast_bounded(candidates.select("qid", "id"), n * fetch)
-    rows = base.select("id", F.col("emb").alias("b_emb")).join(wanted, "id")
+    rows = attach(base.select("id", F.col("emb").alias("b_emb")), candidates.select("qid", "id"), n * fetch, row_bytes=32)
     rows = rows.join(broadcast_bounded(asked, n, 64 + 8 * (size // max(n, 1))), "qid")
     if metric_name in ("l2", "cos", "ip", "dp"):
         distance = pair_distance(metric_name, F.col("q_emb"), F.col("b_emb"))

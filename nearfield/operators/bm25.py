@@ -23,6 +23,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from nearfield.functions.text import Analyzer
 from nearfield.operators.bm25_blocks import postings_rows, rank_blocks, write_blocks
 from nearfield.operators.bm25_scan import PARTIAL_DDL, STATS_DDL, WHOLE_NO, QueryTerms, count_terms, score_documents
+from nearfield.operators.fetch import attach
 from nearfield.operators.nearest import top_k
 from nearfield.sizing import broadcast_bounded, settle, spread
 
@@ -256,8 +257,7 @@ def _rank(tf: DataFrame, weights: DataFrame, k: int, params: Bm25, avgdl: float)
 
 def with_text(hits: DataFrame, corpus: DataFrame, max_hits: int) -> DataFrame:
     """Add document texts to hits (at most ``max_hits`` rows); only those meet the corpus."""
-    wanted = broadcast_bounded(hits, max_hits, 64)
-    return corpus.select("doc_id", "text").join(wanted, "doc_id").select("qid", "rank", "doc_id", "score", "text")
+    return attach(corpus.select("doc_id", "text"), hits, max_hits, key="doc_id").select("qid", "rank", "doc_id", "score", "text")
 
 
 def bm25_ground_truth(corpus: DataFrame, queries: DataFrame, k: int, analyzer: Analyzer | None = None, params: Bm25 | None = None) -> DataFrame:

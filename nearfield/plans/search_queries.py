@@ -8,6 +8,7 @@ from nearfield.functions.labels import int_at_least, label_equals, payload_bytes
 from nearfield.operators import ann as A
 from nearfield.operators import evaluate as E
 from nearfield.operators import truth as T
+from nearfield.operators.fetch import attach
 from nearfield.operators.index import probes_for, search_index, write_index
 from nearfield.operators.lloyd import train_codes
 from nearfield.operators.nearest import nearest
@@ -16,7 +17,7 @@ from nearfield.plans.data_queries import SQ, _sq_sql
 from nearfield.plans.inputs import VECTORS, vector_queries, vectors
 from nearfield.plans.registry import ORACLES, query
 from nearfield.session import work_dir
-from nearfield.sizing import broadcast_bounded, settle
+from nearfield.sizing import settle
 
 K = 10
 N_LISTS, N_PROBE = 16, 4
@@ -113,7 +114,7 @@ def knn_tenant_filter(spark, sf):
 )
 def knn_payload(spark, sf):
     v, q = vectors(spark, sf), vector_queries(spark, sf)
-    wide = v.join(broadcast_bounded(nearest(v, q, K, "cos"), q.count() * K), "id")
+    wide = attach(v, nearest(v, q, K, "cos"), q.count() * K)
     sums = F.round(F.aggregate("emb", F.lit(0.0), lambda acc, x: acc + x.cast("double")), 6) + F.lit(0.0)
     return wide.select(
         "qid", F.col("rank").cast("bigint").alias("rank"), "id", "label", sums.alias("total"),
