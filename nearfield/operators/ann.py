@@ -8,7 +8,7 @@ lists of its ``nprobe`` nearest centroids and meets only those rows. Stored with
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.functions.vector import binary_quantize, metric
@@ -149,3 +149,43 @@ def scan_cost(base_lists: DataFrame, probes: DataFrame, grid: list[int]) -> Data
         .groupBy("nprobe")
         .agg(F.sum(F.col("rows") * F.col("asks")).alias("rows_scanned"))
     )
+
+
+def sweep_grid(base: DataFrame, queries: DataFrame, k: int, centroids: np.ndarray, nprobes: list[int], oversamples: list[int], metric_name: str = "l2") -> DataFrame:
+    """Hits of sign-bit search and exact refine for every pair of settings, from one search: ``nprobe, oversample, qid, rank, id, score``.
+
+    The search keeps ``k * max(oversamples)`` candidates of every probed list of a query and
+    measures them once. A candidate has a place in the order of its sign bits and a distance; each
+    ``nprobe`` cuts the lists, each ``oversample`` the places, and the distances rank what is left.
+    """
+    listed = base if "list_id" in base.columns else assign_lists(base, centroids)
+    fetch, most = k * max(oversamples), max(nprobes)
+    asked = probe_lists(queries, centroids, most).withColumn("key", F.col("list_id"))
+    coded = _bits(listed.withColumn("key", F.col("list_id")))
+    fetched = settle(search_parts(coded, _bits(asked), most, fetch, "probe_rank", "hamming").select("qid", "part", "id", F.col("score").alias("code")))
+    vectors = queries.select("qid", F.col("emb").alias("q_emb")).where(F.col("q_emb").isNotNull()).dropDuplicates(["qid"])
+    near = attach(base.select("id", F.col("emb").alias("b_emb")), fetched, queries.count() * most * fetch)
+    ascending = metric_name not in ("ip", "dp")
+    distance = pair_distance(metric_name, F.col("q_emb"), F.col("b_emb"))
+    measured = near.join(broadcast_if_small(vectors), "qid").select("qid", "part", "id", "code", ((distance if ascending else -distance) + F.lit(0.0)).alias("score"))
+    measured = settle(measured.where(F.col("score").isNotNull()))
+    placed = _by_setting(measured, "part", nprobes, "nprobe").withColumn("unit", F.struct("nprobe", "qid"))
+    placed = top_k(placed, fetch, group="unit", score="code").withColumnRenamed("rank", "place")
+    refined = _by_setting(placed, F.floor(F.col("place") / k), oversamples, "oversample").withColumn("unit", F.struct("nprobe", "oversample", "qid"))
+    best = top_k(refined.drop("rank"), k, group="unit", ascending=ascending)
+    return best.select("nprobe", "oversample", "qid", "rank", "id", shown(F.col("score")).alias("score"))
+
+
+def _by_setting(rows: DataFrame, cut: Column | str, grid: list[int], name: str) -> DataFrame:
+    """Every row once for each setting above its value."""
+    at = F.col(cut) if isinstance(cut, str) else cut
+    return rows.withColumn(name, F.explode(F.filter(F.array(*[F.lit(g) for g in sorted(grid)]), lambda g: g > at)))
+
+
+def grid_cost(base_lists: DataFrame, probes: DataFrame, nprobes: list[int], oversamples: list[int], k: int) -> DataFrame:
+    """``nprobe, oversample, rows_scanned, rows_refined``: rows compared by code and rows measured again, summed over the queries."""
+    sizes = base_lists.groupBy("list_id").agg(F.count(F.lit(1)).alias("rows"))
+    asked = _by_setting(probes.select("qid", "list_id", "probe_rank").join(sizes, "list_id"), "probe_rank", nprobes, "nprobe")
+    each = asked.groupBy("nprobe", "qid").agg(F.sum("rows").alias("rows")).withColumn("oversample", F.explode(F.array(*[F.lit(o) for o in oversamples])))
+    refined = F.sum(F.least("rows", F.col("oversample") * F.lit(k)))
+    return each.groupBy("nprobe", "oversample").agg(F.sum("rows").alias("rows_scanned"), refined.alias("rows_refined"))

@@ -336,6 +336,36 @@ def ann_sweep(spark, sf):
     return mean.join(cost, "nprobe").select(F.col("nprobe").cast("bigint").alias("nprobe"), "recall", "rows_scanned")
 
 
+GRID_PROBES, GRID_OVERSAMPLES = [2, 8, 16], [1, 4, 12]
+_GRID = f"""{VECTORS}, {LISTS.format(probe=N_LISTS)}, {bit_pairs('b.list_id = q.list_id', 'a', 'pr').replace('AS d,', 'AS d, q.probe,')},
+np AS (SELECT unnest({GRID_PROBES}) AS nprobe), os AS (SELECT unnest({GRID_OVERSAMPLES}) AS oversample),
+cut AS (SELECT nprobe, qid, id, d, qe, be FROM s, np WHERE probe < nprobe),
+place AS (SELECT *, row_number() OVER (PARTITION BY nprobe, qid ORDER BY d, id) AS n FROM cut),
+fine AS (SELECT nprobe, oversample, qid, id, {DISTANCE['l2'].format(q='qe', b='be')} AS d FROM place, os WHERE n <= {K} * oversample),
+{ranked('fine', unit='nprobe, oversample, qid')}, {all_pairs('l2', name='every')}, {ranked('every', 't')}"""
+
+
+@query(
+    "ann_grid",
+    f"""WITH {_GRID}, hit AS (SELECT nprobe, oversample, count(*) AS n FROM h JOIN t ON t.qid = h.qid AND t.id = h.id GROUP BY 1, 2),
+    scan AS (SELECT nprobe, count(*) AS rows_scanned FROM cut GROUP BY 1), more AS (SELECT nprobe, oversample, count(*) AS rows_refined FROM fine GROUP BY 1, 2)
+    SELECT CAST(more.nprobe AS BIGINT) AS nprobe, CAST(more.oversample AS BIGINT) AS oversample, round(hit.n / {K}e0 / (SELECT count(*) FROM v), 4) AS recall, rows_scanned, rows_refined
+    FROM more JOIN scan ON scan.nprobe = more.nprobe JOIN hit ON hit.nprobe = more.nprobe AND hit.oversample = more.oversample""",
+)
+def ann_grid(spark, sf):
+    """Recall against rows scanned and refined for every pair of probes and oversampling, from one search."""
+    v, q = vectors(spark, sf), vector_queries(spark, sf)
+    cent = centroids(v)
+    listed = A.assign_lists(v, cent)
+    hits = A.sweep_grid(listed, q, K, cent, GRID_PROBES, GRID_OVERSAMPLES)
+    truth = nearest(v, q, K, "l2").select("qid", "id")
+    n = q.count()
+    recall = hits.join(truth, ["qid", "id"]).groupBy("nprobe", "oversample").agg(F.round(F.count(F.lit(1)) / K / n, 4).alias("recall"))
+    cost = A.grid_cost(listed, A.probe_lists(q, cent, max(GRID_PROBES)), GRID_PROBES, GRID_OVERSAMPLES, K)
+    both = recall.join(cost, ["nprobe", "oversample"])
+    return both.select(F.col("nprobe").cast("bigint").alias("nprobe"), F.col("oversample").cast("bigint").alias("oversample"), "recall", "rows_scanned", "rows_refined")
+
+
 # --- evaluation of the sign-bit search against exact truth ------------------------------
 
 _EVAL = f"{VECTORS}, {all_pairs('cos', name='s0')}, {ranked('s0', 't')}, {bit_pairs()}, {ranked('s')}"

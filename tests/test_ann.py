@@ -42,6 +42,19 @@ def test_recall_grows_with_nprobe_and_oversample(data):
     assert by_fetch == sorted(by_fetch) and by_fetch[-1] == 1.0
 
 
+def test_a_grid_gives_what_each_search_gives(data):
+    base, queries, truth = data
+    cent = first_vectors(base, 8)
+    listed = A.assign_lists(base, cent)
+    grid = A.sweep_grid(listed, queries, 10, cent, [2, 8], [1, 6]).cache()
+    for nprobe, oversample in ((2, 1), (2, 6), (8, 1), (8, 6)):
+        alone = A.knn_ivf_bq(listed, queries, 10, cent, nprobe, oversample).collect()
+        mine = grid.where((F.col("nprobe") == nprobe) & (F.col("oversample") == oversample))
+        assert sorted((r.qid, r["rank"], r.id, r.score) for r in mine.collect()) == sorted((r.qid, r["rank"], r.id, r.score) for r in alone)
+    cost = {(r.nprobe, r.oversample): r for r in A.grid_cost(listed, A.probe_lists(queries, cent, 8), [2, 8], [1, 6], 10).collect()}
+    assert cost[8, 1].rows_scanned == 400 * 20 and cost[8, 6].rows_refined == 60 * 20 and cost[2, 1].rows_refined <= 10 * 20
+
+
 def test_trained_codes_find_most_neighbours(data):
     base, queries, truth = data
     cent = first_vectors(base, 4)
