@@ -18,12 +18,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from nearfield.llm.common import text_blocks
 from nearfield.llm.wordhash import row_bounds
 
 UNKNOWN = "und"
-SAMPLE_DOCS = 400  # about so many for each language
+SAMPLE_DOCS = 400  # at most so many for each language
 SAMPLE_WORDS = 60  # of each of them
 HIDDEN = 16
 PIECE_BYTES = 48
@@ -142,24 +144,49 @@ def _symbols(words: list[bytes]) -> np.ndarray:
     return np.concatenate((mark, raw, mark))
 
 
+def _cuts(rows: DataFrame, counts: dict[str, int]) -> dict[str, int]:
+    """For each language the hash of the last of its ``SAMPLE_DOCS`` different texts in the order of their hashes.
+
+    Only hashes are looked at, each once however often its row repeats. Those below a share that
+    should hold some fifty times the sample are enough unless copies leave too few of them.
+    """
+    for slack in (50, None):
+        share = {name: 1.0 if slack is None else min(1.0, slack * SAMPLE_DOCS / n) for name, n in counts.items()}
+        below = F.create_map(*[F.lit(x) for name, s in share.items() for x in (name, s)])
+        near = rows.select("lang", "h").where((F.col("h") / 2.0**64 + 0.5) <= below[F.col("lang")]).groupBy("lang", "h").agg(F.lit(1).alias("one"))
+        place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+        first = near.select("lang", "h", place.alias("place")).where(F.col("place") <= SAMPLE_DOCS)
+        found = {r["lang"]: r for r in first.groupBy("lang").agg(F.max("h").alias("h"), F.count(F.lit(1)).alias("n")).collect()}
+        if all(share[name] == 1.0 or name in found and found[name]["n"] == SAMPLE_DOCS for name in counts):
+            break
+    return {name: r["h"] for name, r in found.items()}
+
+
+def _pieces(text: str) -> list[bytes]:
+    """At most ``SAMPLE_WORDS`` words at even distances over the whole text, long ones in pieces as prediction reads them."""
+    words = [w[i : i + PIECE_BYTES] for w in text.encode().split() for i in range(0, len(w), PIECE_BYTES)]
+    if len(words) <= SAMPLE_WORDS:
+        return words
+    return [words[i] for i in np.linspace(0, len(words) - 1, SAMPLE_WORDS).round().astype(int)]
+
+
 def _sample(docs: DataFrame, key: str, text: str, lang: str) -> tuple[list[str], list[bytes], np.ndarray]:
-    """Words of about ``SAMPLE_DOCS`` documents of each language, spread evenly over the text."""
+    """Words of at most ``SAMPLE_DOCS`` different documents of each language, whatever their keys."""
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
+    rows = rows.withColumn("h", F.xxhash64(F.lit("language sample"), "key", "text"))
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row per language
     if not counts:
         return [], [], np.empty(0, np.int64)
     languages = sorted(counts)
-    share = F.create_map(*[F.lit(x) for name in languages for x in (name, min(1.0, SAMPLE_DOCS / counts[name]))])
-    place = F.abs(F.xxhash64("key", F.lit("language sample")) % 1_000_000) / 1e6
-    rows = rows.where(place < share[F.col("lang")])
+    cut = F.create_map(*[F.lit(x) for item in _cuts(rows, counts).items() for x in item])
+    chosen = rows.where(F.col("h") <= cut[F.col("lang")]).dropDuplicates(["lang", "h"])
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in text_blocks(batches):
-            found = [t.encode().split() for t in block.column("text").to_pylist()]
-            kept = [[w[:PIECE_BYTES] for w in f[:: max(1, len(f) // SAMPLE_WORDS)][:SAMPLE_WORDS]] for f in found]
+            kept = [_pieces(t) for t in block.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([block.column("lang"), pa.array(kept, pa.list_(pa.binary()))], ["lang", "words"])
 
-    table = rows.select("text", "lang").mapInArrow(words, "lang STRING, words ARRAY<BINARY>").toArrow()
+    table = chosen.select("text", "lang").mapInArrow(words, "lang STRING, words ARRAY<BINARY>").toArrow()
     pairs = sorted((name, w) for name, ws in zip(table["lang"].to_pylist(), table["words"].to_pylist()) for w in ws)
     number = {name: i for i, name in enumerate(languages)}
     return languages, [w for _, w in pairs], np.array([number[name] for name, _ in pairs], np.int64)
@@ -234,3 +261,16 @@ def predict(docs: DataFrame, network: Network, key: str = "doc_id", text: str =
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.xxhash64(body).alias("th"), body.alias("text"))
     return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, th BIGINT, lang_pred STRING, score DOUBLE").withColumnRenamed("key", key)
+
+
+def marked(docs: DataFrame, network: Network, lang_pred: str, score: str, text: str = "text") -> DataFrame:
+    """Every row with all its columns and what ``predict`` gives for it, under two new names."""
+    schema = T.StructType([*docs.schema.fields, T.StructField(lang_pred, T.StringType()), T.StructField(score, T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        predictor = Predictor(network)
+        for block in text_blocks(batches, text):
+            names, scores = predictor.predict([t or "" for t in block.column(text).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*block.columns, pa.array(names, pa.string()), pa.array(scores)], [*block.schema.names, lang_pred, score])
+
+    return docs.mapInArrow(run, schema)

@@ -34,6 +34,41 @@ def test_language_of_held_out_documents(spark, documents, messy, nothing):
     assert {r.lang_pred for r in langid.predict(messy, empty).collect()} == {"und"}
 
 
+ENGLISH = "the water of the river was high that year and nobody crossed it".split()
+FRENCH = "la rivière était haute cette année et personne ne la traversait".split()
+
+
+def test_languages_whose_rows_share_a_key(spark):
+    """A shared or null key neither hides a language nor sends all its rows to the driver."""
+    for shared in (None, 5):
+        rows = [(shared, " ".join(ENGLISH[i % 7 :] + ENGLISH[: i % 5] + [f"year {i}"]), "en") for i in range(3000)]
+        rows += [(i, " ".join(FRENCH[i % 7 :] + FRENCH[: i % 5] + [f"année {i}"]), "fr") for i in range(500)] + [(9, "the same text", "en")] * 2000
+        docs = spark.createDataFrame(rows, "doc_id INT, text STRING, lang STRING").repartition(4)
+        languages, words, labels = langid._sample(docs, "doc_id", "text", "lang")
+        assert languages == ["en", "fr"]
+        numbers = {w for w, y in zip(words, labels) if y == 0 and w.isdigit()}
+        assert 390 <= len(numbers) <= langid.SAMPLE_DOCS and (labels == 1).sum() > 3000
+        network = langid.learn(docs)
+        found = langid.marked(docs.where("text <> 'the same text'"), network, "p", "s").groupBy("lang").agg(F.avg((F.col("lang") == F.col("p")).cast("int")).alias("right")).collect()
+        assert len(found) == 2 and min(r.right for r in found) > 0.95
+
+
+def test_training_words_lie_all_over_the_text():
+    words = langid._pieces(" ".join(f"w{i}" for i in range(110)))
+    assert len(words) == 60 and words[0] == b"w0" and words[-1] == b"w109"
+    assert langid._pieces("a b") == [b"a", b"b"] and langid._pieces("") == []
+    long = "日本語" * 500
+    assert len(langid._pieces(long)) == 60 and max(map(len, langid._pieces(long))) <= langid.PIECE_BYTES
+
+
+def test_marks_are_the_predictions(messy, documents):
+    network = langid.learn(documents)
+    docs = messy.withColumnRenamed("lang_pred", "own")
+    rows = langid.marked(docs, network, "__l", "__s")
+    assert rows.columns == [*docs.columns, "__l", "__s"]
+    assert sorted((str(r.doc_id), r["__l"], round(r["__s"], 12)) for r in rows.collect()) == sorted((str(r.doc_id), r.lang_pred, round(r.score, 12)) for r in langid.predict(docs, network).collect())
+
+
 def test_backpropagation():
     """The gradients agree with finite differences."""
     network = langid.Network(["a", "b", "c"], seed=3)
