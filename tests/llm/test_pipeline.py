@@ -51,3 +51,36 @@ def test_entry_points_with_the_corpus_queries():
     names = set(entry.queries())
     assert {"pipeline"} | {f"op{n}" for n in range(1, 11)} <= {n.split("_")[0] for n in names}
     assert set(entry.oracle_sql()) <= names
+
+
+def plain_folder(spark, root, docs):
+    spark.createDataFrame(docs, "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT").write.parquet(f"{root}/documents.parquet")
+    spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven twelve thirteen")], "item_id BIGINT, text STRING").write.parquet(f"{root}/benchmark.parquet")
+
+
+def test_documents_without_a_language_label_stay(spark, tmp_path):
+    docs = [(i, f"plain english text number {i} about a river", None, "s", 10) for i in range(20)] + [(None, None, None, None, None)]
+    plain_folder(spark, str(tmp_path), docs)
+    table = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    assert P.language_id(spark, table, str(tmp_path)).count() == 21
+    known = table.selectExpr("doc_id", "text", "'en' AS lang", "source", "n_chars")
+    assert P.language_id(spark, known, str(tmp_path)).count() == 20
+
+
+def test_a_text_in_no_learned_language_goes(spark, tmp_path):
+    base = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    odd = spark.createDataFrame([(10**9 + i, "".join(chr(0x30A2 + (7 * i + j) % 60) + chr(33 + (i + 3 * j) % 14) for j in range(80)), None, "s", 160) for i in range(5)], base.schema)
+    kept = P.language_id(spark, base.union(odd), str(tmp_path))
+    lettered = base.where("text RLIKE '\\\\p{L}'")
+    gone = lettered.join(kept, "doc_id", "left_anti").count()
+    assert gone <= 0.005 * lettered.count() and kept.columns == base.columns
+
+
+def test_empty_tables_and_clashing_columns(spark, messy, nothing, folder):
+    for docs in (messy, nothing):
+        docs = docs.withColumn("source", docs["doc_id"].cast("string")).withColumn("lang", docs["text"].substr(1, 1))
+        columns, n = docs.columns, docs.count()
+        for name, stage in P.STAGES[:-1]:
+            docs = stored(stage(spark, docs, folder), name)
+            assert docs.columns == columns and docs.count() <= n
+        assert P.byte_level_bpe(spark, docs, folder).count() == docs.count()
