@@ -68,16 +68,22 @@ def test_reduced_precision(spark, pairs):
 
 
 def test_names_and_sizes(spark):
-    ids = spark.createDataFrame([(0,), (1,), (8,), (13,)], "id BIGINT")
-    assert [r[0] for r in ids.orderBy("id").select(L.tenant_for_id(F.col("id"), 7, "acct_", 2)).collect()] == ["acct_00", "acct_01", "acct_01", "acct_06"]
-    sizes = spark.createDataFrame([("ids_only", 10, 768, 200), ("vector", 10, 768, 30920), ("text", 10, 0, 5320), ("vector", 100, 768, 309200)], "p STRING, k INT, d INT, want BIGINT")
+    ids = spark.createDataFrame([(3,), (11,), (26,), (1240,)], "id BIGINT")
+    got = ids.orderBy("id").select("id", L.tenant_for_id(F.col("id"), 5, "t", 3).alias("tenant")).collect()
+    assert [r.tenant for r in got] == [f"t{r.id % 5:03}" for r in got]
+    cases = [(p, k, d) for p in ("ids_only", "vector", "text", "scalar_label") for k in (1, 6, 25) for d in (3, 48)]
+    each = {"ids_only": lambda d: L.HIT_BYTES, "vector": lambda d: L.HIT_BYTES + d * L.DIM_BYTES, "text": lambda d: L.HIT_BYTES + L.TEXT_BYTES, "scalar_label": lambda d: L.HIT_BYTES + L.LABEL_BYTES}
+    sizes = spark.createDataFrame([(p, k, d, k * each[p](d)) for p, k, d in cases], "p STRING, k INT, d INT, want BIGINT")
     assert sizes.where(L.payload_bytes(F.col("p"), F.col("k"), F.col("d")) != F.col("want")).count() == 0
     rates = spark.createDataFrame([(0.01, "int_1p"), (0.5, "int_50p"), (0.995, "int_99.5p"), (0.001, "int_0.1p")], "r DOUBLE, want STRING")
     assert rates.where(L.int_rate(F.col("r")) != F.col("want")).count() == 0
     assert L.int_truth_table(0.995) == "neighbors_int_99.5p" and L.label_truth_table(0.001) == "neighbors_labels_label_0.1p"
 
 
-@pytest.mark.parametrize("n", [1, 10, 50, 100])
+@pytest.mark.parametrize("n", [2, 9, 37])
 def test_shard_names(n):
-    names = shard_names(n, shuffled=True)
-    assert len(set(names)) == n and all(name.startswith("shuffle_train") for name in names)
+    for shuffled, stem in ((True, "shuffle_train"), (False, "train")):
+        names = shard_names(n, shuffled=shuffled)
+        assert names == sorted(set(names)) and len(names) == n
+        assert all(name.split("-")[0] == stem and name.endswith(f"-of-{n}.parquet") for name in names)
+    assert shard_names(1) == ["train.parquet"]
