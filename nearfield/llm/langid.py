@@ -148,9 +148,9 @@ def _cuts(rows: DataFrame, counts: dict[str, int]) -> dict[str, int]:
     """For each language the hash of the last of its ``SAMPLE_DOCS`` different texts in the order of their hashes.
 
     Only hashes are looked at, each once however often its row repeats. Those below a share that
-    should hold some fifty times the sample are enough unless copies leave too few of them.
+    should hold four times the sample are enough unless copies leave too few of them.
     """
-    for slack in (50, None):
+    for slack in (4, None):
         share = {name: 1.0 if slack is None else min(1.0, slack * SAMPLE_DOCS / n) for name, n in counts.items()}
         below = F.create_map(*[F.lit(x) for name, s in share.items() for x in (name, s)])
         near = rows.select("lang", "h").where((F.col("h") / 2.0**64 + 0.5) <= below[F.col("lang")]).groupBy("lang", "h").agg(F.lit(1).alias("one"))
