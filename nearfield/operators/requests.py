@@ -35,8 +35,9 @@ def latency_stats(log: DataFrame, by: list[str]) -> DataFrame:
 
 
 def latency_micros(latency_s: Column) -> Column:
-    """Whole microseconds, capped at 60 s."""
-    return F.least((latency_s * MICROS).cast("bigint"), F.lit(int(LATENCY_CAP_S * MICROS)))
+    """Whole microseconds, capped at 60 s; null stays null, which ``least`` alone would make 60 s."""
+    micros = (latency_s * MICROS).cast("bigint")
+    return F.when(micros.isNotNull(), F.least(micros, F.lit(int(LATENCY_CAP_S * MICROS))))
 
 
 def latency_sketch(log: DataFrame, by: list[str], k: int = 800) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from nearfield.operators import histogram as H
 from nearfield.operators import requests as Q
 from nearfield.plans.inputs import REQUESTS, requests, table
 from nearfield.plans.registry import query
@@ -50,6 +51,22 @@ def latency_sketch_bounds(spark, sf):
     )
 
 
+@query(
+    "latency_histogram",
+    # The values of rank ceil(p n), each raised to the last one that shares its leading 11 binary digits.
+    f"""WITH {REQUESTS}, h AS (SELECT run, conc, greatest(least(CAST(trunc(latency_s * 1000000) AS BIGINT), 60000000), 0) AS us FROM r WHERE latency_s IS NOT NULL),
+    o AS (SELECT run, conc, count(*) AS n, avg(us) / 1e6 AS latency_avg, list_sort(list(us)) AS us FROM h GROUP BY 1, 2),
+    q AS (SELECT run, conc, n, latency_avg, us[CAST(ceil(0.95::DOUBLE * n) AS BIGINT)] AS a, us[CAST(ceil(0.99::DOUBLE * n) AS BIGINT)] AS b FROM o),
+    w AS (SELECT *, CAST(pow(2, greatest(length(bin(a)) - 11, 0)) AS BIGINT) AS wa, CAST(pow(2, greatest(length(bin(b)) - 11, 0)) AS BIGINT) AS wb FROM q)
+    SELECT run, conc, n, round(latency_avg, 6) AS latency_avg, round(((a // wa + 1) * wa - 1) / 1e6, 6) AS latency_p95, round(((b // wb + 1) * wb - 1) / 1e6, 6) AS latency_p99 FROM w""",
+)
+def latency_histogram(spark, sf):
+    """Histograms per worker, added up per run and level; the SQL takes the ranked values themselves."""
+    per_worker = H.histogram(requests(spark, sf), ["run", "conc", "worker"])
+    found = H.stats(per_worker, ["run", "conc"], {"latency_p95": 0.95, "latency_p99": 0.99})
+    return rounded(found, latency_avg=6, latency_p95=6, latency_p99=6)
+
+
 _WORKERS = f"w AS (SELECT run, conc, worker, count(*) AS n, avg(latency_s) AS avg, {_cont(.95)} AS p95, {_cont(.99)} AS p99 FROM r WHERE ok GROUP BY 1, 2, 3)"
 
 

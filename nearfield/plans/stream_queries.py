@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from nearfield.operators.nearest import nearest
-from nearfield.plans.inputs import RUNS, STAGES, VECTORS, epoch_micros, requests, runs, table, vector_queries, vectors, with_lists
+from nearfield.operators.requests import latency_micros
+from nearfield.plans.inputs import REQUEST_COLUMNS, RUNS, STAGES, VECTORS, epoch_micros, requests, runs, table, vector_queries, vectors, with_lists
 from nearfield.plans.registry import query
 from nearfield.plans.report import explode_stages
 from nearfield.plans.search_queries import all_pairs, exact_sql, ranked, shown
@@ -150,6 +151,43 @@ def request_windows_stream(spark, sf):
     return _window_rows(spark.read.schema(closed.schema).parquet(f"{root}/out"))
 
 
+_SLIDES = """SELECT run, epoch_us(w) AS start_us, count(*) AS requests, count(CASE WHEN NOT ok THEN 1 END) AS failed, round(count(CASE WHEN ok THEN 1 END) / 21600e0, 6) AS qps, true AS p95_within, true AS p99_within
+FROM (SELECT run, ok, unnest([time_bucket(INTERVAL '2 hours', ts), time_bucket(INTERVAL '2 hours', ts) - INTERVAL '2 hours', time_bucket(INTERVAL '2 hours', ts) - INTERVAL '4 hours']) AS w
+      FROM (SELECT 'run_' || CAST(user_id % 4 AS VARCHAR) AS run, ts, event_type <> 'error' AS ok FROM events))
+WHERE epoch_us(w) + 21600000000 <= (SELECT max(epoch_us(ts)) - 3600000000 FROM events) GROUP BY 1, 2"""
+
+
+@query("request_windows_bounded", _SLIDES)
+def request_windows_bounded(spark, sf):
+    """Sliding windows whose stream state is one sketch each: exact counts, and percentiles within three hundredths of their rank."""
+    root = work_dir(spark, "sliding")
+    given = table(spark, sf, "events")
+    stream = spark.readStream.schema(given.schema).option("pathGlobFilter", "events*.parquet").parquet(sf)
+    columns = [F.expr(REQUEST_COLUMNS[c]).alias(c) for c in ("run", "latency_s", "ok")]
+    log = stream.select(*columns, F.col("ts").cast("timestamp").alias("ts"))
+    closed = L.request_windows(log, ["run"], "6 hours", "2 hours", lateness="1 hour")
+    closed.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    sketched = spark.read.schema(closed.schema).parquet(f"{root}/out")
+    frame = F.window("ts", "6 hours", "2 hours")
+    taken = given.select(*columns, F.col("ts").cast("timestamp").alias("ts")).where("ok").select("run", frame["start"].alias("window_start"), latency_micros(F.col("latency_s")).alias("us"))
+    counts = []
+    for name in ("latency_p95", "latency_p99"):
+        value = F.round(F.col(name) * 1_000_000).cast("bigint")
+        counts += [F.count_if(F.col("us") < value).alias(f"{name}_below"), F.count_if(F.col("us") <= value).alias(f"{name}_upto")]
+    with_ranks = sketched.join(taken, ["run", "window_start"]).groupBy("run", "window_start").agg(F.count(F.lit(1)).alias("n"), *counts)
+    both = sketched.join(with_ranks, ["run", "window_start"], "left")
+
+    def within(name: str, p: float):
+        """The ranks that the value takes come within three hundredths of the one asked for."""
+        near = (F.col(f"{name}_below") <= (p + 0.03) * F.col("n")) & (F.col(f"{name}_upto") >= (p - 0.03) * F.col("n"))
+        return F.when(F.col("n").isNull(), F.col(name).isNull()).otherwise(F.coalesce(near, F.lit(False)))
+
+    return both.select(
+        "run", epoch_micros(F.col("window_start")).alias("start_us"), "requests", "failed", F.round("qps", 6).alias("qps"),
+        within("latency_p95", 0.95).alias("p95_within"), within("latency_p99", 0.99).alias("p99_within"),
+    )
+
+
 @query(
     "insert_outcomes",
     """SELECT run, count(CASE WHEN ok THEN 1 END) AS done, count(CASE WHEN ok IS NULL THEN 1 END) AS pending, count(CASE WHEN NOT ok THEN 1 END) AS failed, coalesce(bool_or(NOT ok), false) AS ended, CAST(coalesce(sum(CASE WHEN ok THEN n END), 0) AS BIGINT) AS rows_done

@@ -38,6 +38,12 @@ def test_sketch_rank_error(spark):
     assert spark.range(1).select(Q.latency_micros(F.lit(75.0))).first()[0] == 60_000_000
 
 
+def test_unmeasured_requests_are_not_in_the_sketch(spark):
+    log = spark.createDataFrame([("r", 1.0), ("r", None), ("r", None)], "run STRING, latency_s DOUBLE")
+    row = Q.sketch_stats(Q.latency_sketch(log, ["run"]), ["run"]).first()
+    assert (row.n, row.latency_avg, row.latency_p95, row.latency_p99) == (1, 1.0, 1.0, 1.0)
+
+
 def test_workers_merge_conservatively(spark):
     stats = spark.createDataFrame([("r", 10, 1.0, 2.0, 3.0), ("r", 30, 2.0, 4.0, 2.5), ("r", 0, 9.0, 9.0, 9.0), ("idle", 0, 9.0, 9.0, 9.0)], "run STRING, n BIGINT, avg DOUBLE, p95 DOUBLE, p99 DOUBLE")
     rows = {r.run: (r.latency_p99, r.latency_p95, r.latency_avg) for r in Q.worker_merge(stats, ["run"]).collect()}
