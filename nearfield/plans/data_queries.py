@@ -20,6 +20,7 @@ from nearfield.plans.inputs import (
 )
 from nearfield.plans.registry import query
 from nearfield.session import work_dir
+from nearfield.sizing import broadcast_bounded
 from nearfield.sources import corpora as C
 from nearfield.sources import results as R
 from nearfield.sources import tables as S
@@ -94,6 +95,39 @@ def write_vectors(spark, sf):
     )
 
 
+@query(
+    "stored_tenant",
+    f"WITH {VECTORS} SELECT id, label, 'tenant_' || lpad(CAST(id % 7 AS VARCHAR), 4, '0') AS tenant FROM v WHERE id % 7 = 3 AND label < 5",
+)
+def stored_tenant(spark, sf):
+    """One tenant of a table stored by tenant: only its folder is read."""
+    path = work_dir(spark, "by-tenant")
+    S.write_vectors(vectors(spark, sf).withColumn("tenant", L.tenant_for_id(F.col("id"), 7)), path, partition_by="tenant")
+    return spark.read.parquet(path).where(L.tenant_equals(F.col("tenant"), "tenant_0003", F.col("label") < 5)).select("id", "label", "tenant")
+
+
+@query(
+    "stored_tenants_joined",
+    f"WITH {VECTORS} SELECT 'tenant_' || lpad(CAST(id % 7 AS VARCHAR), 4, '0') AS tenant, count(*) AS n, sum(id) AS id_sum FROM v WHERE id % 7 IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) GROUP BY 1",
+)
+def stored_tenants_joined(spark, sf):
+    """Tenants chosen by another table: their folders are found while the query runs."""
+    path = work_dir(spark, "by-tenant")
+    S.write_vectors(vectors(spark, sf).withColumn("tenant", L.tenant_for_id(F.col("id"), 7)), path, partition_by="tenant")
+    asked = table(spark, sf, "supplier").where("s_acctbal > 0 AND s_suppkey < 7").select(L.tenant_for_id(F.col("s_suppkey"), 7).alias("tenant")).distinct()
+    found = spark.read.parquet(path).join(broadcast_bounded(asked, 7), "tenant", "left_semi")
+    return found.groupBy("tenant").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("id_sum"))
+
+
+@query("stored_id_search", f"WITH {VECTORS} SELECT id, label FROM v WHERE id = (SELECT CAST(floor(max(id) / 2) AS BIGINT) FROM v)")
+def stored_id_search(spark, sf):
+    """One id of a table whose files are not in the order of ids: row groups without it are skipped by their Bloom filters."""
+    path = work_dir(spark, "by-id")
+    S.write_vectors(vectors(spark, sf), path, bloom="id")
+    wanted = vectors(spark, sf).agg(F.floor(F.max("id") / 2).alias("id")).first()["id"]
+    return spark.read.parquet(path).where(F.col("id") == wanted).select("id", "label")
+
+
 TOKENS = r"t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM documents)"
 
 

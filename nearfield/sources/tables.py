@@ -95,21 +95,28 @@ def batch_ids(df: DataFrame, rows_per_batch: int = 100) -> DataFrame:
 
 
 def unique_rows(df: DataFrame, key: str = "id") -> DataFrame:
-    """One row per id. Equal ids are cut to one inside each task before the shuffle."""
-    return df.groupBy(key).agg(*[F.first(c).alias(c) for c in df.columns if c != key])
+    """One row per id: of unequal ones the least, column by column, so that a rerun keeps the same. Equal ids are cut to one inside each task before the shuffle."""
+    rest = [c for c in df.columns if c != key]
+    if not rest:
+        return df.distinct()
+    return df.groupBy(key).agg(F.min(F.struct(*rest)).alias("_least")).select(*[F.col(key) if c == key else F.col(f"_least.{c}").alias(c) for c in df.columns])
 
 
-def write_vectors(df: DataFrame, path: str, partition_by: str | None = None, files_per_partition: int = 8, mode: str = "overwrite") -> int:
+def write_vectors(df: DataFrame, path: str, partition_by: str | None = None, mode: str = "overwrite", bloom: str | None = None) -> int:
     """Store ``id, emb`` (label, tenant) once per id and return the number of rows written.
 
-    Partition values are spread over several files each, so a large tenant is not one task.
+    Partition values are cut into files by their measured size, so a large tenant is not one task
+    and a small one not many files. ``bloom`` names a column, mostly ``id``, whose values get a Bloom
+    filter in every row group: a search for one value skips the groups that do not hold it.
     """
     rows = unique_rows(df)
     seen = Observation("written")
     if partition_by:
-        part = F.pmod(F.xxhash64("id"), F.lit(files_per_partition))
-        rows = rows.repartition(F.col(partition_by), part)
+        rows = rows.hint("rebalance", partition_by)
     writer = rows.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode(mode)
+    if bloom:
+        # A dictionary would take the filter's place in small groups, and ids hardly repeat.
+        writer = writer.option(f"parquet.bloom.filter.enabled#{bloom}", "true").option(f"parquet.enable.dictionary#{bloom}", "false")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     return seen.get["rows"]
 

@@ -99,6 +99,45 @@ def test_stored_vectors_are_unique(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "v")).select("id").distinct().count() == 50
 
 
+def test_unequal_rows_of_an_id_leave_the_least(spark):
+    rows = [(1, [2.0], None), (1, [1.0], "b"), (1, [1.0], "a"), (2, None, "c"), (2, [0.0], "d"), (None, [5.0], "e")]
+    for parts in (1, 4):
+        v = spark.createDataFrame(rows, "id BIGINT, emb ARRAY<FLOAT>, tenant STRING").repartition(parts)
+        got = S.unique_rows(v)
+        assert got.columns == v.columns
+        assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, [1.0], "a"), (2, None, "c"), (None, [5.0], "e")], key=str)
+    assert S.unique_rows(spark.createDataFrame([(1,), (1,)], "id BIGINT")).count() == 1
+
+
+def test_stored_tenants_are_pruned(spark, tmp_path):
+    v = spark.range(4000).select("id", F.array(F.col("id").cast("float")).alias("emb"), F.when(F.col("id") % 10 < 7, "hot").otherwise(F.concat(F.lit("t"), F.col("id") % 10)).alias("tenant"))
+    path = str(tmp_path / "v")
+    assert S.write_vectors(v, path, partition_by="tenant") == 4000
+    one = spark.read.parquet(path).where("tenant = 't8'")
+    assert one.count() == 400 and "PartitionFilters: [isnotnull(tenant" in one._jdf.queryExecution().toString()
+    asked = F.broadcast(spark.createDataFrame([("t7", 3), ("hot", 1)], "tenant STRING, level INT").where("level > 2"))
+    some = spark.read.parquet(path).join(asked, "tenant", "left_semi")
+    assert some.count() == 400 and "dynamicpruning" in some._jdf.queryExecution().toString().lower()
+
+
+def test_files_without_an_id_are_skipped(spark, tmp_path):
+    v = spark.range(20_000).select(F.xxhash64("id").alias("id"), F.array(F.col("id").cast("float")).alias("emb"))
+    wanted = v.where("id < 0").limit(1).first()["id"]
+    read = {}
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", 500)
+    try:
+        assert S.write_vectors(v, str(tmp_path / "bloom"), bloom="id") == 20_000
+        v.repartition(4).write.option("parquet.enable.dictionary#id", "false").parquet(str(tmp_path / "plain"))
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    for name in ("plain", "bloom"):
+        found = spark.read.parquet(str(tmp_path / name)).where(F.col("id") == wanted).select("id")
+        plan = found._jdf.queryExecution().executedPlan()
+        assert len(plan.executeCollect()) == 1
+        read[name] = plan.collectLeaves().head().metrics().apply("numOutputRows").value()
+    assert read["plain"] == 20_000 and 0 < read["bloom"] <= 2_500
+
+
 def test_custom_tables_and_shards(spark, tmp_path):
     for name in S.shard_names(2):
         spark.createDataFrame([(1, [1.0])], "key INT, v ARRAY<DOUBLE>").write.parquet(str(tmp_path / name))
