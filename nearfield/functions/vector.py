@@ -95,11 +95,36 @@ _METRICS: dict[str, tuple[Callable[[ColumnLike, ColumnLike], Column], bool]] = {
     "hamming": (hamming_distance, True),
     "jaccard": (jaccard_distance, True),
 }
+_BUILT_IN = frozenset(_METRICS)
 
 
-def register_metric(name: str, expr: Callable[[ColumnLike, ColumnLike], Column], lower_is_nearer: bool = True) -> None:
-    """Make a distance available by name to the expression-based searches and the re-ranker."""
+_BLOCKS: dict[str, Callable] = {}
+
+
+def register_metric(name: str, expr: Callable[[ColumnLike, ColumnLike], Column], lower_is_nearer: bool = True, block: Callable | None = None) -> None:
+    """Make a measure available by name: to the re-ranker by its expression, to the searches by its block form.
+
+    ``block(a, b)`` is the same measure in numpy: it takes double arrays that broadcast, and
+    reduces their last axis. It is sent to the executors. A vector that it gives NaN for is not ranked.
+    """
+    if name in _BUILT_IN:
+        raise ValueError(f"{name!r} is a built-in metric")
     _METRICS[name] = (expr, lower_is_nearer)
+    _BLOCKS.pop(name, None)
+    if block is not None:
+        _BLOCKS[name] = block
+
+
+def block_metric(name: str) -> Callable:
+    """The numpy form of a registered metric."""
+    metric(name)
+    if name not in _BLOCKS:
+        raise ValueError(f"metric {name!r} was registered without a block form, which searches need")
+    return _BLOCKS[name]
+
+
+def lower_is_nearer(name: str) -> bool:
+    return metric(name)[1]
 
 
 def metric(name: str) -> tuple[Callable[[ColumnLike, ColumnLike], Column], bool]:

@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.functions.vector import binary_quantize, metric
+from nearfield.functions.vector import binary_quantize, lower_is_nearer, metric
 from nearfield.operators.fetch import attach
 from nearfield.operators.kernels import ProductKernel
 from nearfield.operators.nearest import nearest, pair_distance, shown, top_k
@@ -135,7 +135,7 @@ def sweep_nprobe(base: DataFrame, queries: DataFrame, k: int, centroids: np.ndar
     found = search_parts(
         listed.withColumn("key", F.col("list_id")), asked, max(grid), k, "probe_rank", metric_name
     )
-    return recut(found, grid, k, "nprobe", metric_name not in ("ip", "dp"))
+    return recut(found, grid, k, "nprobe", lower_is_nearer(metric_name))
 
 
 def scan_cost(base_lists: DataFrame, probes: DataFrame, grid: list[int]) -> DataFrame:
@@ -165,7 +165,7 @@ def sweep_grid(base: DataFrame, queries: DataFrame, k: int, centroids: np.ndarra
     fetched = settle(search_parts(coded, _bits(asked), most, fetch, "probe_rank", "hamming").select("qid", "part", "id", F.col("score").alias("code")))
     vectors = queries.select("qid", F.col("emb").alias("q_emb")).where(F.col("q_emb").isNotNull()).dropDuplicates(["qid"])
     near = attach(base.select("id", F.col("emb").alias("b_emb")), fetched, queries.count() * most * fetch)
-    ascending = metric_name not in ("ip", "dp")
+    ascending = lower_is_nearer(metric_name)
     distance = pair_distance(metric_name, F.col("q_emb"), F.col("b_emb"))
     measured = near.join(broadcast_if_small(vectors), "qid").select("qid", "part", "id", "code", ((distance if ascending else -distance) + F.lit(0.0)).alias("score"))
     measured = settle(measured.where(F.col("score").isNotNull()))

@@ -96,6 +96,39 @@ class BitKernel:
         return self._measure(self.queries[q], rows)
 
 
+class FunctionKernel:
+    """A measure given as a numpy function of broadcasting double arrays; larger-is-nearer ones are negated."""
+
+    def __init__(self, block, sign: int, queries: np.ndarray):
+        self.block, self.sign = block, sign
+        self.queries = self.prepare(queries)
+
+    def prepare(self, rows: np.ndarray) -> np.ndarray:
+        return np.asarray(rows, dtype=np.float64)
+
+    def settled(self, d: np.ndarray) -> np.ndarray:
+        mantissa, exponent = np.frexp(d)
+        return np.ldexp(np.round(mantissa, _DIGITS), exponent)
+
+    def screen(self, q: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Measured in full, so many rows at a time that the broadcast array stays bounded."""
+        found = np.empty((len(q), len(rows)))
+        step = max(1, _PAIR_CELLS // max(1, rows.size))
+        wide = max(1, _PAIR_CELLS // max(1, rows.shape[1] * step))
+        for at in range(0, len(q), step):
+            asked = self.queries[q[at : at + step]][:, None, :]
+            for start in range(0, len(rows), wide):
+                found[at : at + step, start : start + wide] = self.block(asked, rows[None, start : start + wide, :])
+        finite = np.abs(found, where=np.isfinite(found), out=np.zeros_like(found))
+        return self.sign * found, 1e-12 * finite.max(axis=1, initial=0.0) + 1e-12
+
+    def limit(self, bound: np.ndarray) -> np.ndarray:
+        return bound
+
+    def exact(self, q: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        return self.sign * np.asarray(self.block(self.queries[q], rows), dtype=np.float64)
+
+
 class ProductKernel:
     """Squared L2 distance from full queries to product codes, by table look-up."""
 

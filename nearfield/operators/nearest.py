@@ -24,7 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from nearfield.operators.kernels import DECIMALS, BitKernel, DenseKernel, RunningTopK, scan_block
+from nearfield.functions.vector import block_metric, lower_is_nearer
+from nearfield.operators.kernels import DECIMALS, BitKernel, DenseKernel, FunctionKernel, RunningTopK, scan_block
 from nearfield.sizing import broadcast_bounded, broadcast_if_small
 
 QUERY_BYTES = 256 * 1024 * 1024
@@ -59,7 +60,10 @@ def kernel_for(metric: str) -> Callable:
     """The block kernel of a metric name."""
     if metric in ("hamming", "jaccard"):
         return lambda queries: BitKernel(metric, queries)
-    return lambda queries: DenseKernel(metric, queries)
+    if metric in ("l2", "cos", "ip", "dp"):
+        return lambda queries: DenseKernel(metric, queries)
+    block, sign = block_metric(metric), 1 if lower_is_nearer(metric) else -1
+    return lambda queries: FunctionKernel(block, sign, queries)
 
 
 def matrix(column: pa.Array | pa.ChunkedArray, ids: pa.Array | pa.ChunkedArray | None = None, width: int | None = None) -> np.ndarray:
@@ -103,7 +107,8 @@ def nearest(
     call, where they reach the scan. Ties (equal to 14 digits) are ordered by id; scores are
     shown with 9 decimals. Rows with a null or undirected (zero, for cosine) vector are never
     ranked. A query id that stands for several vectors is one query, with the least of them.
-    Ids are whole numbers; other types, and vectors of unequal length, are errors.
+    Ids are whole numbers; other types, and vectors of unequal length, are errors. ``metric`` is a
+    built-in name or one given to ``register_metric`` with its block form.
     """
     _whole(base, "id")
     make = kernel or kernel_for(metric)
@@ -113,7 +118,7 @@ def nearest(
     )
     scan = _scan_broadcast if asked.shared is not None else _scan_blocks
     hits = top_k(scan(rows, asked, k, make, key is not None), k)
-    score = shown(-F.col("score") if metric in ("ip", "dp") else F.col("score"))
+    score = shown(F.col("score") if lower_is_nearer(metric) else -F.col("score"))
     return hits.select("qid", F.col("rank").cast("int").alias("rank"), "id", score.alias("score"))
 
 
@@ -167,7 +172,7 @@ def _scan_broadcast(base: DataFrame, asked: QuerySet, k: int, make: Callable, ke
         if not len(names):
             return
         state, distance = RunningTopK(len(names), k), make(points)
-        fixed = isinstance(distance, (DenseKernel, BitKernel))  # codes are shorter than the vectors asked
+        fixed = isinstance(distance, (DenseKernel, BitKernel, FunctionKernel))  # codes are shorter than the vectors asked
         for batch in batches:
             if not batch.num_rows:
                 continue

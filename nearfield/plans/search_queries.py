@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from nearfield.functions.labels import int_at_least, label_equals, payload_bytes, tenant_for_id
+from nearfield.functions.vector import register_metric
 from nearfield.operators import ann as A
 from nearfield.operators import evaluate as E
 from nearfield.operators import truth as T
@@ -61,6 +63,35 @@ for _metric in ("l2", "cos", "ip"):
     _exact(_metric)
 
 
+def _canberra(a, b):
+    """Canberra distance as a column; places where both vectors are 0 add nothing."""
+
+    def share(x, y):
+        x, y = x.cast("double"), y.cast("double")
+        size = F.abs(x) + F.abs(y)
+        return F.when(size > 0, F.abs(x - y) / size).otherwise(F.lit(0.0))
+
+    return F.aggregate(F.zip_with(a, b, share), F.lit(0.0), lambda total, x: total + x)
+
+
+def _canberra_block(a, b):
+    size = np.abs(a) + np.abs(b)
+    return (np.abs(a - b) / np.where(size > 0, size, 1.0)).sum(axis=-1)
+
+
+_CANBERRA = (
+    f"WITH {VECTORS}, s AS (SELECT q.id AS qid, b.id AS id, round(list_sum(list_transform(list_zip(q.e, b.e), lambda p: "
+    f"CASE WHEN abs(p[1]) + abs(p[2]) > 0 THEN abs(p[1] - p[2]) / (abs(p[1]) + abs(p[2])) ELSE 0e0 END)), 9) AS d FROM v q, v b), {ranked('s')} SELECT qid, rank, id, round(d, 6) + 0e0 AS score FROM h"
+)
+
+
+@query("knn_custom_metric", _CANBERRA)
+def knn_custom_metric(spark, sf):
+    """A search by a measure that the caller brings."""
+    register_metric("canberra", _canberra, block=_canberra_block)
+    return shown(nearest(vectors(spark, sf), vector_queries(spark, sf), K, "canberra"))
+
+
 @query("knn_exact_blocks", exact_sql("cos"))
 def knn_exact_blocks(spark, sf):
     """The path for query tables beyond the broadcast budget."""

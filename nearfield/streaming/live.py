@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nearfield.functions.vector import lower_is_nearer
 from nearfield.operators.nearest import nearest, prepare_queries, top_k
 from nearfield.operators.requests import latency_micros
 from nearfield.schemas import HITS
@@ -39,8 +40,10 @@ class IncrementalTopK:
         before = [v for v in self.versions() if v < batch_id]
         if before:
             found = self.hits(before[-1]).drop("rank").unionByName(found)
-        best = found.groupBy("qid", "id").agg(F.first("score").alias("score"))
-        merged = top_k(best, self.k, ascending=self.metric not in ("ip", "dp"))
+        nearer = lower_is_nearer(self.metric)
+        # An id that arrives again with another vector counts as the nearest of them, in whatever order they come.
+        best = found.groupBy("qid", "id").agg((F.min if nearer else F.max)("score").alias("score"))
+        merged = top_k(best, self.k, ascending=nearer)
         merged.select("qid", F.col("rank").cast("int").alias("rank"), "id", "score").write.mode("overwrite").parquet(f"{self.out}/v{batch_id}")
         path, fs = self._folder()
         for old in before[:-1]:

@@ -164,3 +164,30 @@ def test_sweep_takes_any_64_bit_query_id(spark):
     centres = np.array([[5.0, 1.0], [15.0, 1.0]])
     rows = ann.sweep_nprobe(base, asked, 1, centres, [1, 2]).collect()
     assert {(r.nprobe, r.qid, r.id) for r in rows} == {(n, q, i) for n in (1, 2) for q, i in ((big, 3), (-big, 18))}
+
+
+def test_a_registered_measure_is_searched_by_name(spark):
+    from nearfield.functions.vector import register_metric
+
+    def spread(a, b):
+        return F.array_max(F.zip_with(a, b, lambda x, y: F.abs(x.cast("double") - y.cast("double"))))
+
+    rng = np.random.default_rng(8)
+    base = {i: np.round(rng.normal(size=6), 1).astype(np.float32).astype(float) for i in range(300)}
+    queries = {i: base[i] for i in range(0, 300, 29)}
+    b = spark.createDataFrame([(i, v.tolist()) for i, v in base.items()], "id BIGINT, emb ARRAY<FLOAT>").repartition(3)
+    q = spark.createDataFrame([(i, v.tolist()) for i, v in queries.items()], "qid BIGINT, emb ARRAY<FLOAT>")
+    register_metric("chebyshev", spread, block=lambda a, b: np.abs(a - b).max(axis=-1))
+    register_metric("closeness", lambda a, b: -spread(a, b), lower_is_nearer=False, block=lambda a, b: -np.abs(a - b).max(axis=-1))
+    register_metric("unblocked", spread)
+    want = sorted((i, r, j, d) for i, v in queries.items() for r, (d, j) in enumerate(sorted((round(float(np.abs(v - o).max()), 9), j) for j, o in base.items())[:5]))
+    for path in (None, 0):
+        extra = {} if path is None else {"query_bytes": path}
+        assert sorted(tuple(r) for r in nearest(b, q, 5, "chebyshev", **extra).collect()) == want
+        assert sorted(tuple(r) for r in nearest(b, q, 5, "closeness", **extra).collect()) == [(i, r, j, -d + 0.0) for i, r, j, d in want]
+    with pytest.raises(ValueError, match="without a block form"):
+        nearest(b, q, 5, "unblocked")
+    with pytest.raises(ValueError, match="unknown metric"):
+        nearest(b, q, 5, "nothing")
+    with pytest.raises(ValueError, match="built-in"):
+        register_metric("l2", spread)

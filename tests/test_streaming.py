@@ -102,3 +102,14 @@ def test_insert_outcomes(spark):
     df = spark.createDataFrame([("a", 10, True), ("a", 10, None), ("b", 10, True), ("b", 10, False)], "run STRING, rows BIGINT, ok BOOLEAN")
     got = {r.run: tuple(r)[1:] for r in L.insert_outcomes(df).collect()}
     assert got == {"a": (1, 1, 0, False, 10), "b": (1, 0, 1, True, 10)}
+
+
+def test_a_repeated_id_counts_as_its_nearest_vector(spark, tmp_path):
+    queries = spark.createDataFrame([(0, [1.0, 0.0])], "qid BIGINT, emb ARRAY<FLOAT>")
+    far, near = [(7, [9.0, 0.0])], [(7, [2.0, 0.0])]
+    for metric, score in (("l2", 1.0), ("ip", 9.0)):
+        for name, ticks in (("a", (far, near)), ("b", (near, far))):
+            sink = L.IncrementalTopK(spark, str(tmp_path / f"{metric}-{name}"), queries, 3, metric)
+            for i, rows in enumerate(ticks):
+                sink(spark.createDataFrame(rows, "id BIGINT, emb ARRAY<FLOAT>"), i)
+            assert [(r.id, r.score) for r in sink.hits().collect()] == [(7, score)]
