@@ -102,7 +102,11 @@ def assign(docs: DataFrame, limit: int = LIMIT_BYTES, key: str = "doc_id", text:
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = LIMIT_BYTES, key: str = "doc_id", text: str = "text") -> None:
-    """Write whole rows in one folder ``shard=b<bits>`` per shard, each by one task; a column named ``shard`` is replaced."""
-    rows = _hashed(docs.drop("shard"), key, text)
-    placed = _placed(rows, directory(stored(rows.select("__bytes", "__bits"), "sizes"), limit)).withColumn("shard", F.concat(F.lit("b"), "__shard"))
+    """Write whole rows in one folder ``shard=b<bits>`` per shard, each by one task; a column named ``shard`` is replaced.
+
+    The rows are stored with their hashes first: rows that repeat a key are parted by their place,
+    and an input that is read a second time, or by a second attempt, may have other places.
+    """
+    rows = stored(_hashed(docs.drop("shard"), key, text), "hashed-rows")
+    placed = _placed(rows, directory(rows.select("__bytes", "__bits"), limit)).withColumn("shard", F.concat(F.lit("b"), "__shard"))
     placed.select(*[f"`{c}`" for c in docs.columns if c != "shard"], "shard").repartition("shard").write.partitionBy("shard").parquet(path)

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from conftest import ROWS
 from pyspark.sql import functions as F
@@ -35,3 +37,13 @@ def test_messy_rows_and_files(spark, messy, nothing, tmp_path):
     assert back.count() == len(ROWS)
     held = back.groupBy("shard").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("b"), F.count("*").alias("n"))
     assert held.where("b > 200 AND n > 1").count() == 0
+
+
+def test_files_of_an_input_that_never_lies_the_same(spark, tmp_path):
+    anywhere = F.udf(lambda: random.randrange(1000), "int").asNondeterministic()
+    docs = spark.createDataFrame([(1, "x" * (i % 90)) for i in range(600)], "doc_id INT, text STRING").repartition(6, anywhere())
+    S.write_shards(docs, str(tmp_path / "shards"), 200)
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    assert sorted(len(r.text) for r in back.collect()) == sorted(i % 90 for i in range(600))
+    held = back.groupBy("shard").agg(F.sum(F.octet_length("text")).alias("b"), F.count("*").alias("n"))
+    assert held.where("b > 200 AND n > 1").count() == 0
