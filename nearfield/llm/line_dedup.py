@@ -1,11 +1,17 @@
 """Near-duplicate lines by an exact set-similarity join, in DataFrame operations only.
 
 A line is the set of its words. Words are ordered by rarity, counted over all documents, and
-two sets of Jaccard similarity ``4/5`` or more share a word among the first fifth of each.
-Every set of words is kept once, at its earliest place, and enters an index under the words
-of its prefix. Pairs that meet there pass a length filter, a positional filter and a bound
-from 64 parity bits of the sets, and are then verified on their words. A line with any
-earlier match is removed.
+two sets of Jaccard similarity ``4/5`` or more share a word among the first fifth of the larger
+and the first ninth of the smaller one. Every set of words is kept once, at its earliest place,
+and enters an index under the words of its prefix. Pairs that meet there pass a length filter, a
+positional filter and a bound from 128 parity bits of the sets, and are then verified on their
+words. A line with any earlier match is removed.
+
+Such sets also share two words if each prefix is taken one word longer. A word whose list would
+be long is therefore no key by itself, only together with each later word of the prefix: a pair
+that shares no other word as its first still meets under its first two. Which words these are
+decides the cost, never the result. Lists without a line that could be the smaller set are left
+out, so lines from one template with few words of their own do not meet in its words.
 
 Large groups of near copies make no quadratic output: in each list of the index a line is
 first held against the list's first line and its own forerunner, and only lines that are not
@@ -25,6 +31,8 @@ from nearfield.sizing import broadcast_if_small
 
 SLOT_BITS = 16
 _SLOTS = 1 << SLOT_BITS
+CROWD_BITS = 20  # slots in which the lengths of lists are counted
+LONG = 64 * 64  # lines in a list, times those that could be the smaller set, from which a word is a key in pairs only
 Side = Callable[[str], Column]
 PLACE = ["key", "th", "line"]
 
@@ -57,7 +65,7 @@ def _rarity(docs: DataFrame) -> Column:
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """Every distinct set of words at its earliest place: ``key, th, line, n, bits, prefix``."""
+    """Every distinct set of words at its earliest place: ``key, th, line, n, low, high, prefix``."""
     levels = _rarity(docs)
 
     def token(code: Column) -> Column:
@@ -71,28 +79,40 @@ def _sets(docs: DataFrame) -> DataFrame:
         F.struct(
             *PLACE,
             F.size("tokens").alias("n"),
-            F.expr("aggregate(tokens, 0L, (a, t) -> a ^ shiftleft(1L, cast(t & 63 AS int)))").alias("bits"),
-            # the order is that of the whole numbers; the index needs only their upper half
-            F.expr("transform(slice(tokens, 1, size(tokens) - (4 * size(tokens) + 4) div 5 + 1), t -> cast(shiftright(t, 32) AS int))").alias("prefix"),
+            *[F.expr(f"aggregate(tokens, 0L, (a, t) -> a ^ if(t & 64 = {half}, shiftleft(1L, cast(t & 63 AS int)), 0L))").alias(name) for name, half in (("low", 0), ("high", 64))],
+            # one word more than a fifth; the order is that of the whole numbers, the index needs only their upper half
+            F.expr("transform(slice(tokens, 1, size(tokens) - (4 * size(tokens) + 4) div 5 + 2), t -> cast(shiftright(t, 32) AS int))").alias("prefix"),
         ).alias("first"),
     )
     return lines.groupBy("s1", "s2").agg(F.min("first").alias("first")).select("first.*")
 
 
+def _n(x: Side) -> Column:
+    return F.shiftright(x("shape"), 32)
+
+
+def _at(x: Side) -> Column:
+    return F.shiftright(x("shape").bitwiseAND((1 << 32) - 1), 1)
+
+
+def _smaller(x: Side) -> Column:
+    """The line's key lies in the part of the prefix by which the smaller set of a pair is found."""
+    return x("shape").bitwiseAND(1) == 1
+
+
 def _near(x: Side, y: Side, quarters: int = 4) -> Column:
     """Sizes, places of the shared word and parity bits (or so many quarters of what they may differ) allow a similarity of 4/5."""
-    nx, ny = x("n"), y("n")
+    nx, ny = _n(x), _n(y)
     need = F.call_function("div", (nx + ny) * 4 + 8, F.lit(9))
-    apart = F.bit_count(x("bits").bitwiseXOR(y("bits")))
+    apart = F.bit_count(x("low").bitwiseXOR(y("low"))) + F.bit_count(x("high").bitwiseXOR(y("high")))
     # at most so many words are shared before the shared word, and from it on
-    place = F.least(x("at"), y("at")) + F.least(nx - x("at"), ny - y("at"))
+    place = F.least(_at(x), _at(y)) + F.least(nx - _at(x), ny - _at(y))
     return (apart * 4 <= (nx + ny - 2 * need) * quarters) & (nx * 5 >= ny * 4) & (ny * 5 >= nx * 4) & (place >= need)
 
 
-def _overlap_possible() -> Column:
-    """Words shared in both prefixes (``lists``) and all that may follow the shorter reaching prefix suffice."""
-    after = F.expr("greatest((4 * nx + 4) div 5, (4 * ny + 4) div 5) - 1")
-    return F.col("lists") + after >= F.expr("(4 * (nx + ny) + 8) div 9")
+def _met(x: Side, y: Side) -> Column:
+    """Close enough, and found as a pair of a smaller and a larger set."""
+    return _near(x, y) & ((_smaller(x) & (_n(x) <= _n(y))) | (_smaller(y) & (_n(y) <= _n(x))))
 
 
 def _side(alias: str, suffix: str = "") -> Side:
@@ -103,10 +123,37 @@ def _place(side: Side, name: str) -> Column:
     return F.struct(*[side(c).alias(c) for c in PLACE]).alias(name)
 
 
-def _postings(sets: DataFrame) -> DataFrame:
-    """The index rows; the filters drop nothing, they make all uses of this table one plan, so that it is shuffled once."""
-    present = sets.where("n IS NOT NULL AND bits IS NOT NULL")
-    return present.select(*PLACE, "n", "bits", F.posexplode("prefix").alias("at", "token")).where("token IS NOT NULL")
+_FIFTH = "(n - (4 * n + 4) div 5 + 1)"
+_NINTH = "(n - (8 * n + 8) div 9 + 1)"
+
+
+def _crowded(sets: DataFrame) -> Column:
+    """Whether the list of ``token`` is long, from one bit per hash slot. The table has a fixed size."""
+    words = sets.select("n", F.posexplode("prefix").alias("at", "token")).where(f"at < {_FIFTH}")
+    slot = F.col("token").bitwiseAND((1 << CROWD_BITS) - 1).alias("slot")
+    counts = words.groupBy(slot).agg(F.count(F.lit(1)).alias("lines"), F.count_if(F.expr(f"at < {_NINTH}")).alias("smaller"))
+    long_ = counts.where(F.col("lines") * F.col("smaller") > LONG)
+    bits = long_.groupBy(F.expr("shiftright(slot, 6)").cast("bigint").alias("word")).agg(F.expr("bit_or(shiftleft(1L, slot & 63))").alias("mask"))
+    dense = sets.sparkSession.range(1 << CROWD_BITS - 6).withColumnRenamed("id", "word").join(bits, "word", "left")
+    listed = dense.agg(F.expr("array_join(transform(array_sort(collect_list(struct(word, coalesce(mask, 0L) AS mask))), x -> cast(x.mask AS string)), ',')"))
+    masks = F.split(F.lit(listed.first()[0]), ",").cast("array<bigint>")
+    return masks[F.expr(f"shiftright(token & {(1 << CROWD_BITS) - 1}, 6)")].bitwiseAND(F.expr("shiftleft(1L, token & 63)")) != 0
+
+
+def _postings(sets: DataFrame, crowded: Column) -> DataFrame:
+    """The index rows; the filters drop nothing, they make all uses of this table one plan, so that it is shuffled once.
+
+    ``sig`` is a word, or the hash of a crowded word and a later one; ``shape`` packs the size of the set,
+    the place of the word and whether the row can stand for the smaller set of a pair.
+    """
+    present = sets.where("n IS NOT NULL AND low IS NOT NULL AND high IS NOT NULL")
+    words = present.select(*PLACE, "n", "low", "high", "prefix", F.posexplode("prefix").alias("at", "token")).where(f"at < {_FIFTH}")
+    words = words.withColumn("later", F.when(crowded, F.expr("slice(prefix, at + 2, size(prefix))")).otherwise(F.expr("array(cast(NULL AS int))")))
+    keys = words.select(*PLACE, "n", "low", "high", "at", "token", F.posexplode("later").alias("k", "other"))
+    smaller = F.expr(f"at < {_NINTH} AND (other IS NULL OR at + k < {_NINTH})")
+    shape = F.shiftleft(F.col("n").cast("bigint"), 32) + F.col("at") * 2 + smaller.cast("bigint")
+    sig = F.when(F.col("other").isNull(), F.col("token").cast("bigint")).otherwise(F.xxhash64("token", "other"))
+    return keys.select(sig.alias("sig"), *PLACE, "low", "high", shape.alias("shape")).where("sig IS NOT NULL")
 
 
 def _other(x: Side, y: Side) -> Column:
@@ -118,21 +165,22 @@ def _earlier() -> Column:
     return _place(_side("y"), "y") < _place(_side("x"), "x")
 
 
-def _candidates(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _candidates(post: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs (later ``x``, earlier ``y``) through the shortcut, and all other pairs of lines without one."""
-    order = Window.partitionBy("token").orderBy(*PLACE)
-    fields = [*PLACE, "n", "bits", "at"]
-    post = _postings(sets)
-    seen = post.withColumns({f"{c}_head": F.first(c).over(order) for c in fields} | {f"{c}_last": F.lag(c).over(order) for c in fields} | {"nth": F.row_number().over(order)})
+    order = Window.partitionBy("sig").orderBy(*PLACE)
+    fields = [*PLACE, "low", "high", "shape"]
+    used = F.max(F.col("shape").bitwiseAND(1)).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    seen = post.withColumns({f"{c}_head": F.first(c).over(order) for c in fields} | {f"{c}_last": F.lag(c).over(order) for c in fields} | {"nth": F.row_number().over(order), "used": used})
     own, head, last = _side(""), _side("", "_head"), _side("", "_last")
-    seen = seen.where("nth > 1").withColumn("y", F.when(_near(own, head, 3) & _other(own, head), _place(head, "y")).when(_near(own, last, 3) & _other(own, last), _place(last, "y")))
-    short = seen.where("y IS NOT NULL").select(_place(own, "x"), "y", F.col("n").alias("nx"), F.lit(None).cast("int").alias("ny"))
-    rest = seen.where("y IS NULL").select("token", *fields).alias("x").join(post.alias("y"), "token")
-    return short, rest.where(_near(_side("x"), _side("y")) & _earlier()).select(*_pair())
+    seen = seen.where("nth > 1 AND used = 1")
+    seen = seen.withColumn("y", F.when(_near(own, head, 3) & _other(own, head), _place(head, "y")).when(_near(own, last, 3) & _other(own, last), _place(last, "y")))
+    short = seen.where("y IS NOT NULL").select(_place(own, "x"), "y")
+    rest = seen.where("y IS NULL").select("sig", *fields).alias("x").join(post.alias("y"), "sig")
+    return short, rest.where(_met(_side("x"), _side("y")) & _earlier()).select(*_pair())
 
 
 def _pair() -> list[Column]:
-    return [_place(_side("x"), "x"), _place(_side("y"), "y"), F.col("x.n").alias("nx"), F.col("y.n").alias("ny")]
+    return [_place(_side("x"), "x"), _place(_side("y"), "y")]
 
 
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -150,12 +198,10 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 def kept_lines(rows: DataFrame) -> DataFrame:
     """Places of the lines that stay, lines without words left out."""
     sets = stored(_sets(rows), "word-sets")
-    short, rest = _candidates(sets)
+    post = _postings(sets, _crowded(sets))
+    short, rest = _candidates(post)
     both = short.withColumn("short", F.lit(True)).unionByName(rest.withColumn("short", F.lit(False)))
-    counted = F.count(F.lit(1)).alias("lists"), F.max("short").alias("short"), F.max("nx").alias("nx"), F.max("ny").alias("ny")
-    pairs = both.groupBy("x", "y").agg(*counted)
-    # Where a list gave a shortcut, the line's other pairs were not counted in it, so only pairs of lines without one are all known.
-    pairs = stored(pairs.where(F.col("short") | _overlap_possible()), "pairs")
+    pairs = stored(both.groupBy("x", "y").agg(F.count(F.lit(1)).alias("lists"), F.max("short").alias("short")), "pairs")
     # One match is enough: first the pair that shares the most lists, then, for lines it does not settle, all others.
     best = stored(pairs.groupBy("x").agg(F.max_by("y", F.struct("short", "lists")).alias("y"), F.max("short").alias("short")), "best-pairs")
     found = stored(_verified(rows, best.select("x", "y")).select("x"), "matched")
@@ -165,17 +211,15 @@ def kept_lines(rows: DataFrame) -> DataFrame:
         found = found.union(stored(_verified(rows, stored(others, "other-pairs")).select("x").distinct(), "matched"))
         unsure = stored(open_.where("short").select("x").join(found, "x", "left_anti"), "unsure")
         if not unsure.isEmpty():
-            found = found.union(_again(rows, sets, unsure))
+            found = found.union(_again(rows, post, unsure))
     return sets.select(F.struct(*PLACE).alias("x")).join(found, "x", "left_anti").select("x.*")
 
 
-def _again(rows: DataFrame, sets: DataFrame, unsure: DataFrame) -> DataFrame:
+def _again(rows: DataFrame, post: DataFrame, unsure: DataFrame) -> DataFrame:
     """Lines whose shortcut was not confirmed, held against everything before them."""
-    post = _postings(sets)
     asked = post.withColumn("place", F.struct(*PLACE)).join(broadcast_if_small(unsure.withColumnRenamed("x", "place")), "place", "left_semi").drop("place")
-    pairs = broadcast_if_small(asked).alias("x").join(post.alias("y"), "token").where(_near(_side("x"), _side("y")) & _earlier())
-    counted = pairs.select(*_pair()).groupBy("x", "y").agg(F.count(F.lit(1)).alias("lists"), F.max("nx").alias("nx"), F.max("ny").alias("ny"))
-    return _verified(rows, stored(counted.where(_overlap_possible()).select("x", "y"), "pairs-again")).select("x")
+    pairs = broadcast_if_small(asked).alias("x").join(post.alias("y"), "sig").where(_met(_side("x"), _side("y")) & _earlier())
+    return _verified(rows, stored(pairs.select(*_pair()).distinct(), "pairs-again")).select("x")
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -72,3 +72,29 @@ def test_texts_of_one_key_that_share_a_short_hash(spark):
         assert docs.select(F.hash("text")).distinct().count() == 1
         assert sorted(list(r.kept) for r in L.deduplicate(docs).collect()) == [[0], [0, 1, 2]]
         assert sorted(r.text for r in L.remove_lines(docs).collect()) == [one, three]
+
+
+def test_lines_of_one_template(spark):
+    """Lines that share all words but their own one meet in no list unless they can match."""
+    rows = [(i, f"alpha beta gamma delta u{i}\nalpha beta gamma delta epsilon zeta eta u{i}\nalpha beta gamma delta epsilon zeta eta theta iota v{i // 2}") for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
+    check(spark, docs, rows)
+    short = spark.createDataFrame([(i, f"alpha beta gamma delta u{i}") for i in range(2000)], "doc_id BIGINT, text STRING")
+    sets = L._sets(L._identified(short, "doc_id", "text"))
+    direct, rest = L._candidates(L._postings(sets, L._crowded(sets)))
+    assert direct.count() == 0 and rest.count() == 0
+
+
+def test_crowded_words_are_keys_in_pairs(spark, monkeypatch):
+    """The result does not depend on which words are keys by themselves."""
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(40)]
+    rows = []
+    for i in range(150):
+        line = rng.sample(vocabulary, rng.randint(1, 24))
+        near = [w for w in line if rng.random() > 0.06] + rng.sample(vocabulary, rng.randint(0, 2))
+        rows.append((i, " ".join(line) + "\n" + " ".join(near)))
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
+    for limit in (0, 200, 10**9):
+        monkeypatch.setattr(L, "LONG", limit)
+        check(spark, docs, rows)
