@@ -7,11 +7,13 @@ and enters an index under the words of its prefix. Pairs that meet there pass a
 positional filter and a bound from 128 parity bits of the sets, and are then verified on their
 words. A line with any earlier match is removed.
 
-Such sets also share two words if each prefix is taken one word longer. A word whose list would
-be long is therefore no key by itself, only together with each later word of the prefix: a pair
-that shares no other word as its first still meets under its first two. Which words these are
-decides the cost, never the result. Lists without a line that could be the smaller set are left
-out, so lines from one template with few words of their own do not meet in its words.
+Keys are words with a size class: the power of two below the size of the smaller set. A set
+enters its own class and, if it could be the larger set of a pair, the class below. Sets of one
+pair also share two words if each prefix is taken one word longer. A key whose list would be long
+is therefore split by each later word of the prefix: a pair that shares no other word as its first
+still meets under its first two. Which keys these are decides the cost, never the result. Lists
+without a line that could be the smaller set are left out, so lines from one template with few
+words of their own do not meet in its words.
 
 Large groups of near copies make no quadratic output: in each list of the index a line is
 first held against the list's first line and its own forerunner, and only lines that are not
@@ -31,8 +33,8 @@ from nearfield.sizing import broadcast_if_small
 
 SLOT_BITS = 16
 _SLOTS = 1 << SLOT_BITS
-CROWD_BITS = 20  # slots in which the lengths of lists are counted
-LONG = 64 * 64  # lines in a list, times those that could be the smaller set, from which a word is a key in pairs only
+CROWD_BITS = 22  # slots in which the lengths of lists are counted
+LONG = 128 * 128  # lines in a list, times those that could be the smaller set, from which a key is split by later words
 Side = Callable[[str], Column]
 PLACE = ["key", "th", "line"]
 
@@ -123,36 +125,48 @@ def _place(side: Side, name: str) -> Column:
     return F.struct(*[side(c).alias(c) for c in PLACE]).alias(name)
 
 
-_FIFTH = "(n - (4 * n + 4) div 5 + 1)"
 _NINTH = "(n - (8 * n + 8) div 9 + 1)"
 
 
+def _roles(sets: DataFrame) -> DataFrame:
+    """A row per size class that a set enters, with the words ``reach`` by which it meets smaller sets of that class."""
+    rows = sets.where("n IS NOT NULL AND low IS NOT NULL AND high IS NOT NULL").withColumn("own", F.expr("length(bin(n))"))
+    rows = rows.withColumn("least", F.expr("shiftleft(1, own - 1)"))
+    rows = rows.withColumn("class", F.explode(F.expr("if(5 * (least - 1) >= 4 * n, array(own, own - 1), array(own))")))
+    smallest = "greatest((4 * n + 4) div 5, if(class = own, least, 0))"
+    return rows.withColumn("reach", F.expr(f"cast(n - (4 * (n + {smallest}) + 8) div 9 + 1 AS int)")).drop("least")
+
+
+def _words_of(roles: DataFrame) -> DataFrame:
+    words = roles.select(*PLACE, "n", "low", "high", "own", "class", "reach", "prefix", F.posexplode("prefix").alias("at", "token"))
+    return words.where("at < reach").withColumn("single", F.xxhash64("token", "class"))
+
+
 def _crowded(sets: DataFrame) -> Column:
-    """Whether the list of ``token`` is long, from one bit per hash slot. The table has a fixed size."""
-    words = sets.select("n", F.posexplode("prefix").alias("at", "token")).where(f"at < {_FIFTH}")
-    slot = F.col("token").bitwiseAND((1 << CROWD_BITS) - 1).alias("slot")
-    counts = words.groupBy(slot).agg(F.count(F.lit(1)).alias("lines"), F.count_if(F.expr(f"at < {_NINTH}")).alias("smaller"))
+    """Whether the list of the key ``single`` is long, from one bit per hash slot. The table has a fixed size."""
+    slot = F.expr(f"cast(single & {(1 << CROWD_BITS) - 1} AS int)").alias("slot")
+    counts = _words_of(_roles(sets)).groupBy(slot).agg(F.count(F.lit(1)).alias("lines"), F.count_if(F.expr(f"class = own AND at < {_NINTH}")).alias("smaller"))
     long_ = counts.where(F.col("lines") * F.col("smaller") > LONG)
     bits = long_.groupBy(F.expr("shiftright(slot, 6)").cast("bigint").alias("word")).agg(F.expr("bit_or(shiftleft(1L, slot & 63))").alias("mask"))
     dense = sets.sparkSession.range(1 << CROWD_BITS - 6).withColumnRenamed("id", "word").join(bits, "word", "left")
     listed = dense.agg(F.expr("array_join(transform(array_sort(collect_list(struct(word, coalesce(mask, 0L) AS mask))), x -> cast(x.mask AS string)), ',')"))
     masks = F.split(F.lit(listed.first()[0]), ",").cast("array<bigint>")
-    return masks[F.expr(f"shiftright(token & {(1 << CROWD_BITS) - 1}, 6)")].bitwiseAND(F.expr("shiftleft(1L, token & 63)")) != 0
+    word = F.expr(f"cast(shiftright(single & {(1 << CROWD_BITS) - 1}, 6) AS int)")
+    return masks[word].bitwiseAND(F.expr("shiftleft(1L, cast(single & 63 AS int))")) != 0
 
 
 def _postings(sets: DataFrame, crowded: Column) -> DataFrame:
     """The index rows; the filters drop nothing, they make all uses of this table one plan, so that it is shuffled once.
 
-    ``sig`` is a word, or the hash of a crowded word and a later one; ``shape`` packs the size of the set,
-    the place of the word and whether the row can stand for the smaller set of a pair.
+    ``sig`` is the hash of a word and a size class, of a later word too where that list would be long;
+    ``shape`` packs the size of the set, the place of the word and whether the row can stand for the
+    smaller set of a pair.
     """
-    present = sets.where("n IS NOT NULL AND low IS NOT NULL AND high IS NOT NULL")
-    words = present.select(*PLACE, "n", "low", "high", "prefix", F.posexplode("prefix").alias("at", "token")).where(f"at < {_FIFTH}")
-    words = words.withColumn("later", F.when(crowded, F.expr("slice(prefix, at + 2, size(prefix))")).otherwise(F.expr("array(cast(NULL AS int))")))
-    keys = words.select(*PLACE, "n", "low", "high", "at", "token", F.posexplode("later").alias("k", "other"))
-    smaller = F.expr(f"at < {_NINTH} AND (other IS NULL OR at + k < {_NINTH})")
+    words = _words_of(_roles(sets)).withColumn("later", F.when(crowded, F.expr("slice(prefix, at + 2, reach - at)")).otherwise(F.expr("array(cast(NULL AS int))")))
+    keys = words.select(*PLACE, "n", "low", "high", "own", "class", "at", "single", F.posexplode("later").alias("k", "other"))
+    smaller = F.expr(f"class = own AND at < {_NINTH} AND (other IS NULL OR at + k < {_NINTH})")
     shape = F.shiftleft(F.col("n").cast("bigint"), 32) + F.col("at") * 2 + smaller.cast("bigint")
-    sig = F.when(F.col("other").isNull(), F.col("token").cast("bigint")).otherwise(F.xxhash64("token", "other"))
+    sig = F.when(F.col("other").isNull(), F.col("single")).otherwise(F.xxhash64("single", "other"))
     return keys.select(sig.alias("sig"), *PLACE, "low", "high", shape.alias("shape")).where("sig IS NOT NULL")
 
 
