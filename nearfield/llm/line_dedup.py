@@ -167,7 +167,7 @@ def _postings(sets: DataFrame, crowded: Column) -> DataFrame:
     smaller = F.expr(f"class = own AND at < {_NINTH} AND (other IS NULL OR at + k < {_NINTH})")
     shape = F.shiftleft(F.col("n").cast("bigint"), 32) + F.col("at") * 2 + smaller.cast("bigint")
     sig = F.when(F.col("other").isNull(), F.col("single")).otherwise(F.xxhash64("single", "other"))
-    return keys.select(sig.alias("sig"), *PLACE, "low", "high", shape.alias("shape")).where("sig IS NOT NULL")
+    return keys.select(sig.alias("sig"), *PLACE, "low", "high", shape.alias("shape")).where("sig IS NOT NULL AND shape IS NOT NULL")
 
 
 def _other(x: Side, y: Side) -> Column:
@@ -181,12 +181,13 @@ def _earlier() -> Column:
 
 def _candidates(post: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs (later ``x``, earlier ``y``) through the shortcut, and all other pairs of lines without one."""
+    # windows over bare columns only: an expression would be computed below the shuffle, which the join could not share then
     order = Window.partitionBy("sig").orderBy(*PLACE)
     fields = [*PLACE, "low", "high", "shape"]
-    used = F.max(F.col("shape").bitwiseAND(1)).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    used = F.bit_or("shape").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     seen = post.withColumns({f"{c}_head": F.first(c).over(order) for c in fields} | {f"{c}_last": F.lag(c).over(order) for c in fields} | {"nth": F.row_number().over(order), "used": used})
     own, head, last = _side(""), _side("", "_head"), _side("", "_last")
-    seen = seen.where("nth > 1 AND used = 1")
+    seen = seen.where("nth > 1 AND used & 1 = 1")
     seen = seen.withColumn("y", F.when(_near(own, head, 3) & _other(own, head), _place(head, "y")).when(_near(own, last, 3) & _other(own, last), _place(last, "y")))
     short = seen.where("y IS NOT NULL").select(_place(own, "x"), "y")
     rest = seen.where("y IS NULL").select("sig", *fields).alias("x").join(post.alias("y"), "sig")
