@@ -34,7 +34,7 @@ from nearfield.sizing import broadcast_if_small
 SLOT_BITS = 16
 _SLOTS = 1 << SLOT_BITS
 CROWD_BITS = 22  # slots in which the lengths of lists are counted
-LONG = 128 * 128  # lines in a list, times those that could be the smaller set, from which a key is split by later words
+LONG = 256 * 256  # lines in a list, times those that could be the smaller set, from which a key is split by later words
 Side = Callable[[str], Column]
 PLACE = ["key", "th", "line"]
 
