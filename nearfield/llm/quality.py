@@ -99,7 +99,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     """Train on at most ``SAMPLE_ROWS`` labelled documents, chosen by a hash of the key.
 
     Rows without a key, and labels other than 0 and 1, teach nothing; a null text counts as
-    empty; a key with several labels counts with the least.
+    empty; a key with several labels counts with the least, one with several texts with the least text.
     """
     chosen = labels.where(F.col(f"`{label}`").isin(0, 1)).groupBy(F.col(f"`{key}`").alias("key")).agg(F.min(f"`{label}`").cast("int").alias("label")).where("key IS NOT NULL")
     chosen = chosen.orderBy(F.xxhash64("key", F.lit("quality sample")), "key").limit(SAMPLE_ROWS)
@@ -110,7 +110,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
                 slots, counts = np.unique(slots_of(text.encode().split())[0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([label], pa.int32()), pa.array([slots.astype("<u2").tobytes()]), pa.array([(counts / max(1, counts.sum())).astype("<f4").tobytes()])], ["label", "slots", "shares"])
 
-    rows = keyed_text(docs, key, text).join(F.broadcast(chosen), "key").dropDuplicates(["key"]).select("key", "label", "text")
+    rows = keyed_text(docs, key, text).join(F.broadcast(chosen), "key").groupBy("key").agg(F.min("label").alias("label"), F.min("text").alias("text"))
     table = rows.select("label", "text").mapInArrow(shares, "label INT, slots BINARY, shares BINARY").toArrow().sort_by([("label", "ascending"), ("slots", "ascending")])
     texts = [(np.frombuffer(a, "<u2").astype(np.int64), np.frombuffer(b, "<f4")) for a, b in zip(table["slots"].to_pylist(), table["shares"].to_pylist())]
     return _train(texts, table["label"].to_numpy().astype(np.int64))

@@ -111,6 +111,15 @@ def test_quality_of_held_out_documents(spark, documents, messy, nothing):
     assert {r.score for r in quality.score(messy, blank).collect()} == {0.5}
 
 
+def test_quality_learns_the_least_text_of_a_repeated_key(spark):
+    rows = [(i, f"plain words about number {i}" if i % 2 else f"buy now {i} !!!") for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id BIGINT, quality INT")
+    later = [(i, "zz " + t) for i, t in rows[::3]]
+    plain, first, last = (quality.learn(spark.createDataFrame(r, "doc_id BIGINT, text STRING"), labels) for r in (rows, later + rows, rows + later))
+    assert np.array_equal(first.evidence, plain.evidence) and np.array_equal(last.evidence, plain.evidence)
+    assert first.prior == last.prior == plain.prior
+
+
 def test_slots_do_not_depend_on_the_neighbours():
     words = [b"a", b"abc", b"abcd", "ü".encode(), b"abc"]
     slots, counts = quality.slots_of(words)
