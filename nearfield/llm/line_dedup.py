@@ -13,7 +13,9 @@ pair also share two words if each prefix is taken one word longer. A key whose l
 is therefore split by each later word of the prefix: a pair that shares no other word as its first
 still meets under its first two. Which keys these are decides the cost, never the result. Lists
 without a line that could be the smaller set are left out, so lines from one template with few
-words of their own do not meet in its words.
+words of their own do not meet in its words. A row of the index also holds the two words before
+its own: lines that share one of those have met there, so that a pair is formed once for each run
+of shared words, not once for each word.
 
 Large groups of near copies make no quadratic output: in each list of the index a line is
 first held against the list's first line and its own forerunner, and only lines that are not
@@ -29,21 +31,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearfield.llm.common import stored
-from nearfield.sizing import broadcast_if_small
+from nearfield.sizing import broadcast_if_small, is_small
 
 SLOT_BITS = 16
 _SLOTS = 1 << SLOT_BITS
 CROWD_BITS = 22  # slots in which the lengths of lists are counted
 LONG = 256 * 256  # lines in a list, times those that could be the smaller set, from which a key is split by later words
 Side = Callable[[str], Column]
-PLACE = ["key", "th", "line"]
+PLACE = ["key", "tie", "line"]
 
 
 def _identified(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``key``, a 64-bit hash ``th`` of the text, and the text with all white space as spaces, in lower case."""
+    """``key``, a 64-bit hash ``th`` of the text, and the text with all white space as spaces, in lower case.
+
+    ``tie`` is that hash where a key has several texts, else 0: it orders and tells apart the same
+    documents, and adds next to nothing to an index row.
+    """
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     plain = F.when(body.rlike("[\\t\\x0B\\f\\r]"), F.translate(body, "\t\x0b\f\r", "    ")).otherwise(body)
-    return docs.select(F.col(f"`{key}`").alias("key"), F.xxhash64(body).alias("th"), F.lower(plain).alias("text"))
+    rows = docs.select(F.col(f"`{key}`").alias("key"), F.xxhash64(body).alias("th"), F.lower(plain).alias("text"))
+    hashes = rows.groupBy("key").agg(F.min("th").alias("least"), F.max("th").alias("most"))
+    shared = stored(hashes.where("least <> most").select(F.col("key").alias("of")), "shared-keys")
+    if not is_small(shared):
+        return rows.withColumn("tie", F.col("th"))
+    tied = rows.join(F.broadcast(shared.withColumn("several", F.lit(True))), F.col("key").eqNullSafe(F.col("of")), "left")
+    return tied.select("key", "th", "text", F.expr("if(several, th, 0L)").alias("tie"))
 
 
 def _words(line: str) -> Column:
@@ -51,8 +63,8 @@ def _words(line: str) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """Every line with its words; its place is the document's key, the hash of the text and the line number."""
-    lines = docs.select("key", "th", F.posexplode(F.split("text", "\n")).alias("line", "words"))
+    """Every line with its words; its place is the document's key, the hash of the text among several of a key, and the line number."""
+    lines = docs.select("key", "tie", F.posexplode(F.split("text", "\n")).alias("line", "words"))
     return lines.select(*PLACE, _words("words").alias("words"))
 
 
@@ -67,14 +79,14 @@ def _rarity(docs: DataFrame) -> Column:
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """Every distinct set of words at its earliest place: ``key, th, line, n, low, high, prefix``."""
+    """Every distinct set of words at its earliest place: ``key, tie, line, n, low, high, prefix``."""
     levels = _rarity(docs)
 
-    def token(code: Column) -> Column:
+    def token(word: Column) -> Column:
+        code = F.xxhash64(word)
         return F.shiftleft(levels[code.bitwiseAND(_SLOTS - 1)], 56).bitwiseOR(code.bitwiseAND((1 << 56) - 1))
 
-    codes = F.array_distinct(F.transform("words", lambda w: F.xxhash64(w)))
-    lines = _lines(docs).where("size(words) > 0").select(*PLACE, F.sort_array(F.transform(codes, token)).alias("tokens"))
+    lines = _lines(docs).where("size(words) > 0").select(*PLACE, F.sort_array(F.transform(F.array_distinct("words"), token)).alias("tokens"))
     lines = lines.select(
         F.xxhash64("tokens").alias("s1"),
         F.xxhash64(F.lit(1), "tokens").alias("s2"),  # the seed in front: behind the tokens it would hash s1
@@ -106,15 +118,25 @@ def _near(x: Side, y: Side, quarters: int = 4) -> Column:
     """Sizes, places of the shared word and parity bits (or so many quarters of what they may differ) allow a similarity of 4/5."""
     nx, ny = _n(x), _n(y)
     need = F.call_function("div", (nx + ny) * 4 + 8, F.lit(9))
-    apart = F.bit_count(x("low").bitwiseXOR(y("low"))) + F.bit_count(x("high").bitwiseXOR(y("high")))
     # at most so many words are shared before the shared word, and from it on
     place = F.least(_at(x), _at(y)) + F.least(nx - _at(x), ny - _at(y))
-    return (apart * 4 <= (nx + ny - 2 * need) * quarters) & (nx * 5 >= ny * 4) & (ny * 5 >= nx * 4) & (place >= need)
+    return (_apart(x, y) * 4 <= (nx + ny - 2 * need) * quarters) & (nx * 5 >= ny * 4) & (ny * 5 >= nx * 4) & (place >= need)
 
 
 def _met(x: Side, y: Side) -> Column:
     """Close enough, and found as a pair of a smaller and a larger set."""
-    return _near(x, y) & ((_smaller(x) & (_n(x) <= _n(y))) | (_smaller(y) & (_n(y) <= _n(x))))
+    return _near(x, y) & ((_smaller(x) & (_n(x) <= _n(y))) | (_smaller(y) & (_n(y) <= _n(x)))) & ~_met_before(x, y)
+
+
+def _met_before(x: Side, y: Side) -> Column:
+    """Both have a word, one of the two before this row's, under which they are in one list as well."""
+    before = [[F.shiftright(side("before"), 32), side("before").bitwiseAND((1 << 32) - 1)] for side in (x, y)]
+    same = [(a == b) & (a != 0) for a in before[0] for b in before[1]]
+    return same[0] | same[1] | same[2] | same[3]
+
+
+def _apart(x: Side, y: Side) -> Column:
+    return F.bit_count(x("low").bitwiseXOR(y("low"))) + F.bit_count(x("high").bitwiseXOR(y("high")))
 
 
 def _side(alias: str, suffix: str = "") -> Side:
@@ -160,14 +182,20 @@ def _postings(sets: DataFrame, crowded: Column) -> DataFrame:
 
     ``sig`` is the hash of a word and a size class, of a later word too where that list would be long;
     ``shape`` packs the size of the set, the place of the word and whether the row can stand for the
-    smaller set of a pair.
+    smaller set of a pair. ``before`` packs the two words in front of the row's last word, 0 for none:
+    with a later word those between the two, or, if there are none, those in front of the first. A word
+    of the same number as the row's own counts as none, so that equal ones are always a list both are in.
     """
     words = _words_of(_roles(sets)).withColumn("later", F.when(crowded, F.expr("slice(prefix, at + 2, reach - at)")).otherwise(F.expr("array(cast(NULL AS int))")))
-    keys = words.select(*PLACE, "n", "low", "high", "own", "class", "at", "single", F.posexplode("later").alias("k", "other"))
+    keys = words.select(*PLACE, "n", "low", "high", "own", "class", "at", "token", "prefix", "single", F.posexplode("later").alias("k", "other"))
+    # places of the last word in front of the row's last word, and of the first that may count
+    keys = keys.withColumn("end", F.expr("if(k > 0, at + k, at - 1)")).withColumn("from", F.expr("if(k > 0, at + 1, 0)"))
+    one, two = (F.expr(f"CASE WHEN `end` - {i} >= `from` AND get(prefix, `end` - {i}) <> token AND (other IS NULL OR get(prefix, `end` - {i}) <> other) THEN get(prefix, `end` - {i}) ELSE 0 END").cast("bigint") for i in (0, 1))
     smaller = F.expr(f"class = own AND at < {_NINTH} AND (other IS NULL OR at + k < {_NINTH})")
     shape = F.shiftleft(F.col("n").cast("bigint"), 32) + F.col("at") * 2 + smaller.cast("bigint")
     sig = F.when(F.col("other").isNull(), F.col("single")).otherwise(F.xxhash64("single", "other"))
-    return keys.select(sig.alias("sig"), *PLACE, "low", "high", shape.alias("shape")).where("sig IS NOT NULL AND shape IS NOT NULL")
+    before = F.shiftleft(one, 32).bitwiseOR(two)
+    return keys.select(sig.alias("sig"), *PLACE, "low", "high", shape.alias("shape"), before.alias("before")).where("sig IS NOT NULL AND shape IS NOT NULL")
 
 
 def _other(x: Side, y: Side) -> Column:
@@ -179,8 +207,8 @@ def _earlier() -> Column:
     return _place(_side("y"), "y") < _place(_side("x"), "x")
 
 
-def _candidates(post: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs (later ``x``, earlier ``y``) through the shortcut, and all other pairs of lines without one."""
+def _meetings(post: DataFrame) -> DataFrame:
+    """Pairs ``x, y, short, far``: later ``x`` and earlier ``y`` through the shortcut, and, in lists where a line has none, all its others."""
     # windows over bare columns only: an expression would be computed below the shuffle, which the join could not share then
     order = Window.partitionBy("sig").orderBy(*PLACE)
     fields = [*PLACE, "low", "high", "shape"]
@@ -188,22 +216,42 @@ def _candidates(post: DataFrame) -> tuple[DataFrame, DataFrame]:
     seen = post.withColumns({f"{c}_head": F.first(c).over(order) for c in fields} | {f"{c}_last": F.lag(c).over(order) for c in fields} | {"nth": F.row_number().over(order), "used": used})
     own, head, last = _side(""), _side("", "_head"), _side("", "_last")
     seen = seen.where("nth > 1 AND used & 1 = 1")
-    seen = seen.withColumn("y", F.when(_near(own, head, 3) & _other(own, head), _place(head, "y")).when(_near(own, last, 3) & _other(own, last), _place(last, "y")))
-    short = seen.where("y IS NOT NULL").select(_place(own, "x"), "y")
-    rest = seen.where("y IS NULL").select("sig", *fields).alias("x").join(post.alias("y"), "sig")
-    return short, rest.where(_met(_side("x"), _side("y")) & _earlier()).select(*_pair())
+    told = F.when(_near(own, head, 3) & _other(own, head), _told(own, head)).when(_near(own, last, 3) & _other(own, last), _told(own, last))
+    seen = seen.select("sig", *fields, "before", told.alias("told")).alias("x")
+    # one pass gives both: a line with a shortcut meets no one else here and stays as it is
+    x, y = _side("x"), _side("y")
+    met = seen.join(post.alias("y"), (x("sig") == y("sig")) & F.col("x.told").isNull() & _met(x, y) & _earlier(), "left")
+    found = F.coalesce(F.col("x.told"), F.when(y("sig").isNotNull(), _told(x, y)))
+    pairs = met.select(_place(x, "x"), found.alias("found"), F.col("x.told").isNotNull().alias("short"))
+    return pairs.where("found IS NOT NULL").select("x", "found.y", "short", "found.far")
+
+
+def _candidates(post: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (later ``x``, earlier ``y``) through the shortcut, and all other pairs of lines without one, apart."""
+    pairs = _meetings(post)
+    return pairs.where("short").select("x", "y"), pairs.where("NOT short").select("x", "y")
+
+
+def _told(x: Side, y: Side) -> Column:
+    """The other line's place, and which part of the words of both the parity bits tell apart."""
+    return F.struct(_place(y, "y"), (_apart(x, y) / (_n(x) + _n(y))).cast("float").alias("far"))
 
 
 def _pair() -> list[Column]:
     return [_place(_side("x"), "x"), _place(_side("y"), "y")]
 
 
-def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Pairs whose sets of words have a similarity of 4/5 or more."""
+def _bodies(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``place, body`` of the lines in pairs."""
     asked = broadcast_if_small(stored(pairs.select(F.col("x").alias("place")).union(pairs.select("y")).distinct(), "asked"))
-    lines = docs.select("key", "th", F.posexplode(F.split("text", "\n")).alias("line", "body"))
-    lines = lines.select(F.struct(*PLACE).alias("place"), "body").join(asked, "place", "left_semi").groupBy("place").agg(F.first("body").alias("body"))
-    sides = pairs.join(lines.select(F.col("place").alias("x"), F.col("body").alias("bx")), "x").join(lines.select(F.col("place").alias("y"), F.col("body").alias("by")), "y")
+    lines = docs.select("key", "tie", F.posexplode(F.split("text", "\n")).alias("line", "body"))
+    lines = lines.select(F.struct(*PLACE).alias("place"), "body").join(asked, "place", "left_semi")
+    return stored(lines.groupBy("place").agg(F.first("body").alias("body")), "bodies")
+
+
+def _verified(bodies: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Pairs whose sets of words have a similarity of 4/5 or more."""
+    sides = pairs.join(bodies.select(F.col("place").alias("x"), F.col("body").alias("bx")), "x").join(bodies.select(F.col("place").alias("y"), F.col("body").alias("by")), "y")
     # the lines travel as text, which is far shorter than a list of words
     sides = sides.withColumns({"wx": F.array_distinct(_words("bx")), "wy": F.array_distinct(_words("by"))})
     common = F.size(F.array_intersect("wx", "wy"))
@@ -214,16 +262,15 @@ def kept_lines(rows: DataFrame) -> DataFrame:
     """Places of the lines that stay, lines without words left out."""
     sets = stored(_sets(rows), "word-sets")
     post = _postings(sets, _crowded(sets))
-    short, rest = _candidates(post)
-    both = short.withColumn("short", F.lit(True)).unionByName(rest.withColumn("short", F.lit(False)))
-    pairs = stored(both.groupBy("x", "y").agg(F.count(F.lit(1)).alias("lists"), F.max("short").alias("short")), "pairs")
-    # One match is enough: first the pair that shares the most lists, then, for lines it does not settle, all others.
-    best = stored(pairs.groupBy("x").agg(F.max_by("y", F.struct("short", "lists")).alias("y"), F.max("short").alias("short")), "best-pairs")
-    found = stored(_verified(rows, best.select("x", "y")).select("x"), "matched")
+    pairs = stored(_meetings(post).groupBy("x", "y").agg(F.max("short").alias("short"), F.min("far").alias("far")), "pairs")
+    bodies = _bodies(rows, pairs)
+    # One match is enough: first the closest pair, one of the shortcut before others, then, for lines it does not settle, all others.
+    best = stored(pairs.groupBy("x").agg(F.min_by("y", F.struct(~F.col("short"), "far")).alias("y"), F.max("short").alias("short")), "best-pairs")
+    found = stored(_verified(bodies, best.select("x", "y")).select("x"), "matched")
     open_ = stored(best.join(found, "x", "left_anti"), "unsettled")
     if not open_.isEmpty():
-        others = pairs.select("x", "y").join(open_.where("NOT short").select("x", F.col("y").alias("tried")), "x").where("y <> tried").select("x", "y")
-        found = found.union(stored(_verified(rows, stored(others, "other-pairs")).select("x").distinct(), "matched"))
+        others = pairs.select("x", "y").join(open_.select("x", F.col("y").alias("tried")), "x").where("y <> tried").select("x", "y")
+        found = found.union(stored(_verified(bodies, others).select("x").distinct(), "matched"))
         unsure = stored(open_.where("short").select("x").join(found, "x", "left_anti"), "unsure")
         if not unsure.isEmpty():
             found = found.union(_again(rows, post, unsure))
@@ -234,7 +281,8 @@ def _again(rows: DataFrame, post: DataFrame, unsure: DataFrame) -> DataFrame:
     """Lines whose shortcut was not confirmed, held against everything before them."""
     asked = post.withColumn("place", F.struct(*PLACE)).join(broadcast_if_small(unsure.withColumnRenamed("x", "place")), "place", "left_semi").drop("place")
     pairs = broadcast_if_small(asked).alias("x").join(post.alias("y"), "sig").where(_met(_side("x"), _side("y")) & _earlier())
-    return _verified(rows, stored(pairs.select(*_pair()).distinct(), "pairs-again")).select("x")
+    pairs = stored(pairs.select(*_pair()).distinct(), "pairs-again")
+    return _verified(_bodies(rows, pairs), pairs).select("x").distinct()
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -248,10 +296,10 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     name can clash.
     """
     rows = _identified(docs, key, text)
-    stays = kept_lines(rows).groupBy("key", "th").agg(F.collect_list("line").alias("worded"))
+    stays = kept_lines(rows).groupBy("key", "tie").agg(F.collect_list("line").alias("worded"))
     blank = F.expr("filter(transform(split(text, '\\n'), (l, i) -> if(trim(l) = '', i, -1)), i -> i >= 0)")
-    base = rows.select("key", "th", F.size(F.split("text", "\n")).alias("n_lines"), blank.alias("blank")).alias("d")
-    joined = base.join(stays.alias("s"), F.col("d.key").eqNullSafe(F.col("s.key")) & (F.col("d.th") == F.col("s.th")), "left")
+    base = rows.select("key", "th", "tie", F.size(F.split("text", "\n")).alias("n_lines"), blank.alias("blank")).alias("d")
+    joined = base.join(stays.alias("s"), F.col("d.key").eqNullSafe(F.col("s.key")) & (F.col("d.tie") == F.col("s.tie")), "left")
     kept = F.array_sort(F.concat("d.blank", F.coalesce("s.worded", F.array().cast("array<int>"))))
     return joined.select(F.col("d.key").alias(key), F.col("d.th").alias("th"), F.col("d.n_lines").alias("n_lines"), kept.alias("kept"))
 
@@ -259,9 +307,11 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 def remove_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents with the columns they had, their text without the removed lines; a text that loses nothing is unchanged, null included."""
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    stays = deduplicate(docs, key, text).dropDuplicates([key, "th"]).select(F.col(f"`{key}`").alias("__key"), F.col("th").alias("__th"), F.col("n_lines").alias("__n"), F.col("kept").alias("__kept"))
-    joined = docs.withColumn("__hash", F.xxhash64(body)).join(stays, F.col(f"`{key}`").eqNullSafe(F.col("__key")) & (F.col("__hash") == F.col("__th")), "left")
+    fewer = stored(deduplicate(docs, key, text).where("size(kept) < n_lines").dropDuplicates([key, "th"]), "shortened")
+    # only texts that lose lines are asked for; while those are few no text is shuffled
+    fewer = broadcast_if_small(fewer.select(F.col(f"`{key}`").alias("__key"), F.col("th").alias("__th"), F.col("kept").alias("__kept")))
+    joined = docs.withColumn("__hash", F.xxhash64(body)).join(fewer, F.col(f"`{key}`").eqNullSafe(F.col("__key")) & (F.col("__hash") == F.col("__th")), "left")
     once = F.array(F.struct(F.split(body, "\n").alias("lines"), F.col("__kept").alias("kept")))  # so that the text is split once, not once per line
     left = F.transform(once, lambda s: F.array_join(F.transform(s["kept"], lambda i: s["lines"][i]), "\n"))[0]
-    joined = joined.withColumn(text, F.when(F.size("__kept") == F.col("__n"), F.col(f"`{text}`")).otherwise(left))
+    joined = joined.withColumn(text, F.when(F.col("__kept").isNull(), F.col(f"`{text}`")).otherwise(left))
     return joined.select(*[f"`{c}`" for c in docs.columns])

@@ -98,3 +98,23 @@ def test_long_lists_are_split_by_later_words(spark, monkeypatch):
     for limit in (0, 200, 10**9):
         monkeypatch.setattr(L, "LONG", limit)
         check(spark, docs, rows)
+
+
+def test_a_pair_is_formed_once_for_a_run_of_shared_words(spark):
+    """Lines whose rare words are all shared meet in several lists; one of them gives the pair."""
+    rows = [(i, " ".join(f"r{i}x{j}" for j in range(16)) + (" one two" if i < 50 else "")) for i in range(50)]
+    rows += [(100 + i, rows[i][1].replace("one two", "three four")) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
+    check(spark, docs, rows)
+    sets = L._sets(L._identified(docs, "doc_id", "text"))
+    direct, rest = L._candidates(L._postings(sets, L._crowded(sets)))
+    pairs = rest.count()
+    assert direct.count() + pairs >= 50 and pairs == rest.distinct().count()
+
+
+def test_texts_are_not_shuffled_for_few_shortened_documents(spark):
+    docs = spark.createDataFrame([(i, f"one line with a number {i}\nthe same words on this line of all") for i in range(40)], "doc_id BIGINT, text STRING")
+    out = L.remove_lines(docs)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert sorted((r.doc_id, r.text) for r in out.collect())[1] == (1, "one line with a number 1")
