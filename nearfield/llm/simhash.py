@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from nearfield.llm.common import keyed_text, stored, text_blocks
 from nearfield.llm.graph import components
 from nearfield.llm.wordhash import space_words
+from nearfield.sizing import broadcast_if_small
 
 SHINGLE = 3
 MAX_BITS = 3
@@ -149,11 +150,16 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: i
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents with the columns they had, one of each component: that with its least key (a null key last), then the least hash of the text."""
-    own = classes(docs, key, text)
+    own = stored(classes(docs, key, text), "classes")
     order = F.struct(F.col(f"`{key}`").isNull().alias("none"), F.col(f"`{key}`").alias("key"), "th")
     kept = own.groupBy("root").agg(F.min(order).alias("k"))
-    kept = stored(kept.select(F.col("k.key").alias("__key"), F.col("k.th").alias("__th")), "kept")
+    kept = kept.select(F.col("k.key").alias("__of"), F.col("k.th").alias("__kept"))
+    texts = own.groupBy(F.col(key).alias("__key"), F.col("th").alias("__th")).agg(F.count(F.lit(1)).alias("__n"))
+    # Most documents are neither left out nor repeated. Only the others are asked for, so that no text is shuffled while they are few.
+    marks = texts.join(kept, F.col("__key").eqNullSafe(F.col("__of")) & (F.col("__th") == F.col("__kept")), "left")
+    marks = marks.select("__key", "__th", F.col("__kept").isNotNull().alias("__stays"), "__n").where("NOT __stays OR __n > 1")
+    marks = broadcast_if_small(stored(marks.select("__key", "__th", "__stays"), "left-out"))
     hashed = docs.withColumn("__hash", F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))))
-    same = F.col(f"`{key}`").eqNullSafe(F.col("__key")) & (F.col("__hash") == F.col("__th"))
-    found = hashed.join(kept, same, "left_semi")
-    return found.dropDuplicates([key, "__hash"]).select(*[f"`{c}`" for c in docs.columns])
+    found = hashed.join(marks, F.col(f"`{key}`").eqNullSafe(F.col("__key")) & (F.col("__hash") == F.col("__th")), "left")
+    columns = [f"`{c}`" for c in docs.columns]
+    return found.where("__stays IS NULL").select(*columns).unionByName(found.where("__stays").dropDuplicates([key, "__hash"]).select(*columns))

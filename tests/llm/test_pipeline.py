@@ -84,3 +84,14 @@ def test_empty_tables_and_clashing_columns(spark, messy, nothing, folder):
             docs = stored(stage(spark, docs, folder), name)
             assert docs.columns == columns and docs.count() <= n
         assert P.byte_level_bpe(spark, docs, folder).count() == docs.count()
+
+
+def test_no_stage_writes_or_shuffles_all_texts_between_its_jobs(spark, folder, monkeypatch):
+    seen = []
+    keep = P.stored
+    monkeypatch.setattr(P, "stored", lambda df, name: seen.append(df.columns) or keep(df, name))
+    docs = P.table(spark, folder, "documents")
+    P.language_id(spark, docs, folder)
+    assert seen and not any("text" in columns for columns in seen)
+    plan = P.simhash.keep_one(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
