@@ -98,17 +98,25 @@ def _mentions(docs: DataFrame, key: str, text: str) -> DataFrame:
 def _disclosing(docs: DataFrame, text: str, mentions: DataFrame, limits: Thresholds) -> DataFrame:
     """``entity, term, action``: 0 to remove, 1 to generalise."""
     near = mentions.select(F.expr("inline(array_distinct(transform(terms, t -> struct(t.entity AS entity, t.term AS term))))")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("together"))
-    near = stored(near.where(F.col("together") >= limits.documents), "term-pairs")
+    near = near.where(F.col("together") >= limits.documents)
     entity = mentions.select(F.explode(F.expr("array_distinct(transform(spans, s -> concat_ws(':', s.kind, s.value)))")).alias("entity"))
     entities = entity.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    asked = broadcast_if_small(near.select("term").distinct())
+    total = docs.count()
+
+    def disclosure(holds: Column) -> Column:
+        pmi = F.log(F.lit(float(total)) * F.col("together") / (holds * F.col("n_entity")))
+        known = F.log(F.lit(float(total)) / F.col("n_entity"))
+        return F.when(known > 0, pmi / known).otherwise(0.0)
+
+    # A term is in at least as many documents as show it near some value. Where that alone keeps a pair
+    # under the threshold, its term need not be counted in all documents; most common words go so.
+    shown = mentions.select(F.explode(F.expr("array_distinct(transform(terms, t -> t.term))")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_shown"))
+    open_ = near.join(entities, "entity").join(shown, "term").where(disclosure(F.col("n_shown")) >= limits.generalise - 1e-9)
+    open_ = stored(open_.drop("n_shown"), "term-pairs")
+    asked = broadcast_if_small(open_.select("term").distinct())
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.col(f"`{text}`").cast("string")), F.lit(_TERM), F.lit(0)))
     terms = docs.select(F.explode(words).alias("term")).join(asked, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    total = docs.count()
-    joined = near.join(entities, "entity").join(terms, "term")
-    pmi = F.log(F.lit(float(total)) * F.col("together") / (F.col("n_term") * F.col("n_entity")))
-    known = F.log(F.lit(float(total)) / F.col("n_entity"))
-    scored = joined.withColumn("disclosure", F.when(known > 0, pmi / known).otherwise(0.0))
+    scored = open_.join(terms, "term").withColumn("disclosure", disclosure(F.col("n_term")))
     return scored.where(F.col("disclosure") >= limits.generalise).select("entity", "term", F.when(F.col("disclosure") >= limits.remove, 0).otherwise(1).alias("action"))
 
 

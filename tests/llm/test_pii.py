@@ -102,3 +102,21 @@ def test_sanitised_texts(spark, messy, nothing):
     assert out.columns == messy.columns and out.count() == len(ROWS)
     assert out.where("doc_id = 8 AND text IS NULL").count() == 1
     assert pii.find(nothing).count() == 0 and pii.sanitise(nothing).count() == 0
+
+
+def test_common_words_are_not_counted_in_all_documents(spark, monkeypatch):
+    """What is written near values already shows that a common word cannot disclose; the result is that of the plain count."""
+    rows = [(i, f"the note of zorro{i % 3} from ada{i % 3}@x.org in the harbour") for i in range(12)] + [(20 + i, f"the harbour {i}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id INT, text STRING")
+    terms, keep = [], pii.stored
+
+    def stored(df, name):
+        out = keep(df, name)
+        if name == "term-pairs":
+            terms.extend(r.term for r in out.select("term").distinct().collect())
+        return out
+
+    monkeypatch.setattr(pii, "stored", stored)
+    limits = pii.Thresholds(remove=0.95, generalise=0.8)
+    got = sorted({(r.doc_id, s.kind, s.start, s.stop) for r in pii.find(docs, limits=limits).collect() for s in r.terms})
+    assert got == brute_terms(rows, limits) and "the" not in terms
