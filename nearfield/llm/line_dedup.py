@@ -261,7 +261,8 @@ def _verified(bodies: DataFrame, pairs: DataFrame) -> DataFrame:
 def kept_lines(rows: DataFrame) -> DataFrame:
     """Places of the lines that stay, lines without words left out."""
     sets = stored(_sets(rows), "word-sets")
-    post = _postings(sets, _crowded(sets))
+    crowded = _crowded(sets)
+    post = _postings(sets, crowded)
     pairs = stored(_meetings(post).groupBy("x", "y").agg(F.max("short").alias("short"), F.min("far").alias("far")), "pairs")
     bodies = _bodies(rows, pairs)
     # One match is enough: first the closest pair, one of the shortcut before others, then, for lines it does not settle, all others.
@@ -273,13 +274,14 @@ def kept_lines(rows: DataFrame) -> DataFrame:
         found = found.union(stored(_verified(bodies, others).select("x").distinct(), "matched"))
         unsure = stored(open_.where("short").select("x").join(found, "x", "left_anti"), "unsure")
         if not unsure.isEmpty():
-            found = found.union(_again(rows, post, unsure))
+            found = found.union(_again(rows, sets, crowded, post, unsure))
     return sets.select(F.struct(*PLACE).alias("x")).join(found, "x", "left_anti").select("x.*")
 
 
-def _again(rows: DataFrame, post: DataFrame, unsure: DataFrame) -> DataFrame:
+def _again(rows: DataFrame, sets: DataFrame, crowded: Column, post: DataFrame, unsure: DataFrame) -> DataFrame:
     """Lines whose shortcut was not confirmed, held against everything before them."""
-    asked = post.withColumn("place", F.struct(*PLACE)).join(broadcast_if_small(unsure.withColumnRenamed("x", "place")), "place", "left_semi").drop("place")
+    lines = sets.withColumn("place", F.struct(*PLACE)).join(broadcast_if_small(unsure.withColumnRenamed("x", "place")), "place", "left_semi").drop("place")
+    asked = _postings(lines, crowded)
     pairs = broadcast_if_small(asked).alias("x").join(post.alias("y"), "sig").where(_met(_side("x"), _side("y")) & _earlier())
     pairs = stored(pairs.select(*_pair()).distinct(), "pairs-again")
     return _verified(_bodies(rows, pairs), pairs).select("x").distinct()
