@@ -25,7 +25,9 @@ from nearfield.sizing import broadcast_if_small
 WINDOW = 13
 GRAM = 5
 BITMAP_BITS = 24
+SCAN_BYTES = 1 << 20  # of text at a time; its words take some ten times as much
 HASH_SEED = 42
+_BIT = np.uint8(128) >> np.arange(8, dtype=np.uint8)  # of a slot in its byte, as np.packbits puts it
 _FACTORS = [np.uint64((0xD6E8FEB86659FD93 * (2 * j + 1) + 2 * j) & 0xFFFFFFFFFFFFFFFF | 1) for j in range(GRAM)]
 
 
@@ -81,14 +83,15 @@ def _suspects(shared, lengths: list[int]) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes(HASH_SEED)
-        bitmap = np.unpackbits(np.frombuffer(shared.value, np.uint8)).view(bool)
-        for block in text_blocks(batches):
+        bitmap = np.frombuffer(shared.value, np.uint8)
+        for block in text_blocks(batches, limit=SCAN_BYTES):
             texts = [alnum_words(text) for text in block.column("text").to_pylist()]
             bounds = row_bounds([len(words) for words in texts])
             words = np.concatenate([known.of(w) for w in texts])
             found: list[list[dict]] = [[] for _ in texts]
             for length in lengths:
-                passed = np.flatnonzero(bitmap[_slot(fingerprints(words, length))])
+                slots = _slot(fingerprints(words, length))
+                passed = np.flatnonzero(bitmap[slots >> 3] & _BIT[slots & 7])
                 rows = np.searchsorted(bounds, passed, side="right") - 1
                 inside = passed + length <= bounds[rows + 1]
                 for row, place in zip(rows[inside].tolist(), (passed - bounds[rows])[inside].tolist()):

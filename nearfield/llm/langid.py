@@ -31,6 +31,7 @@ HIDDEN = 16
 PIECE_BYTES = 48
 MARK = 256  # before and after every word
 KNOWN_WORDS = 200_000
+READ_WORDS = 1024  # read at a time; the states of every byte of them are held
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -216,8 +217,8 @@ class Predictor:
         out = np.zeros((len(words), len(self.network.languages) + 2), np.float32)
         owner, raw = np.array([i for i, _ in pieces], np.int64), [p for _, p in pieces]
         for rows in _by_length(raw):
-            for start in range(0, len(rows), 4096):
-                part = rows[start : start + 4096]
+            for start in range(0, len(rows), READ_WORDS):
+                part = rows[start : start + READ_WORDS]
                 chances = self.network.probabilities(_symbols([raw[i] for i in part]))[1:-1]
                 np.add.at(out, owner[part], np.concatenate((chances.sum(0), np.full((len(part), 1), len(chances)), np.zeros((len(part), 1))), axis=1))
         out[:, -1] = [any(map(str.isalpha, w.decode())) for w in words]
