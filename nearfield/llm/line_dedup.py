@@ -26,6 +26,8 @@ confirmed meet the whole list afterwards.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,7 +50,8 @@ def _identified(docs: DataFrame, key: str, text: str) -> DataFrame:
     documents, and adds next to nothing to an index row.
     """
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    plain = F.when(body.rlike("[\\t\\x0B\\f\\r]"), F.translate(body, "\t\x0b\f\r", "    ")).otherwise(body)
+    odd = reduce(or_, [F.contains(body, F.lit(c)) for c in "\t\x0b\f\r"])  # byte search, far cheaper than a pattern
+    plain = F.when(odd, F.translate(body, "\t\x0b\f\r", "    ")).otherwise(body)
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.xxhash64(body).alias("th"), F.lower(plain).alias("text"))
     hashes = rows.groupBy("key").agg(F.min("th").alias("least"), F.max("th").alias("most"))
     shared = stored(hashes.where("least <> most").select(F.col("key").alias("of")), "shared-keys")
@@ -70,7 +73,7 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 def _rarity(docs: DataFrame) -> Column:
     """A number per hash slot: the logarithm of how often words of that slot occur. The table has a fixed size."""
-    word = docs.select(F.explode(F.split("text", "\n")).alias("line")).select(F.explode(F.split("line", " ")).alias("word"))
+    word = docs.select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("word"))
     counts = word.groupBy(F.expr(f"xxhash64(word) & {_SLOTS - 1}").alias("slot")).agg(F.count(F.lit(1)).alias("n"))
     dense = docs.sparkSession.range(_SLOTS).withColumnRenamed("id", "slot").join(counts, "slot", "left")
     level = F.expr("least(127, cast(round(4 * log2(1 + coalesce(n, 0))) AS int))")
@@ -82,18 +85,21 @@ def _sets(docs: DataFrame) -> DataFrame:
     """Every distinct set of words at its earliest place: ``key, tie, line, n, low, high, prefix``."""
     levels = _rarity(docs)
 
-    def token(word: Column) -> Column:
-        code = F.xxhash64(word)
+    def token(code: Column) -> Column:
         return F.shiftleft(levels[code.bitwiseAND(_SLOTS - 1)], 56).bitwiseOR(code.bitwiseAND((1 << 56) - 1))
 
-    lines = _lines(docs).where("size(words) > 0").select(*PLACE, F.sort_array(F.transform(F.array_distinct("words"), token)).alias("tokens"))
+    lines = _lines(docs).where("size(words) > 0").select(*PLACE, F.sort_array(F.transform(F.array_distinct(F.transform("words", lambda w: F.xxhash64(w))), token)).alias("tokens"))
+    # a bit of 128 for each word that is flipped by it: those of the lower half, and both halves on top of each other
+    flipped = {"low": "if(t & 64 = 0, shiftleft(1L, cast(t & 63 AS int)), 0L)", "both": "shiftleft(1L, cast(t & 63 AS int))"}
+    lines = lines.select("*", *[F.expr(f"aggregate(tokens, 0L, (a, t) -> a ^ {bit})").alias(name) for name, bit in flipped.items()])
     lines = lines.select(
         F.xxhash64("tokens").alias("s1"),
         F.xxhash64(F.lit(1), "tokens").alias("s2"),  # the seed in front: behind the tokens it would hash s1
         F.struct(
             *PLACE,
             F.size("tokens").alias("n"),
-            *[F.expr(f"aggregate(tokens, 0L, (a, t) -> a ^ if(t & 64 = {half}, shiftleft(1L, cast(t & 63 AS int)), 0L))").alias(name) for name, half in (("low", 0), ("high", 64))],
+            "low",
+            F.col("low").bitwiseXOR(F.col("both")).alias("high"),
             # one word more than a fifth; the order is that of the whole numbers, the index needs only their upper half
             F.expr("transform(slice(tokens, 1, size(tokens) - (4 * size(tokens) + 4) div 5 + 2), t -> cast(shiftright(t, 32) AS int))").alias("prefix"),
         ).alias("first"),
@@ -117,10 +123,10 @@ def _smaller(x: Side) -> Column:
 def _near(x: Side, y: Side, quarters: int = 4) -> Column:
     """Sizes, places of the shared word and parity bits (or so many quarters of what they may differ) allow a similarity of 4/5."""
     nx, ny = _n(x), _n(y)
-    need = F.call_function("div", (nx + ny) * 4 + 8, F.lit(9))
     # at most so many words are shared before the shared word, and from it on
     place = F.least(_at(x), _at(y)) + F.least(nx - _at(x), ny - _at(y))
-    return (_apart(x, y) * 4 <= (nx + ny - 2 * need) * quarters) & (nx * 5 >= ny * 4) & (ny * 5 >= nx * 4) & (place >= need)
+    # a similarity of 4/5 is a ninth of the words of both that differ, or four ninths of them that are shared
+    return (_apart(x, y) * 36 <= (nx + ny) * quarters) & (nx * 5 >= ny * 4) & (ny * 5 >= nx * 4) & (place * 9 >= (nx + ny) * 4)
 
 
 def _met(x: Side, y: Side) -> Column:
@@ -212,10 +218,11 @@ def _meetings(post: DataFrame) -> DataFrame:
     # windows over bare columns only: an expression would be computed below the shuffle, which the join could not share then
     order = Window.partitionBy("sig").orderBy(*PLACE)
     fields = [*PLACE, "low", "high", "shape"]
-    used = F.bit_or("shape").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    seen = post.withColumns({f"{c}_head": F.first(c).over(order) for c in fields} | {f"{c}_last": F.lag(c).over(order) for c in fields} | {"nth": F.row_number().over(order), "used": used})
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # two frames: the list, evaluated once for it, and the row before; a third one with the rows so far would be evaluated for every row
+    seen = post.withColumns({f"{c}_head": F.first(c).over(whole) for c in fields} | {f"{c}_last": F.lag(c).over(order) for c in fields} | {"used": F.bit_or("shape").over(whole)})
     own, head, last = _side(""), _side("", "_head"), _side("", "_last")
-    seen = seen.where("nth > 1 AND used & 1 = 1")
+    seen = seen.where("shape_last IS NOT NULL AND used & 1 = 1")
     told = F.when(_near(own, head, 3) & _other(own, head), _told(own, head)).when(_near(own, last, 3) & _other(own, last), _told(own, last))
     seen = seen.select("sig", *fields, "before", told.alias("told")).alias("x")
     # one pass gives both: a line with a shortcut meets no one else here and stays as it is

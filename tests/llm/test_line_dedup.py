@@ -118,3 +118,13 @@ def test_texts_are_not_shuffled_for_few_shortened_documents(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
     assert sorted((r.doc_id, r.text) for r in out.collect())[1] == (1, "one line with a number 1")
+
+
+def test_no_pattern_runs_over_texts_and_no_frame_grows_with_its_list(spark):
+    docs = spark.createDataFrame([(1, "one\ttwo three\nfour\x0bfive"), (2, "one two\rthree\nsix")], "doc_id BIGINT, text STRING")
+    rows = L._identified(docs, "doc_id", "text")
+    sets = L._sets(rows)
+    assert "rlike" not in rows._jdf.queryExecution().optimizedPlan().toString().lower()
+    plan = L._meetings(L._postings(sets, L._crowded(sets)))._jdf.queryExecution().optimizedPlan().toString()
+    assert "RangeFrame" not in plan and "RowFrame" in plan
+    assert sorted((r.doc_id, list(r.kept)) for r in L.deduplicate(docs).collect()) == [(1, [0, 1]), (2, [1])]
