@@ -95,3 +95,23 @@ def test_no_stage_writes_or_shuffles_all_texts_between_its_jobs(spark, folder, m
     assert seen and not any("text" in columns for columns in seen)
     plan = P.simhash.keep_one(docs)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_stages_hand_small_batches_to_python(spark, folder):
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    docs = P.table(spark, folder, "documents")
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    for stage in (P.language_id, P.simhash_near_dedup, P.benchmark_decontamination, P.byte_level_bpe):
+        spark.conf.unset(rows)
+        stage(spark, docs, folder)
+        assert max(r.n for r in spark.range(0, 5000, 1, 1).mapInArrow(sizes, "n BIGINT").collect()) <= 1000
+    spark.conf.set(rows, 7)
+    P.byte_level_bpe(spark, docs, folder)
+    assert spark.conf.get(rows) == "7"
+    spark.conf.unset(rows)
