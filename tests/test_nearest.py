@@ -191,3 +191,102 @@ def test_a_registered_measure_is_searched_by_name(spark):
         nearest(b, q, 5, "nothing")
     with pytest.raises(ValueError, match="built-in"):
         register_metric("l2", spread)
+
+
+@pytest.mark.parametrize("metric", ["l2", "cos", "ip", "hamming", "jaccard"])
+def test_tiles_of_any_size_give_the_same(metric, monkeypatch):
+    """Queries and rows that fill several tiles, with copies and ties, against a full sort."""
+    from nearfield.operators import kernels as K
+
+    monkeypatch.setattr(K, "_TILE_CELLS", 600)
+    monkeypatch.setattr(K, "_TILE_ROWS", 37)
+    rng = np.random.default_rng(21)
+    bits = metric in ("hamming", "jaccard")
+    rows = rng.integers(0, 8, size=(500, 3)) if bits else rng.normal(size=(500, 5)).astype(np.float32)
+    rows[300:400] = rows[:100]
+    queries, ids = rows[::9], rng.permutation(500)
+    kernel = BitKernel(metric, queries) if bits else DenseKernel(metric, queries)
+    state = RunningTopK(len(queries), 6)
+    for lo in range(0, 500, 90):
+        scan_block(kernel, state, np.arange(len(queries)), ids[lo : lo + 90], rows[lo : lo + 90])
+    for q in range(len(queries)):
+        exact = kernel.rows(ids, rows).exact
+        d = kernel.settled(kernel.exact(np.full(500, q), exact))
+        best = np.lexsort((ids, d))[:6]
+        assert state.ids[state.q == q].tolist() == ids[best].tolist()
+        np.testing.assert_allclose(state.d[state.q == q], d[best], atol=1e-12)
+
+
+def test_kernels_hold_no_copies_of_the_queries_and_bound_what_a_function_gets():
+    from nearfield.operators.kernels import FunctionKernel, ProductKernel
+
+    rng = np.random.default_rng(22)
+    queries, rows = rng.normal(size=(3000, 16)).astype(np.float32), rng.normal(size=(3000, 16)).astype(np.float32)
+    codes = ProductKernel(rng.normal(size=(4, 16, 4)), queries)
+    for kernel in (DenseKernel("cos", queries), codes):
+        held = sum(v.nbytes for v in vars(kernel).values() if isinstance(v, np.ndarray) and v is not kernel.raw)
+        assert np.shares_memory(kernel.raw, queries) and held < queries.nbytes / 2
+    sizes = []
+
+    def block(a, b):
+        sizes.append(np.broadcast(a, b).size)
+        return np.abs(a - b).sum(axis=-1)
+
+    state = RunningTopK(100, 3)
+    scan_block(FunctionKernel(block, 1, queries[:100], single=1e-5), state, np.arange(100), np.arange(3000), rows)
+    assert max(sizes) <= 1 << 19
+    d = np.abs(queries[:100, None, :].astype(float) - rows[None]).sum(axis=-1)
+    assert state.ids.reshape(100, 3).tolist() == np.argsort(d, axis=1, kind="stable")[:, :3].tolist()
+
+
+def test_queries_beyond_the_budget_meet_the_base_without_a_join(spark, monkeypatch):
+    """Each task owns some queries, all base rows stream past it, and what it returns is final."""
+    rng = np.random.default_rng(23)
+    base, queries = table(rng, 700, 6), table(rng, 400, 6)
+    b, q = frame(spark, base, "id"), frame(spark, queries, "qid")
+    hits = nearest(b, q, 4, "l2", query_bytes=0)
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan
+    agree(found(hits, "l2"), brute(base, queries, 4, "l2"))
+    monkeypatch.setattr(N, "PARTIAL_HITS", 40)
+    agree(found(nearest(b, q, 4, "l2"), "l2"), brute(base, queries, 4, "l2"))
+
+
+@pytest.mark.parametrize("query_bytes", [N.QUERY_BYTES, 0])
+def test_many_keys_and_hot_ones_on_either_side(spark, query_bytes):
+    rng = np.random.default_rng(24)
+    base, queries = table(rng, 900, 4), table(rng, 600, 4)
+    keys, asked = {i: i % 90 if i % 3 else 7 for i in base}, {i: i % 100 if i % 2 else 7 for i in queries}
+    b = frame(spark, base, "id").join(spark.createDataFrame(list(keys.items()), "id BIGINT, tenant INT"), "id")
+    q = frame(spark, queries, "qid").join(spark.createDataFrame(list(asked.items()), "qid BIGINT, tenant INT"), "qid")
+    want = []
+    for qid, v in queries.items():
+        want += brute({i: x for i, x in base.items() if keys[i] == asked[qid]}, {qid: v}, 5, "cos")
+    agree(found(nearest(b, q, 5, "cos", key="tenant", query_bytes=query_bytes), "cos"), sorted(want))
+
+
+@pytest.mark.parametrize("query_bytes", [N.QUERY_BYTES, 0])
+def test_an_array_of_keys_is_a_row_per_key(spark, query_bytes):
+    rng = np.random.default_rng(25)
+    base, queries = table(rng, 200, 4), table(rng, 20, 4)
+    b = frame(spark, base, "id").withColumn("list", F.col("id") % 5)
+    q = frame(spark, queries, "qid").withColumn("list", F.expr("array(qid % 5, null, (qid + 2) % 5, qid % 5)"))
+    one = nearest(b, q, 6, "l2", key="list", query_bytes=query_bytes)
+    two = nearest(b, q.withColumn("list", F.explode("list")), 6, "l2", key="list", query_bytes=query_bytes)
+    assert one.count() == 120 and found(one, "l2") == found(two, "l2")
+
+
+@pytest.mark.parametrize("query_bytes", [N.QUERY_BYTES, 0])
+def test_fetched_rows_are_measured_where_they_are_read(spark, query_bytes):
+    from nearfield.operators import ann as A
+    from nearfield.operators.nearest import nearest_refined
+
+    rng = np.random.default_rng(26)
+    base, queries = table(rng, 400, 33), table(rng, 50, 33)
+    b, q = frame(spark, base, "id"), frame(spark, queries, "qid")
+    both = nearest_refined(A._with_bits(b), A._with_bits(q), 5, [10, 30], "cos", query_bytes=query_bytes)
+    for cut in (10, 30):
+        want = A.rerank(A.knn_binary(b, q, cut), b, q, 5, cut, "cos")
+        assert found(both.where(F.col("cut") == cut), "cos") == found(want, "cos")
+    twice = b.unionByName(b)
+    assert found(A.knn_rerank(twice, q, 5, 2), "cos") == found(A.rerank(A.knn_binary(twice, q, 10), twice, q, 5, 10, "cos"), "cos")
