@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from nearfield.functions.vector import binary_quantize, l2_normalize
-from nearfield.operators.ann import rerank
+from nearfield.operators.ann import refines, rerank
 from nearfield.operators.kernels import ProductKernel
-from nearfield.operators.nearest import nearest
+from nearfield.operators.nearest import kernel_for, nearest, nearest_refined
 from nearfield.operators.quantize import ProductCodec, ScalarCodec, nearest_index, nearest_indexes
 from nearfield.sizing import broadcast_if_small
 
@@ -82,22 +82,27 @@ def search_index(index: VectorIndex, queries: DataFrame, k: int, nprobe: int, ki
     spark = queries.sparkSession
     stored = index.rows(spark)
     probe = "ip" if index.metric in ("ip", "dp") else "l2"
-    lists = nearest_indexes(_placed(index.metric), _points(index.centroids, index.metric), nprobe, probe)
-    probes = queries.where(F.col("emb").isNotNull()).select("qid", "emb", F.explode(lists).alias("list_id"))
-    fetch = k * refine if refine else k
-    if kind == "flat":
-        found = nearest(stored, probes, fetch, index.metric, key="list_id")
-    elif kind == "sq":
-        decoded = stored.select("id", index.scalar.decode(F.col("sq")).alias("emb"), "list_id")
-        found = nearest(decoded, probes, fetch, index.metric, key="list_id")
+    probes = queries.where(F.col("emb").isNotNull()).select("qid", "emb")
+    key = "list_id" if nprobe < len(index.centroids) else None
+    if key:  # with every list probed, lists rule nothing out
+        lists = nearest_indexes(_placed(index.metric), _points(index.centroids, index.metric), nprobe, probe)
+        probes = probes.withColumn("list_id", lists)
+    fetch, kernel, coded, asked = k * refine if refine else k, kernel_for(index.metric), F.col("emb"), F.col("emb")
+    if kind == "sq":
+        coded = index.scalar.decode(F.col("sq"))
     elif kind == "pq":
-        books = index.product.codebooks
-        found = nearest(stored.select("id", F.col("pq").alias("emb"), "list_id"), probes, fetch, key="list_id", kernel=lambda rows: ProductKernel(books, rows))
+        books, coded = index.product.codebooks, F.col("pq")
+        kernel = lambda rows: ProductKernel(books, rows)
     elif kind == "bits":
-        asked = probes.withColumn("emb", binary_quantize(F.col("emb")))
-        found = nearest(stored.select("id", F.col("bits").alias("emb"), "list_id"), asked, fetch, "hamming", key="list_id")
-    else:
+        kernel, coded, asked = kernel_for("hamming"), F.col("bits"), binary_quantize(F.col("emb"))
+    elif kind != "flat":
         raise ValueError(f"unknown kind {kind!r}")
+    if refine and refines(stored, index.metric):
+        rows, full = stored.select("id", "list_id", coded.alias("emb"), F.col("emb").alias("full")), probes.withColumn("full", F.col("emb"))
+        return nearest_refined(rows, full.withColumn("emb", asked), k, [fetch], index.metric, key, kernel).drop("cut")
+    rows = stored.select("id", "list_id", coded.alias("emb"))
+    shown_as = {"pq": "l2", "bits": "hamming"}.get(kind, index.metric)
+    found = nearest(rows, probes.withColumn("emb", asked), fetch, shown_as, key, kernel)
     return rerank(found, stored, queries, k, fetch, index.metric) if refine else found
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.functions.labels import int_truth_table, label_truth_table
-from nearfield.operators.nearest import nearest
+from nearfield.operators.nearest import PARTIAL_HITS, nearest, prepare_queries
 
 
 def neighbor_lists(hits: DataFrame) -> DataFrame:
@@ -33,12 +33,13 @@ def truth_filters(size: int, int_rates: list[float] | None = None, labels: dict[
 def build_ground_truth(base: DataFrame, queries: DataFrame, k: int, filters: list[tuple[str, Column | None]], metric: str = "cos") -> DataFrame:
     """Exact neighbours under every filter: ``filter_key, qid, gt_rank, id``.
 
-    Each filter sits below its search, so it prunes the scan. The union is one plan.
+    Each filter sits below its search, so it prunes the scan. The union is one plan, and the queries are prepared once.
     """
     out: DataFrame | None = None
+    asked = prepare_queries(queries, most=PARTIAL_HITS // max(1, k))
     for name, predicate in filters:
         rows = base if predicate is None else base.where(predicate)
-        part = nearest(rows, queries, k, metric).select(
+        part = nearest(rows, asked, k, metric).select(
             F.lit(name).alias("filter_key"), "qid", F.col("rank").alias("gt_rank"), "id"
         )
         out = part if out is None else out.unionByName(part)

@@ -94,3 +94,34 @@ def test_a_stored_index_reads_probed_lists_only(spark, tmp_path):
     some = search_index(index, asked.limit(1), 5, 1)
     plan = some._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan and "list_id" in plan.split("PartitionFilters")[1][:80]
+
+
+def test_sweeps_search_each_setting_and_not_each_list(data, monkeypatch):
+    """The rows that a sweep keeps grow with the settings of its grid, not with the probed lists."""
+    from nearfield.operators import nearest as N
+
+    base, queries, _ = data
+    cent, asked = first_vectors(base, 8), []
+    scan = N._search
+    monkeypatch.setattr(N, "_search", lambda base, queries, *rest: asked.append(queries.count()) or scan(base, queries, *rest))
+    assert A.sweep_nprobe(base, queries, 10, cent, [1, 8]).count() > 0
+    assert A.sweep_grid(base, queries, 10, cent, [2, 8], [1, 6]).count() > 0
+    assert asked == [2 * 20, 2 * 20]
+
+
+def test_all_lists_of_a_stored_index_are_not_searched_list_by_list(spark, tmp_path):
+    from nearfield.operators.index import search_index, write_index
+
+    rng = np.random.default_rng(31)
+    base = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(200)], "id BIGINT, emb ARRAY<DOUBLE>")
+    asked = base.where("id < 30").withColumnRenamed("id", "qid")
+    index = write_index(base, str(tmp_path / "index"), rng.normal(size=(40, 8)), "cos", scalar=ScalarCodec.fit(base), product=ProductCodec.train(base, 4, 4))
+    hits = search_index(index, asked, 5, 40)
+    assert "list_id" not in hits._jdf.queryExecution().optimizedPlan().toString()
+    want = sorted((r.qid, r["rank"], r.id) for r in nearest(base, asked, 5, "cos").collect())
+    assert sorted((r.qid, r["rank"], r.id) for r in hits.collect()) == want
+    for kind in ("sq", "pq", "bits"):  # measured where they are read: no vector is fetched by id
+        fine = search_index(index, asked, 5, 7, kind, refine=40)
+        assert "Join" not in fine._jdf.queryExecution().optimizedPlan().toString()
+        flat = search_index(index, asked, 5, 7)
+        assert sorted(map(tuple, fine.collect())) == sorted(map(tuple, flat.collect()))
