@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.functions.vector import lower_is_nearer
-from nearfield.operators.nearest import nearest, prepare_queries, top_k
+from nearfield.operators.kernels import DECIMALS
+from nearfield.operators.nearest import QuerySet, nearest, prepare_queries, top_k
 from nearfield.operators.requests import latency_micros
 from nearfield.schemas import HITS
 
@@ -14,47 +18,84 @@ from nearfield.schemas import HITS
 class IncrementalTopK:
     """``foreachBatch`` sink that keeps the exact k nearest rows per query.
 
-    Only the new rows are searched; the stored k rows per query are merged with theirs.
-    State is written as one version per batch, so a repeated batch starts from the version
-    before it. What is there is found in the folder, so a restarted stream goes on from it;
-    versions that no repeated batch can ask for are dropped.
+    Only the new rows are searched, and only those within the k-th score of their query at the last
+    merge are written, as one version per batch. Versions are merged with the state once they hold as many
+    rows as it does: as a row is kept the less often the more have come, that is at batch numbers that double.
+    A repeated batch replaces its own version. What is there is found in the folder, so a restarted
+    stream goes on from it; what no repeated batch can ask for is dropped.
     """
 
     def __init__(self, spark: SparkSession, out: str, queries: DataFrame, k: int, metric: str = "cos"):
         self.spark, self.out, self.queries, self.k, self.metric = spark, out, prepare_queries(queries), k, metric
+        self.limits: tuple[int, QuerySet] | None = None
+        self.sizes: dict[int, int] = {}  # rows of the versions since the last merge
+
+    def _path(self, *names: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.out, *names]))
 
-    def _folder(self):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.out)
-        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+    def _complete(self, kind: str) -> list[int]:
+        """Numbers of the complete folders of a kind, lowest first."""
+        fs = self._path().getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [s.getPath().getParent().getName() for s in fs.globStatus(self._path(f"{kind}*", "_SUCCESS")) or []]
+        return sorted(int(n[1:]) for n in names if n[1:].isdigit())
 
     def versions(self) -> list[int]:
         """Numbers of the complete versions, oldest first."""
-        path, fs = self._folder()
-        if not fs.exists(path):
-            return []
-        found = [s.getPath() for s in fs.listStatus(path) if s.getPath().getName()[1:].isdigit()]
-        return sorted(int(p.getName()[1:]) for p in found if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+        return self._complete("v")
+
+    def _drop(self, kind: str, numbers: list[int]) -> None:
+        fs = self._path().getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for number in numbers:
+            fs.delete(self._path(f"{kind}{number}"), True)
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        found = nearest(batch, self.queries, self.k, self.metric).drop("rank")
-        before = [v for v in self.versions() if v < batch_id]
-        if before:
-            found = self.hits(before[-1]).drop("rank").unionByName(found)
+        states, before = self._complete("s"), [v for v in self.versions() if v < batch_id]
+        self._drop("s", [s for s in states if s >= batch_id])
+        states = [s for s in states if s < batch_id]
+        found = nearest(batch, self._within(states[-1] if states else None), self.k, self.metric)
+        found.write.mode("overwrite").parquet(f"{self.out}/v{batch_id}")
+        # What makes the version before this batch stays, for a repetition.
+        self._drop("s", states[:-1])
+        self._drop("v", [v for v in before if states and v <= states[-1]])
+        waiting = [*(v for v in before if not states or v > states[-1]), batch_id]
+        self.sizes = {v: self.sizes[v] for v in waiting if v in self.sizes and v != batch_id}
+        self.sizes |= {v: self._read("v", [v]).count() for v in waiting if v not in self.sizes}
+        if sum(self.sizes.values()) >= self.queries.rows * self.k:
+            self.hits(batch_id).write.mode("overwrite").parquet(f"{self.out}/s{batch_id}")
+
+    def _within(self, state: int | None) -> QuerySet:
+        """The queries with the k-th score of a state as their limit; a little more, as scores are held as they are shown."""
+        if state is None or self.queries.shared is None:
+            return self.queries
+        if self.limits is None or self.limits[0] != state:
+            score = F.col("score") if lower_is_nearer(self.metric) else -F.col("score")
+            last = self._read("s", [state]).where(F.col("rank") == self.k - 1).select("qid", (score + F.lit(10.0**-DECIMALS)).alias("limit")).toArrow()
+            names = self.queries.shared.value[0]
+            limits = np.full(len(names), np.inf)
+            limits[np.searchsorted(names, last["qid"].to_numpy())] = last["limit"].to_numpy()
+            self.limits = state, replace(self.queries, limits=self.spark.sparkContext.broadcast(limits))
+        return self.limits[1]
+
+    def _read(self, kind: str, numbers: list[int]) -> DataFrame:
+        if not numbers:
+            return self.spark.createDataFrame([], HITS)
+        return self.spark.read.schema(HITS).parquet(*[f"{self.out}/{kind}{n}" for n in numbers])
+
+    def hits(self, version: int | None = None) -> DataFrame:
+        """Hits as of a version, the last one by default."""
+        there = self.versions()
+        if version is None:
+            version = max(there + self._complete("s"), default=-1)
+        states = [s for s in self._complete("s") if s <= version][-1:]
+        later = [v for v in there if (not states or v > states[0]) and v <= version]
+        if not later:
+            return self._read("s", states)
         nearer = lower_is_nearer(self.metric)
+        found = self._read("s", states).unionByName(self._read("v", later))
         # An id that arrives again with another vector counts as the nearest of them, in whatever order they come.
         best = found.groupBy("qid", "id").agg((F.min if nearer else F.max)("score").alias("score"))
         merged = top_k(best, self.k, ascending=nearer)
-        merged.select("qid", F.col("rank").cast("int").alias("rank"), "id", "score").write.mode("overwrite").parquet(f"{self.out}/v{batch_id}")
-        path, fs = self._folder()
-        for old in before[:-1]:
-            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(path, f"v{old}"), True)
-
-    def hits(self, version: int | None = None) -> DataFrame:
-        """Hits as of a version, the last one by default."""
-        if version is None and not (there := self.versions()):
-            return self.spark.createDataFrame([], HITS)
-        number = there[-1] if version is None else version
-        return self.spark.read.schema(HITS).parquet(f"{self.out}/v{number}")
+        return merged.select("qid", F.col("rank").cast("int").alias("rank"), "id", "score")
 
 
 def request_windows(log: DataFrame, by: list[str], width: str = "30 seconds", slide: str | None = None, lateness: str | None = None, exact: bool = False) -> DataFrame:

@@ -113,3 +113,21 @@ def test_a_repeated_id_counts_as_its_nearest_vector(spark, tmp_path):
             for i, rows in enumerate(ticks):
                 sink(spark.createDataFrame(rows, "id BIGINT, emb ARRAY<FLOAT>"), i)
             assert [(r.id, r.score) for r in sink.hits().collect()] == [(7, score)]
+
+
+def test_late_batches_write_only_rows_near_enough(spark, tmp_path):
+    """A batch writes what may still be among the k nearest, and a restarted or repeated one ends in the same hits."""
+    rng = np.random.default_rng(41)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(1200)]
+    queries = spark.createDataFrame([(i, rows[i][1]) for i in range(30)], "qid BIGINT, emb ARRAY<DOUBLE>")
+    base = spark.createDataFrame(rows, "id BIGINT, emb ARRAY<DOUBLE>").cache()
+    for metric in ("l2", "ip"):
+        out = str(tmp_path / metric)
+        for i in range(6):
+            sink = L.IncrementalTopK(spark, out, queries, 5, metric)  # each batch by a new start
+            for _ in range(1 + (i == 3)):
+                sink(base.where(f"id >= {i * 200} and id < {(i + 1) * 200}"), i)
+            want = nearest(base.where(f"id < {(i + 1) * 200}"), queries, 5, metric)
+            assert sorted(map(tuple, sink.hits().collect())) == sorted(map(tuple, want.collect()))
+        late = spark.read.parquet(f"{out}/v5").count()
+        assert 0 < late < 30 * 5 / 2 and len(sink.versions()) < 6
