@@ -5,12 +5,12 @@ from __future__ import annotations
 from dataclasses import replace
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.functions.vector import lower_is_nearer
 from nearfield.operators.kernels import DECIMALS
-from nearfield.operators.nearest import QuerySet, nearest, prepare_queries, top_k
+from nearfield.operators.nearest import QuerySet, nearest_partial, prepare_queries, top_k
 from nearfield.operators.requests import latency_micros
 from nearfield.schemas import HITS
 
@@ -52,13 +52,13 @@ class IncrementalTopK:
         states, before = self._complete("s"), [v for v in self.versions() if v < batch_id]
         self._drop("s", [s for s in states if s >= batch_id])
         states = [s for s in states if s < batch_id]
-        found = nearest(batch, self._within(states[-1] if states else None), self.k, self.metric)
-        found.write.mode("overwrite").parquet(f"{self.out}/v{batch_id}")
+        found, seen = nearest_partial(batch, self._within(states[-1] if states else None), self.k, self.metric), Observation()
+        found.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(f"{self.out}/v{batch_id}")
         # What makes the version before this batch stays, for a repetition.
         self._drop("s", states[:-1])
         self._drop("v", [v for v in before if states and v <= states[-1]])
         waiting = [*(v for v in before if not states or v > states[-1]), batch_id]
-        self.sizes = {v: self.sizes[v] for v in waiting if v in self.sizes and v != batch_id}
+        self.sizes = {v: self.sizes[v] for v in waiting if v in self.sizes} | {batch_id: seen.get["rows"]}
         self.sizes |= {v: self._read("v", [v]).count() for v in waiting if v not in self.sizes}
         if sum(self.sizes.values()) >= self.queries.rows * self.k:
             self.hits(batch_id).write.mode("overwrite").parquet(f"{self.out}/s{batch_id}")
