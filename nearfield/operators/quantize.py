@@ -150,8 +150,8 @@ def nearest_index(v: Column, points: np.ndarray, metric: str = "l2") -> Column:
     return index.asNondeterministic()(v)
 
 
-def nearest_indexes(v: Column, points: np.ndarray, k: int, metric: str = "l2") -> Column:
-    """Indexes of the k nearest of a bounded set of points for each vector, nearest first."""
+def nearest_indexes(v: Column, points: np.ndarray, k: int, metric: str = "l2", once: bool = False) -> Column:
+    """Indexes of the k nearest of a bounded set of points for each vector, nearest first. ``once``: before any filter on the result."""
 
     @F.arrow_udf("array<int>")
     def indexes(vectors: pa.Array) -> pa.Array:
@@ -159,7 +159,7 @@ def nearest_indexes(v: Column, points: np.ndarray, k: int, metric: str = "l2") -
         found = nearest_points(points, rows, k, metric) if len(rows) else np.empty((0, k))
         return _lists(vectors, found.astype(np.int32))
 
-    return indexes(v)
+    return (indexes.asNondeterministic() if once else indexes)(v)
 
 
 @dataclass(frozen=True)
